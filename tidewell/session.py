@@ -22,3 +22,8 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the Arrow batches that go to Python by bytes, so that long texts don't meet in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
