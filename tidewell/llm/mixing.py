@@ -1,2 +1,263 @@
-QUERIES = {}
-SQL = {}
+"""Mixing sources to target weights by min-cost flow over membership patterns.
+
+Documents may belong to several sources at once. They are aggregated by membership pattern (the set of their sources); a
+pattern's words are its capacity for each time over the corpus, and every further time costs more (convex costs). A min-cost
+flow routes pattern capacity to the source quotas; each pattern then takes whole documents once, twice, ... and part of them
+once more, chosen by a seeded order, so that its words come near the routed flow.
+
+Scale: sizes are counted in the scan (JVM regular expressions); from there on only ids and counts move. The seeded order is
+never sorted as a whole: each pattern's documents are counted in 4096 bins of the seed's hash, twice over, and only the
+documents of one bin of one bin (a 16-millionth of the pattern) are brought together to settle the last words.
+The flow is solved at the driver over patterns and sources, of which there may be MAX_PATTERNS; more raise an error.
+
+Defined cases: a null text has no words; a null source is a source of its own, after all others; rows that repeat a
+document (same id, pattern and size) are taken or left together; a source without words has target 0; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewell.session import stored
+
+MAX_PATTERNS = 200_000
+WORD = r"[^\x20\x09-\x0D]+"
+BINS = 4096
+#: Sources by code point weigh so, again and again.
+WEIGHTS = (5, 2, 1)
+SHARE, MOST = 1.5, 2
+
+
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def reshared_targets(sizes: list[int], weights: list[int], share: float, most: float) -> list[float]:
+    """Targets by weight of share times all sizes, none above most times its size; what is above goes to the others by weight."""
+    total, out = share * sum(sizes), [0.0] * len(sizes)
+    open_ = {i for i, s in enumerate(sizes) if s > 0}
+    left = min(total, most * sum(sizes))
+    while open_:
+        w = sum(weights[i] for i in open_)
+        full = {i for i in open_ if left * weights[i] / w > most * sizes[i]}
+        if not full:
+            for i in open_:
+                out[i] = left * weights[i] / w
+            break
+        for i in full:
+            out[i] = float(most * sizes[i])
+        left -= sum(out[i] for i in full)
+        open_ -= full
+    return out
+
+
+def route(capacity: dict[tuple, int], quota: dict, most: int) -> dict[tuple, float]:
+    """Min-cost flow: for each pattern (a tuple of sources) the words taken of it, over all times.
+
+    Time k over a pattern costs k*k for each word, so no pattern is repeated while another of the same source is fresh. Sources
+    that share no pattern are solved apart; a pattern with one source of one pattern needs no search. Successive shortest
+    augmenting paths on pattern and source nodes; each path fills an arc, of which there are (times x patterns + memberships).
+    """
+    taken: dict[tuple, float] = defaultdict(float)
+    by_source: dict = defaultdict(list)
+    for p in capacity:
+        for s in p:
+            by_source[s].append(p)
+    seen: set = set()
+    for first in by_source:
+        if first in seen:
+            continue
+        group, todo = [], [first]
+        seen.add(first)
+        while todo:
+            s = todo.pop()
+            group.append(s)
+            for p in by_source[s]:
+                for o in p:
+                    if o not in seen:
+                        seen.add(o)
+                        todo.append(o)
+        patterns = sorted({p for s in group for p in by_source[s]}, key=repr)
+        if len(group) == 1 and len(patterns) == 1:
+            taken[patterns[0]] = min(quota.get(first, 0.0), most * capacity[patterns[0]])
+            continue
+        flow: dict = defaultdict(float)  # pattern, source
+        need = {s: float(quota.get(s, 0.0)) for s in group}
+        while True:
+            # from every pattern with room, by the cost of its next word, to the cheapest source in need
+            dist, back, heap, n = {}, {}, [], 0
+
+            def reach(node: tuple, d: float, origin: tuple | None) -> None:
+                nonlocal n
+                if d < dist.get(node, 1e18):
+                    dist[node], back[node], n = d, origin, n + 1
+                    heapq.heappush(heap, (d, n, node))
+
+            for p in patterns:
+                time = int(taken[p] // capacity[p]) + 1 if capacity[p] else most + 1
+                if time <= most:
+                    reach(("pattern", p), float(time * time), None)
+            end = None
+            while heap:
+                d, _, (kind, x) = heapq.heappop(heap)
+                if d > dist[kind, x]:
+                    continue
+                if kind == "source":
+                    if need[x] > 1e-9:
+                        end = x
+                        break
+                    for p in by_source[x]:  # what another pattern gave goes elsewhere, and its place is free
+                        if flow[p, x] > 1e-9:
+                            reach(("pattern", p), d, ("source", x))
+                else:
+                    for s in x:
+                        reach(("source", s), d, ("pattern", x))
+            if end is None:
+                break
+            path, s, amount = [], end, need[end]
+            while True:
+                p = back["source", s][1]
+                path.append((p, s))
+                origin = back["pattern", p]
+                if origin is None:
+                    break
+                s = origin[1]
+                amount = min(amount, flow[p, s])
+            amount = min(amount, (taken[p] // capacity[p] + 1) * capacity[p] - taken[p])
+            s = end
+            for i, (q, t) in enumerate(path):
+                flow[q, t] += amount
+                if i + 1 < len(path):
+                    flow[q, path[i + 1][1]] -= amount
+            taken[p] += amount
+            need[end] -= amount
+    return taken
+
+
+def _pick(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """units: pattern, unit, size, h; wanted: pattern, words. The units whose sizes come near words, by the order of h: pattern, unit."""
+
+    def below(level: DataFrame, bin_: str, goal: DataFrame) -> DataFrame:
+        """For each pattern the bin in which its words end, and the words still wanted there."""
+        sums = level.groupBy("pattern", bin_).agg(F.sum("size").alias("words"))
+
+        def cut(pdf):
+            import pandas as pd
+
+            pdf = pdf.sort_values(bin_)
+            goal_, before = float(pdf["goal"].iloc[0]), pdf["words"].cumsum() - pdf["words"]
+            k = max(int((before <= goal_).sum()) - 1, 0)
+            return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]], "at": [int(pdf[bin_].iloc[k])], "goal": [goal_ - float(before.iloc[k])]})
+
+        return sums.join(goal, "pattern").groupBy("pattern").applyInPandas(cut, "pattern string, at int, goal double")
+
+    by_bin = units.withColumn("b1", F.shiftrightunsigned("h", 52).cast("int")).withColumn("b2", (F.shiftrightunsigned("h", 40) % BINS).cast("int"))
+    one = below(by_bin, "b1", wanted.select("pattern", F.col("words").alias("goal"))).withColumnRenamed("at", "at1").withColumnRenamed("goal", "goal1")
+    one = stored(one)
+    inner = by_bin.join(one, "pattern").where(F.col("b1") == F.col("at1"))
+    two = stored(below(inner, "b2", one.select("pattern", F.col("goal1").alias("goal"))).withColumnRenamed("at", "at2").withColumnRenamed("goal", "goal2"))
+
+    def settle(pdf):
+        """First fit in the seeded order."""
+        pdf = pdf.sort_values(["h", "unit"])
+        left, keep = float(pdf["goal2"].iloc[0]), []
+        for s in pdf["size"]:
+            keep.append(s <= left)
+            left -= s if keep[-1] else 0
+        return pdf.loc[keep, ["pattern", "unit", "size"]]
+
+    marked = by_bin.join(one, "pattern").join(two.select("pattern", "at2", "goal2"), "pattern", "left")
+    whole = marked.where((F.col("b1") < F.col("at1")) | ((F.col("b1") == F.col("at1")) & (F.col("b2") < F.col("at2"))))
+    last = marked.where((F.col("b1") == F.col("at1")) & (F.col("b2") == F.col("at2"))).select("pattern", "unit", "size", "h", "goal2")
+    picked = stored(whole.select("pattern", "unit", "size").union(last.groupBy("pattern").applyInPandas(settle, "pattern string, unit string, size long")))
+    # of all documents left out, the one whose size comes nearest to the words still missing
+    got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
+    missing = stored(wanted.join(got, "pattern", "left").select("pattern", (F.col("words") - F.coalesce("got", F.lit(0))).alias("missing")))
+    off = F.abs(F.col("size") - F.col("missing"))
+    one_more = (
+        units.join(missing, "pattern")
+        .where(off < F.col("missing"))
+        .join(picked.select("pattern", "unit"), ["pattern", "unit"], "left_anti")
+        .groupBy("pattern")
+        .agg(F.min(F.struct(off.alias("off"), "h", "unit")).alias("best"))
+        .select("pattern", "best.unit")
+    )
+    return picked.select("pattern", "unit").union(one_more)
+
+
+def mix(sizes: DataFrame, quotas: dict, most: int, seed: int = 17) -> DataFrame:
+    """sizes: doc_id, size, sources (sorted array). Adds pattern and taken, the words of each row that the mix takes.
+
+    quotas: words wanted of each source. Whole documents are taken 0 to most times.
+    """
+    spark = sizes.sparkSession
+    named = sizes.withColumn("pattern", F.to_json("sources"))
+    named = named.withColumn("unit", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
+    capacity = named.groupBy("pattern", "sources").agg(F.sum("size").alias("words"))
+    found = capacity.limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    names = {tuple(r["sources"]): r["pattern"] for r in found}
+    flow = route({tuple(r["sources"]): r["words"] for r in found if r["words"]}, quotas, most)
+    plan = []
+    for key, pattern in names.items():
+        words = next((r["words"] for r in found if r["pattern"] == pattern), 0)
+        rounds = min(most, int(flow[key] // words)) if words else 0
+        plan.append((pattern, rounds, float(flow[key] - rounds * words)))
+    plan_df = spark.createDataFrame(plan, "pattern string, rounds int, words double")
+    plan_df = F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df
+    units = (
+        named.where("size > 0")
+        .groupBy("pattern", "unit")
+        .agg(F.sum("size").alias("size"))
+        .withColumn("h", F.xxhash64("pattern", "unit", F.lit(seed)))
+    )
+    picked = _pick(units, plan_df.where("words > 0").select("pattern", "words")).withColumn("more", F.lit(1))
+    return (
+        named.join(plan_df.select("pattern", "rounds"), "pattern", "left")
+        .join(picked, ["pattern", "unit"], "left")
+        .withColumn("taken", (F.col("size") * (F.coalesce("rounds", F.lit(0)) + F.coalesce("more", F.lit(0)))).cast("long"))
+        .drop("unit", "rounds", "more")
+    )
+
+
+def contract_quotas(totals: list[tuple[str | None, int]]) -> dict:
+    """Targets of sources: by code point, null last, weighing WEIGHTS in turn."""
+    order = sorted(totals, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
+    goals = reshared_targets([n for _, n in order], [WEIGHTS[i % 3] for i in range(len(order))], SHARE, MOST)
+    return {s: g for (s, _), g in zip(order, goals, strict=True)}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
+    spark = docs.sparkSession
+    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    totals = [(r["source"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()]
+    if len(totals) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources")
+    quotas = contract_quotas(totals)
+    # a null can't be in a pattern: sources go by an invented name for it, with a mark in front of all others
+    name = lambda s: "n" if s is None else "s" + s
+    out = mix(
+        sizes.withColumn("sources", F.array(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))),
+        {name(s): q for s, q in quotas.items()},
+        MOST,
+    )
+    schema = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+    goals = spark.createDataFrame([(name(s), n, quotas[s]) for s, n in totals], schema)
+    goals = F.broadcast(goals) if len(totals) <= 10_000 else goals
+    return out.join(goals, out["sources"][0] == goals["t_source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op2_mixing": op2_mixing}
+SQL: dict[str, str] = {}
