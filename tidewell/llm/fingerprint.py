@@ -1,2 +1,264 @@
-QUERIES = {}
-SQL = {}
+"""Document fingerprints: invertible Bloom lookup tables of paragraph digests, subtracted and peeled, all in DataFrame functions.
+
+A text is cut into paragraphs at line ends; a paragraph is cut further into pieces of at most piece_size() code points. The
+distinct pieces' 48-bit digests (a 32-bit hash and its 16-bit check) are dealt to BLOCKS-many tables, a power of two that
+follows the number of pieces; each table has 3 parts of CELLS cells, and a digest is added to one cell of each part. A cell is
+one long: 2^56 for each digest in it, plus the digests. The fingerprint lists the cells.
+
+Two fingerprints are compared by subtracting cells and peeling: a cell with one digest too many or too few gives that digest,
+which then leaves its other cells, and so on, until the differing digests are known. It is tried first on tables folded to
+half their size and, where that fails, again on the whole ones (the larger try). A block that still fails differs by more than it can list; it counts as
+wholly different. Likeness is shared digests by all digests: 1 for equal texts, near 0 for unrelated ones.
+
+Defined cases: a null text is an empty one; two texts without pieces are alike by 1; equal texts have equal fingerprints;
+an edited text takes its end from the next larger doc_id (of several rows with it, the one whose text is smallest); rows that share an
+id have the same next; null ids come first; a single document is its own next; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.session import stored
+
+CELLS = 16  # of each of a block's three parts
+PARTS = 3
+PER_BLOCK = 16  # pieces of a block, at most on average
+WEIGHT = 1 << 56
+ROUNDS = 8
+EMPTY = "array<bigint>"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def piece_size(text: Column) -> Column:
+    """Code points of a piece at most: short texts have short pieces, so that their likeness has steps too."""
+    n = F.length(text)
+    return F.when(n < 128, 8).when(n < 1024, 24).otherwise(160)
+
+
+def digests(text: Column) -> Column:
+    """Distinct 48-bit digests of a text's pieces."""
+    n = F.length(text)
+    cut = lambda k: F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{k}}}"), F.lit(0))
+    pieces = F.when(n < 128, cut(8)).when(n < 1024, cut(24)).otherwise(cut(160))
+
+    def digest(piece: Column) -> Column:
+        high = F.shiftrightunsigned(F.xxhash64(piece), 32)
+        return F.shiftleft(high, 16) + _check(high)
+
+    return F.array_distinct(F.transform(pieces, digest))
+
+
+def _check(high: Column) -> Column:
+    return F.pmod(F.xxhash64(high, F.lit(7)), F.lit(1 << 16))
+
+
+def n_blocks(units: Column) -> Column:
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(units) / PER_BLOCK, F.lit(1.0))))).cast("int")
+
+
+def _spot(digest: Column, part: Column) -> Column:
+    """Cell of a digest within a part, 0 to CELLS - 1: bits of its hash that don't choose the block."""
+    return F.call_function("shiftrightunsigned", digest, (F.lit(16) + part * 5).cast("int")).bitwiseAND(F.lit(CELLS - 1))
+
+
+def _block(digest: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(3)), blocks.cast("long")).cast("int")
+
+
+def cells(units: Column) -> Column:
+    """The table of digests: for each block, for each part, CELLS longs."""
+    nothing = F.lit(0).cast("long")
+
+    def block(own: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(PARTS * CELLS - 1)),
+            lambda i: F.aggregate(own, nothing, lambda a, d: a + F.when(_spot(d, F.floor(i / CELLS)) == i % CELLS, d + F.lit(WEIGHT)).otherwise(nothing)),
+        )
+
+    def all_blocks(t: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), t["blocks"] - 1),
+                lambda b: _let(F.filter(t["units"], lambda d: _block(d, t["blocks"]) == b), block),
+            )
+        )
+
+    return _let(_let(units, lambda u: F.struct(u.alias("units"), n_blocks(u).alias("blocks"))), all_blocks)
+
+
+def as_string(table: Column) -> Column:
+    """The fingerprint: cells in hexadecimal, an empty one by nothing."""
+    return F.concat_ws(",", F.transform(table, lambda c: F.when(c == 0, F.lit("")).otherwise(F.hex(c))))
+
+
+def _blocks_of(table: Column) -> Column:
+    return (F.size(table) / (PARTS * CELLS)).cast("int")
+
+
+def _refold(table: Column, blocks: Column) -> Column:
+    """A table with fewer blocks: those that a digest may have been dealt to are added."""
+    n = blocks * (PARTS * CELLS)
+    folded = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.aggregate(
+            F.sequence(F.lit(0), (F.size(table) / n).cast("int") - 1), F.lit(0).cast("long"), lambda a, t: a + F.element_at(table, (i + t * n + 1).cast("int"))
+        ),
+    )
+    return F.when(F.size(table) == n, table).otherwise(folded)
+
+
+def _loads(part: Column) -> Column:
+    """Digests in a block, from one part: each is in it once; negative counts stand below the others."""
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a + F.shiftright(c + F.lit(WEIGHT >> 1), 56))
+
+
+def _peel(diff: Column, width: int) -> Column:
+    """Digests that a block's cells differ by (number), or -1 where peeling gets stuck. width: cells of a part."""
+    start = F.struct(diff.alias("cells"), F.lit(0).alias("n"))
+
+    def pure(cs: Column) -> Column:
+        """Signed digests that stand alone in a cell: +d or -d."""
+        found = F.transform(
+            cs,
+            lambda c, i: _let(
+                F.abs(c) - F.lit(WEIGHT),
+                lambda d: F.when(
+                    (d >= 0)
+                    & (d < F.lit(1 << 48))
+                    & (_spot(d, F.floor(i / width)) % width == i % width)
+                    & (_check(F.shiftrightunsigned(d, 16)) == d.bitwiseAND(F.lit(0xFFFF))),
+                    F.when(c > 0, d).otherwise(-d - 1),
+                ).otherwise(F.lit(None).cast("long")),
+            ),
+        )
+        return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+    def without(cs: Column, gone: Column) -> Column:
+        def value(g: Column) -> Column:
+            return F.when(g >= 0, g).otherwise(-g - 1)
+
+        return F.transform(
+            cs,
+            lambda c, i: F.aggregate(
+                gone,
+                c,
+                lambda a, g: a
+                - F.when(
+                    _spot(value(g), F.floor(i / width)) % width == i % width, F.when(g >= 0, g + F.lit(WEIGHT)).otherwise(g + 1 - F.lit(WEIGHT))
+                ).otherwise(F.lit(0).cast("long")),
+            ),
+        )
+
+    def step(acc: Column, _: Column) -> Column:
+        go = lambda gone: F.when(F.size(gone) == 0, acc).otherwise(
+            F.struct(without(acc["cells"], gone).alias("cells"), (acc["n"] + F.size(gone)).alias("n"))
+        )
+        done = ~F.exists(acc["cells"], lambda c: c != 0)
+        return F.when(done, acc).otherwise(_let(pure(acc["cells"]), go))
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.exists(acc["cells"], lambda c: c != 0), F.lit(-1)).otherwise(acc["n"])
+    )
+
+
+def _block_counts(a: Column, b: Column) -> Column:
+    """For one block of both tables: struct of digests in both together (all) and of differing ones (diff)."""
+    both = _loads(F.slice(a, 1, CELLS)) + _loads(F.slice(b, 1, CELLS))
+    diff = F.zip_with(a, b, lambda x, y: x - y)
+    half = F.transform(
+        F.sequence(F.lit(0), F.lit(PARTS * CELLS // 2 - 1)),
+        lambda i: _let(
+            (F.floor(i / (CELLS // 2)) * CELLS + i % (CELLS // 2)).cast("int"),
+            lambda k: F.element_at(diff, k + 1) + F.element_at(diff, k + CELLS // 2 + 1),
+        ),
+    )
+    # more than twice the cells can't be peeled: such a block isn't tried
+    tried = _let(_peel(half, CELLS // 2), lambda n: F.when(n >= 0, n).otherwise(_peel(diff, CELLS)))
+    return F.struct(both.alias("all"), _let(tried, lambda n: F.when(n >= 0, n.cast("long")).otherwise(both)).alias("diff"))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard index of the two tables' digests, from what peeling their difference recovers."""
+
+    def compared(blocks: Column) -> Column:
+        n = PARTS * CELLS
+        x, y = _refold(a, blocks), _refold(b, blocks)
+        per = _let(
+            F.struct(x.alias("x"), y.alias("y")),
+            lambda t: F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: _block_counts(F.slice(t["x"], k * n + 1, n), F.slice(t["y"], k * n + 1, n))),
+        )
+        total = F.aggregate(
+            per,
+            F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("diff")),
+            lambda s, p: F.struct((s["all"] + p["all"]).alias("all"), (s["diff"] + p["diff"]).alias("diff")),
+        )
+        return _let(total, lambda s: F.when(s["all"] + s["diff"] == 0, F.lit(1.0)).otherwise((s["all"] - s["diff"]) / (s["all"] + s["diff"])))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.least(_blocks_of(a), _blocks_of(b)), compared))
+
+
+def neighbours(ids: DataFrame, buckets: int = 256) -> DataFrame:
+    """ids (k, n: a row for each id) -> k, n_before: the n of the id before it in ascending order, and prev, that id; the first follows the last.
+
+    Ids are dealt to ranges by approximate percentiles (a bounded list); each range is put in order by itself, and a table
+    with a row for each range carries over its ends.
+    """
+    from pyspark.sql import Window as W
+
+    edges = ids.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    edges = sorted({*edges})
+    cuts = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
+    ranged = ids.withColumn("r", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda e: e <= F.col("k")))))
+    ends = ranged.groupBy("r").agg(F.max(F.struct("k", "n")).alias("last"))
+    order = W.orderBy("r")
+    tail = F.lag("last").over(order)
+    wrapped = ends.select("r", F.coalesce(tail, F.last("last").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("carried"))
+    inside = F.lag(F.struct("k", "n")).over(W.partitionBy("r").orderBy("k"))
+    linked = ranged.withColumn("p", inside).join(F.broadcast(wrapped), "r")
+    return linked.select("k", F.coalesce("p", "carried").alias("p")).select("k", F.col("p.k").alias("prev"), F.col("p.n").alias("n_before"))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_chars, edited (text), table, edited_table, next_table (arrays of cells)."""
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = stored(text.select("doc_id", F.length("text").alias("n")).groupBy(F.col("doc_id").alias("k")).agg(F.max("n").alias("n")))
+    before = stored(neighbours(ids))
+    made = text.withColumn("table", cells(digests(F.col("text"))))
+    heads = (
+        made.join(before, made["doc_id"].eqNullSafe(before["k"]))
+        .select("prev", F.substring("text", F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("head"), "text", "table")
+        .groupBy("prev")
+        .agg(F.min(F.struct("head", "table")).alias("next"))
+    )
+    cut = F.floor(F.length("text") / 4).cast("int")
+    joined = made.join(heads, made["doc_id"].eqNullSafe(heads["prev"]), "left")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next.head", F.lit(1), cut))
+    return joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "table", F.col("next.table").alias("next_table")).withColumn(
+        "edited_table", cells(digests(F.col("edited")))
+    )
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    return fingerprints(docs).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_string(F.col("table")).alias("fingerprint"),
+        as_string(F.col("edited_table")).alias("edited_fingerprint"),
+        likeness(F.col("table"), F.col("edited_table")).alias("near_edited"),
+        likeness(F.col("table"), F.col("next_table")).alias("near_next"),
+    )
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+QUERIES = {"op8_fingerprint": op8_fingerprint}
+SQL: dict[str, str] = {}
