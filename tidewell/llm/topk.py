@@ -1,2 +1,212 @@
-QUERIES = {}
-SQL = {}
+"""Exact top-k search by dual trees: cover trees over queries and over data, traversed together.
+
+Rows are dealt by hash to parts of PART rows, queries to groups of GROUP; each pair of a part and a group is one piece of work
+in which both sides get a cover tree (numpy). Pairs of nodes are pruned by the covering radii: no product of a query within
+rq of cq and a vector within rr of cr exceeds cq.cr + |cq| rr + |cr| rq + rq rr, and a pair goes when that is below the worst
+kth score of the query node. Every query starts with the kth score it has in a bounded sample of SAMPLE rows, a lower bound
+that prunes from the first pair on. The k best of each piece meet again in a window whose limit Spark applies before its shuffle.
+
+Every query must meet every part, in blocks: that is the stated query set against all rows. Products are exact integers.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors
+of another length than the query's are no candidates; rows that repeat id and vector count once; of several vectors with one
+id the best score stands; ties go to the smaller id; scores beyond a long stop at its ends; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidewell.session import stored
+
+PART, GROUP, SAMPLE = 4096, 1024, 2048
+LEAF, FAN = 24, 64
+BLOCK = 16  # leaves of data multiplied at once
+LONG = 2**63 - 1
+
+
+class CoverTree:
+    """Each node: a center, its covering radius, and children whose centers lie more than half that radius apart (FAN at most)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.center, self.radius, self.children, self.points = x, [], [], [], []
+        self._add(np.arange(len(x)), 0, np.sqrt(((x - x[0]) ** 2).sum(1)))
+        self.radius = np.array(self.radius)
+        self.center = np.array(self.center)
+        self.norm = np.sqrt((x[self.center] ** 2).sum(1))
+
+    def _add(self, own: np.ndarray, center: int, dist: np.ndarray) -> int:
+        node = len(self.center)
+        self.center.append(center)
+        self.radius.append(float(dist.max()) * (1 + 1e-9))
+        self.children.append([])
+        self.points.append(own)
+        if len(own) <= LEAF or self.radius[node] == 0:
+            return node
+        x, near, side, centers = self.x[own], dist.copy(), np.zeros(len(own), dtype=int), [center]
+        while len(centers) < FAN and near.max() > self.radius[node] / 2:
+            far = int(near.argmax())
+            d = np.sqrt(((x - x[far]) ** 2).sum(1))
+            closer = d < near
+            near[closer], side[closer] = d[closer], len(centers)
+            centers.append(int(own[far]))
+        self.children[node] = [self._add(own[side == k], c, near[side == k]) for k, c in enumerate(centers) if (side == k).any()]
+        return node
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integral rows: floats while they hold them, else Python's integers, cut to a long."""
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    if most < 2**53:
+        return a @ b.T
+    ints = np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape) @ np.array([[int(v) for v in r] for r in b], dtype=object).reshape(b.shape).T
+    return np.clip(ints, -LONG - 1, LONG)
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of queries: its number, ids and scores of its k best rows of data (ties to smaller ids), own id left out.
+
+    floors: a lower bound of each query's kth score overall.
+    """
+    most = int(np.unique(ids, return_counts=True)[1].max())
+    keep = k * most  # of several rows with one id only the best counts in the end
+    qt, dt = CoverTree(queries), CoverTree(data)
+    top = [(np.empty(0), np.empty(0, dtype=ids.dtype)) for _ in queries]
+    worst = np.where(np.isfinite(floors), floors, -np.inf).astype(float)
+    centers = data[dt.center]
+
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        c = queries[qt.center[q]]
+        norm, rq, rr = np.sqrt((c * c).sum()), qt.radius[q], dt.radius[nodes]
+        exact = centers[nodes] @ c
+        return exact + norm * rr + dt.norm[nodes] * rq + rq * rr + 1e-9 * (np.abs(exact) + norm * dt.norm[nodes] + 1)
+
+    def leaf(q: int, nodes: np.ndarray) -> None:
+        own = qt.points[q]
+        heap = [(-b, int(n)) for b, n in zip(bounds(q, nodes), nodes, strict=True)]
+        heapq.heapify(heap)
+        while heap:
+            block: list[np.ndarray] = []
+            low = worst[own].min()
+            while heap and len(block) < BLOCK:
+                b, n = heapq.heappop(heap)
+                if -b < low:
+                    heap = []
+                elif dt.children[n]:
+                    below = np.array(dt.children[n])
+                    for c, v in zip(below, bounds(q, below), strict=True):
+                        if v >= low:
+                            heapq.heappush(heap, (-v, int(c)))
+                else:
+                    block.append(dt.points[n])
+            if not block:
+                break
+            at = np.concatenate(block)
+            scores = products(queries[own], data[at])
+            for i, row in zip(own, scores, strict=True):
+                hit = (row >= worst[i]) & (ids[at] != query_ids[i])
+                if hit.any():
+                    s, v = np.concatenate([top[i][0], row[hit]]), np.concatenate([top[i][1], ids[at][hit]])
+                    order = np.lexsort((v, -s))[:keep]
+                    top[i] = s[order], v[order]
+                    if len(order) == keep:
+                        worst[i] = max(worst[i], float(s[order[-1]]))
+
+    def dual(q: int, nodes: np.ndarray) -> None:
+        nodes = nodes[bounds(q, nodes) >= worst[qt.points[q]].min()]
+        if not len(nodes):
+            return
+        if not qt.children[q]:
+            leaf(q, nodes)
+            return
+        wide = [n for n in nodes if dt.children[n] and dt.radius[n] >= qt.radius[q]]
+        if wide:
+            nodes = np.array([*(n for n in nodes if n not in {*wide}), *(c for n in wide for c in dt.children[n])])
+        for c in qt.children[q]:
+            dual(c, nodes)
+
+    dual(0, np.array([0]))
+    for i, (s, v) in enumerate(top):
+        first = np.sort(np.unique(v, return_index=True)[1])[:k]
+        yield i, v[first], s[first]
+
+
+def scaled(vectors: pd.Series) -> np.ndarray:
+    return np.floor(1024.0 * np.array([np.asarray(v, dtype=np.float64) for v in vectors]))
+
+
+def usable(vector: Column) -> Column:
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of the largest inner product for each row for which is_query holds."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = stored(rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False))).dropDuplicates(["vec_id", "v"]))
+    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
+    parts, groups = max(1, math.ceil(n / PART)), max(1, math.ceil(n_queries / GROUP))
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(SAMPLE).select("vec_id", "v").toPandas().drop_duplicates("vec_id")
+    some, some_ids = sample["v"], sample["vec_id"].to_numpy()
+
+    def with_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_length = {size: np.array([len(v) == size for v in some]) for size in {len(v) for v in some}}
+        for pdf in batches:
+            out = np.full(len(pdf), -np.inf)
+            lengths = pdf["v"].map(len).to_numpy()
+            for size in {*lengths}:
+                mine, other = np.flatnonzero(lengths == size), by_length.get(size)
+                if other is None or other.sum() <= k:
+                    continue
+                scores = products(scaled(pdf["v"].iloc[mine]), scaled(some[other])).astype(float)
+                scores[pdf["vec_id"].to_numpy()[mine, None] == some_ids[other][None, :]] = -np.inf
+                out[mine] = np.partition(scores, -k, axis=1)[:, -k]
+            yield pdf.assign(floor=np.nextafter(out, -np.inf))
+
+    key = [F.size("v").alias("d")]
+    queries = rows.where("q").select("vec_id", "v").mapInPandas(with_floor, "vec_id long, v array<double>, floor double")
+    queries = queries.select(*key, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("g"), F.lit(True).alias("q"), "vec_id", "v", "floor")
+    data = rows.select(*key, F.pmod(F.xxhash64("vec_id", "v", F.lit(2)), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(False).alias("q"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, have = pdf[pdf["q"]], pdf[~pdf["q"]]
+        out: list[pd.DataFrame] = []
+        if len(ask) and len(have):
+            ids = ask["vec_id"].to_numpy()
+            for i, v, s in search(scaled(ask["v"]), ids, ask["floor"].to_numpy(), scaled(have["v"]), have["vec_id"].to_numpy(), k):
+                out.append(pd.DataFrame({"query_id": np.full(len(v), ids[i]), "vec_id": v, "score": [int(x) for x in s]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+
+    found = queries.unionByName(data).groupBy("d", "p", "g").applyInPandas(piece, "query_id long, vec_id long, score long")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op3_topk": op3_topk}
+SQL = {
+    "op3_topk": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, max(list_dot_product(q.e, d.e)::BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
+  GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+}
