@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +31,18 @@ def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound the Arrow batches that go to Python by bytes, so that long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each context: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewell_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), "tidewell_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(archive)
+    context._tidewell_shipped = True
