@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.session import stored
+from tidewell.session import bounded_batches, stored
 
 PART, GROUP, SAMPLE = 4096, 1024, 2048
 LEAF, FAN = 24, 64
@@ -149,6 +149,7 @@ def usable(vector: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the largest inner product for each row for which is_query holds."""
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = stored(rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False))).dropDuplicates(["vec_id", "v"]))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
