@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -78,37 +79,45 @@ class PerfectHash:
         return self.ids[s] if self.keys[s] == key else None
 
 
-def merge(piece: bytes, rank) -> list[int]:
-    """Ids of a pre-token that is no token: rank(bytes) gives a token's id or None."""
+def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
+    """Ids of a pre-token that is no token; rank: the tokens' ids."""
     n = len(piece)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-
-    def offer(a: int) -> None:
-        b = after[a]
-        if b < n and (r := rank(piece[a : end[b]])) is not None:
-            heapq.heappush(heap, (r, a, end[a], end[b]))
-
-    for a in range(n - 1):
-        offer(a)
+    # end[a]: where the part that starts at a ends, 0 once it has been merged into the one before
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get, push, pop = rank.get, heapq.heappush, heapq.heappop
+    heap = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := get(piece[a : a + 2])) is not None]
+    heapq.heapify(heap)
     while heap:
-        _, a, mid, stop = heapq.heappop(heap)
-        b = after[a]
-        if end[a] != mid or b >= n or end[b] != stop:  # one of the two has been merged meanwhile
+        _, a, mid, stop = pop(heap)
+        if end[a] != mid or end[mid] != stop:  # one of the two has been merged meanwhile
             continue
-        end[a], end[b], after[a] = stop, -1, after[b]
-        if after[b] < n:
-            before[after[b]] = a
-        offer(a)
-        if before[a] >= 0:
-            offer(before[a])
+        end[a], end[mid] = stop, 0
+        if stop < n:
+            before[stop] = a
+            if (r := get(piece[a : end[stop]])) is not None:
+                push(heap, (r, a, stop, end[stop]))
+        if a:
+            c = before[a]
+            if (r := get(piece[c:stop])) is not None:
+                push(heap, (r, c, a, stop))
     out, a = [], 0
     while a < n:
-        out.append(rank(piece[a : end[a]]))
-        a = after[a]
+        out.append(rank[piece[a : end[a]]])
+        a = end[a]
     return out
 
 
+class _Memo(dict):
+    """Ids of the pre-tokens met so far."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.ids_of = vocabulary.ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = out = self.ids_of(piece)
+        return out
+
+
 class Vocabulary:
     """Ranks and pattern of a tokenizer; path: a .tiktoken file."""
 
@@ -119,16 +128,19 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.bytes_of[i] = token
-        self.memo: dict[str, bytes] = {}
+        self.rank = tokens
+        self.memo = _Memo(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return {k: x for k, x in self.__dict__.items() if k != "memo"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"memo": _Memo(self)}
 
-    def _ids(self, piece: str) -> bytes:
+    def ids_of(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
         one = self.hash.get(raw)
-        ids = [one] if one is not None else merge(raw, self.hash.get)
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", merge(raw, self.rank) if one is None else [one]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -140,8 +152,6 @@ class Vocabulary:
         while pieces:
             if len(memo) > MEMO:
                 memo.clear()
-            for piece in {*pieces}.difference(memo):
-                memo[piece] = self._ids(piece)
             out.append(b"".join(map(memo.__getitem__, pieces)))
             pieces = [m[0] for m in islice(found, CHUNK)] if found is not None else []
         return b"".join(out)
