@@ -200,7 +200,16 @@ def least_by_name(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in a window of width that begins at one of starts."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + width, n), -1)
-    return np.cumsum(change[:n]) > 0
+    sums = np.zeros(n + 1, np.int64)
+    sums[starts + 1] = 1
+    sums = np.cumsum(sums)
+    out = sums[1:].copy()
+    out[width:] -= sums[1 : n + 1 - width] if n > width else 0
+    return out > 0
+
+
+def repeated_elsewhere(lists: list[tuple[int, list[Named]]]):
+    """A name's bit: another batch has it too."""
+    known, often = np.unique(np.concatenate([x[0][0] for _, x in lists]), return_counts=True)
+    for number, x in lists:
+        yield number, often[np.searchsorted(known, x[0][0])] > 1
