@@ -4,7 +4,7 @@ Reference blocks are BLOCK words long and don't overlap, counted from the start
 BLOCK words of every document probes them. A window of WINDOW = 2 * BLOCK - 1 words holds a whole block, so one of the two
 places where a long passage stands has a block that a window of the other hits. Hits are extended: the windows of WINDOW
 words around a hit are compared over all documents (the least doc_id that has each), and neighbouring confirmed windows join
-into maximal repeats. Probes are 40-bit names, which only choose candidates; confirming names have 64 bits.
+into maximal repeats. Probes have shorter names (of 40 bits or more, by the corpus's size), which only choose candidates; confirming names have 64 bits.
 
 Defined cases: words are runs of other bytes than space and 0x09-0x0D, unchanged; null and empty texts have none; a null doc_id counts as larger
 than all, equal ids (repeated rows) don't remove from each other; texts shorter than a window stay whole; an empty table gives
@@ -27,15 +27,13 @@ from tidewell.llm.batches import Batch, Named, Table, covered, least_by_name
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 LAST = np.iinfo(np.int64).max
-#: Bits of a probe's name that are kept.
-SHORT = np.uint64(((1 << 40) - 1) << 24)
 
 
 class Words:
     """Words of a batch, the order of their documents, hashes of windows."""
 
     def __init__(self, batch: Batch):
-        self.raw = batch.raw
+        self.raw, self.mask = batch.raw, batch.mask
         self.starts, self.ends, self.doc = H.words(batch.raw, batch.offsets)
         ids = batch.columns[0]
         self.rank = ids.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -50,7 +48,7 @@ class Words:
 
     def blocks_and_probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at, names = self.windows(BLOCK)
-        names = names & SHORT
+        names = names & self.mask
         first = np.searchsorted(self.doc, self.doc[at])
         return at, names, at[own := (at - first) % BLOCK == 0], names[own]
 

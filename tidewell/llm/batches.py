@@ -33,19 +33,28 @@ Named = tuple[np.ndarray, np.ndarray | None]
 
 
 class Batch:
-    """One row of the table: number, raw bytes, offsets, lists of the carried columns, and bits by question."""
+    """One row of the table: number (of its first row), raw bytes, offsets, lists of the carried columns, mask of short names, picked rows, and bits by question."""
 
-    def __init__(self, rows: pa.RecordBatch, i: int, carried: int):
+    def __init__(self, rows: pa.RecordBatch, i: int, carried: int, mask: np.uint64):
+        self.mask = mask
         col = lambda name: rows.column(rows.schema.get_field_index(name))[i]
         self.number = col("batch").as_py()
         self.raw = np.frombuffer(col("raw").as_buffer(), np.uint8)
         self.offsets = col("offsets").values.to_numpy().astype(np.int64)
+        self.nulls = col("nulls").values
         self.columns = [col(f"c{k}").values for k in range(carried)]
+        self.picked: np.ndarray | None = None
+        if (at := rows.schema.get_field_index("picked")) >= 0:
+            got = rows.column(at)[i]
+            self.picked = np.sort(got.values.to_numpy(zero_copy_only=False).astype(np.int64)) - self.number if got.is_valid else np.zeros(0, np.int64)
         self.bits: list[np.ndarray] = []
         k = 0
         while (at := rows.schema.get_field_index(f"bits{k}")) >= 0:
-            parts = rows.column(at)[i].as_py() or []
-            self.bits.append(np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"]).astype(bool) for p in sorted(parts, key=lambda p: p["part"]))]))
+            parts = sorted(rows.column(at)[i].as_py() or [], key=lambda p: p["part"])
+            planes = max((p["planes"] for p in parts), default=1)
+            bits = [np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"] * planes).reshape(planes, p["n"]).astype(bool) for p in parts]
+            bits = np.concatenate([np.zeros((planes, 0), bool), *bits], axis=1)
+            self.bits.append(bits[0] if planes == 1 else bits)
             k += 1
 
 
@@ -59,22 +68,23 @@ class Table:
         self.fields = [docs.schema[c] for c in carry]
         kinds = [f.dataType for f in picked.schema.fields[1:]]
         schema = T.StructType(
-            [T.StructField("batch", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("raw", T.BinaryType())]
+            [T.StructField("batch", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("raw", T.BinaryType()), T.StructField("nulls", T.ArrayType(T.BooleanType()))]
             + [T.StructField(f"c{k}", T.ArrayType(t)) for k, t in enumerate(kinds)]
         )
         n = len(carry)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+            number, waiting, size = TaskContext.get().partitionId() << 38, [], 0
 
             def flush() -> pa.RecordBatch:
                 nonlocal number
                 t = pa.Table.from_batches(waiting).combine_chunks()
                 raw, at = H.buffers(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.binary()))
-                number += 1
+                number += t.num_rows
+                nulls = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), _flat(t.column("text")).is_null())
                 lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), _flat(t.column(f"c{k}"))) for k in range(n)]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([number - 1]), pa.array([at]), pa.array([raw.tobytes()], pa.binary()), *lists], [f.name for f in schema.fields]
+                    [pa.array([number - t.num_rows]), pa.array([at]), pa.array([raw.tobytes()], pa.binary()), nulls, *lists], [f.name for f in schema.fields]
                 )
 
             for b in batches:
@@ -102,9 +112,19 @@ class Table:
         self.df = spark.table(name)
         self.ranges = max(LEAST_RANGES, math.ceil(self.size / RANGE_BYTES))
         self.bits: list[DataFrame] = []
+        self.picked: DataFrame | None = None
+
+    def mask(self) -> np.uint64:
+        """Bits of a name that are kept where names only choose candidates: 12 more than it takes to number the corpus's bytes."""
+        kept = min(64, max(40, self.size.bit_length() + 12))
+        return np.uint64((1 << 64) - (1 << (64 - kept)))
+
+    def pick(self, rows: DataFrame) -> None:
+        """rows (batch, key): from now on batch.picked has their places in the batch; a row's key is its batch's number and its place, added."""
+        self.picked = stored(rows.groupBy("batch").agg(F.collect_list("key").alias("picked")))
 
     def _with_bits(self) -> DataFrame:
-        out = self.df
+        out = self.df if self.picked is None else self.df.join(self.picked, "batch", "left")
         for k, bits in enumerate(self.bits):
             out = out.join(bits.withColumnRenamed("bits", f"bits{k}"), "batch", "left")
         return out
@@ -112,14 +132,15 @@ class Table:
     def ask(self, names: Callable[[Batch], list[Named]], answer: Callable[[list[tuple[int, list[Named]]]], Iterator[tuple[int, np.ndarray]]]) -> None:
         """Put a question; its bits (for the last of the lists that names gives) are in batch.bits from then on.
 
-        answer gets (batch, lists) of one range for every batch that has names there, and gives (batch, bits).
+        answer gets (batch, lists) of one range for every batch that has names there, and gives (batch, bits); bits may have
+        several rows, planes of one bit for each name.
         """
-        ranges, carried = self.ranges, len(self.fields)
+        ranges, carried, mask = self.ranges, len(self.fields), self.mask()
 
         def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in rows:
                 for i in range(r.num_rows):
-                    batch = Batch(r, i, carried)
+                    batch = Batch(r, i, carried, mask)
                     lists = names(batch)
                     cuts = [np.searchsorted(_range_of(n, ranges), np.arange(ranges + 1)) for n, _ in lists]
                     full = [p for p in range(ranges) if any(c[p + 1] > c[p] for c in cuts)]
@@ -129,21 +150,21 @@ class Table:
         def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
             part, out = pdf["part"].iloc[0], []
             for number, bits in answer([(int(b), unpack(x)) for b, x in zip(pdf["batch"], pdf["blob"], strict=True)]):
-                out.append((number, part, len(bits), np.packbits(bits).tobytes()))
-            return pd.DataFrame(out, columns=["batch", "part", "n", "bits"])
+                out.append((number, part, bits.shape[-1], bits.ndim == 1 or len(bits), np.packbits(bits).tobytes()))
+            return pd.DataFrame(out, columns=["batch", "part", "n", "planes", "bits"])
 
         asked = self._with_bits().mapInArrow(emit, "part int, batch long, blob binary")
-        bits = asked.groupBy("part").applyInPandas(reduce, "batch long, part int, n int, bits binary")
-        self.bits.append(stored(bits.groupBy("batch").agg(F.collect_list(F.struct("part", "n", "bits")).alias("bits"))))
+        bits = asked.groupBy("part").applyInPandas(reduce, "batch long, part int, n int, planes int, bits binary")
+        self.bits.append(stored(bits.groupBy("batch").agg(F.collect_list(F.struct("part", "n", "planes", "bits")).alias("bits"))))
 
     def rows(self, work: Callable[[Batch], list[pa.Array]], schema: T.StructType) -> DataFrame:
         """What work gives for each batch: the columns of schema."""
-        carried, names = len(self.fields), [f.name for f in schema.fields]
+        carried, mask, names = len(self.fields), self.mask(), [f.name for f in schema.fields]
 
         def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in rows:
                 for i in range(r.num_rows):
-                    yield pa.RecordBatch.from_arrays(work(Batch(r, i, carried)), names)
+                    yield pa.RecordBatch.from_arrays(work(Batch(r, i, carried, mask)), names)
 
         return self._with_bits().mapInArrow(each, schema)
 

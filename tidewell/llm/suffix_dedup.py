@@ -29,7 +29,6 @@ WIDTH = 200
 PERIOD = 133
 # A perfect difference set, each distance modulo 133 occurs once.
 COVER = [0, 9, 10, 12, 26, 30, 67, 74, 82, 109, 114, 120]
-SHORT = np.uint64(((1 << 40) - 1) << 24)
 
 
 def cover_size(width: int) -> int:
@@ -40,7 +39,7 @@ class Suffixes:
     def __init__(self, batch: Batch, width: int):
         self.width, self.n = width, len(batch.raw)
         self.rolling = H.Rolling(H.byte_values(6)[batch.raw])
-        self.offsets = batch.offsets
+        self.offsets, self.mask = batch.offsets, batch.mask
 
     def _whole(self, at: np.ndarray, width: int) -> np.ndarray:
         """Those of the positions after which a text has width bytes."""
@@ -50,7 +49,7 @@ class Suffixes:
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
         at = self._whole(at[at < self.n], size := cover_size(self.width))
-        return at, self.rolling.spans(at, at + size) & SHORT
+        return at, self.rolling.spans(at, at + size) & self.mask
 
     def candidates(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes that may tie over width bytes: starts and names."""
