@@ -254,6 +254,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     return out.join(goals, out["sources"][0] == goals["t_source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def taken_times(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id, text, source) and times: how often the mix takes each row, 0 to MOST; documents not taken are left out."""
+    taken = mixed(docs.select("doc_id", "text", "source")).where("taken > 0")
+    decided = taken.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]).agg((F.max("taken") / F.max("size")).cast("int").alias("_times"))
+    sized = docs.withColumn("_words", n_words(F.col("text")))
+    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    joined = sized.join(decided, match)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "times"], F.col("_times").alias("times"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
