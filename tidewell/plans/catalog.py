@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: The query that the smoke check runs.
-FLAGSHIP = "daily_context"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+FLAGSHIP = "valuation"
+MODULES = ("rolling", "context")
+
+
+def _modules() -> list:
+    return [import_module(f"{__package__}.{name}") for name in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
