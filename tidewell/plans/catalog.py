@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The query that the smoke check runs.
 FLAGSHIP = "valuation"
-MODULES = ("rolling", "context")
+MODULES = ("rolling", "context", "validation")
 
 
 def _modules() -> list:
