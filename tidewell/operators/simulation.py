@@ -1,0 +1,109 @@
+"""Seeded replicas of markets and masks for power and false positives: one seed is one row of work, dealt over the cluster.
+
+The recursions of a replica (autoregressive series, GARCH, block bootstrap) run in numpy within its task; masks, effects and
+rates are then taken from the rows with the operators of the other modules. A seed gives the same replica wherever it runs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.operators import stats
+
+MU, SIGMA = 0.0002, 0.02
+
+
+def autoregressive(n: int, phi: float, rng: np.random.Generator) -> np.ndarray:
+    out, noise = np.empty(n), rng.standard_normal(n) * np.sqrt(1 - phi * phi)
+    last = rng.standard_normal()
+    for i in range(n):
+        out[i] = last = phi * last + noise[i]
+    return out
+
+
+def geometric(n: int, rng: np.random.Generator) -> np.ndarray:
+    return 100 * np.exp(np.cumsum(MU - SIGMA**2 / 2 + SIGMA * rng.standard_normal(n)))
+
+
+def garch(n: int, rng: np.random.Generator, a: float = 0.08, b: float = 0.90, sd: float = 0.035) -> np.ndarray:
+    var = base = sd * sd
+    out = np.empty(n)
+    for i in range(n):
+        out[i] = np.sqrt(var) * rng.standard_normal()
+        var = base * (1 - a - b) + a * out[i] ** 2 + b * var
+    return 100 * np.exp(np.cumsum(out))
+
+
+def stationary_bootstrap(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
+    """Positions of a circular resample in blocks of geometric length."""
+    new = rng.random(n) < 1 / mean_block
+    new[0] = True
+    starts = rng.integers(0, n, new.sum())
+    block = np.cumsum(new) - 1
+    within = np.arange(n) - np.flatnonzero(new)[block]
+    return (starts[block] + within) % n
+
+
+def replicas(spark: SparkSession, seeds: list[int], days: int = 1000, phi: float = 0.985, theta: float = 0.0, ahead: int = 30, price: str = "gbm", parts: int = 8) -> DataFrame:
+    """series (the seed), d, value, close: a metric and a price into which masked days (the metric's upper fifth) carry a return of theta over the ahead days that follow."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dates = pd.date_range("2015-01-01", periods=days).date
+        for pdf in batches:
+            for seed in pdf["seed"]:
+                rng = np.random.default_rng(int(seed))
+                value = autoregressive(days, phi, rng)
+                close = geometric(days, rng) if price == "gbm" else garch(days, rng)
+                mask = value > np.quantile(value, 0.8)
+                lift = np.zeros(days)
+                for i in np.flatnonzero(mask):
+                    lift[i + 1 : i + 1 + ahead] = theta / ahead
+                yield pd.DataFrame({"series": str(seed), "d": dates, "value": value, "close": close * np.exp(np.cumsum(lift))})
+
+    work = spark.createDataFrame([(s,) for s in seeds], "seed long").repartition(parts, "seed")
+    return work.mapInPandas(make, "series string, d date, value double, close double")
+
+
+def outcomes(market: DataFrame, draws: list[float], ahead: int = 30) -> DataFrame:
+    """series, theta, p_positive of each replica by circular rotations."""
+    masked = stats.mask(market.select("series", "d", "value"))
+    z = masked.join(stats.forward_returns(market.select("series", "d", "close"), ahead), ["series", "d"])
+    return stats.rotation_p_values(z, draws).select("series", "theta", "p_positive")
+
+
+def detection(results: DataFrame, level: float = 0.05) -> DataFrame:
+    """n, hits and the 95 % interval of the share of replicas with p at most level."""
+    got = results.agg(F.count("*").alias("n"), F.count_if(F.col("p_positive") <= level).alias("hits"))
+    low, high = stats.wilson(F.col("hits"), F.col("n"))
+    return got.select("n", "hits", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def weighted_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6, rounds: int = 50) -> np.ndarray:
+    """Intercept and slope by iteratively reweighted least squares."""
+    design, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        v = np.maximum(w * p * (1 - p), 1e-12)
+        step = np.linalg.solve(design.T @ (design * v[:, None]) + ridge * np.eye(2), design.T @ (w * (y - p)) - ridge * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return beta
+
+
+def curves(points: DataFrame) -> DataFrame:
+    """points: scenario, x, k, n (hits of trials at x). scenario, intercept, slope and the isotonic levels as an array, a scenario a group of few points."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        x, k, n = (pdf[c].to_numpy(float) for c in ("x", "k", "n"))
+        a, b = weighted_logistic(np.repeat(x, 2), np.tile([1.0, 0.0], len(x)), np.column_stack([k, n - k]).ravel())
+        levels = [level for first, last, level in stats.isotonic_blocks(list(zip(x, k / n, n, strict=True))) for v in x if first <= v <= last]
+        return pd.DataFrame({"scenario": [pdf["scenario"].iloc[0]], "intercept": [a], "slope": [b], "levels": [levels]})
+
+    return points.groupBy("scenario").applyInPandas(fit, "scenario string, intercept double, slope double, levels array<double>")

@@ -1,0 +1,35 @@
+"""Queries of the simulation lab: seeded, so that reruns agree; no SQL can draw them, the tests hold them against numpy."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions import series as S
+from tidewell.operators import simulation, stats
+from tidewell.sources.market import table
+
+SQL: dict[str, str] = {}
+SEEDS = list(range(1, 25))
+
+
+def sim_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a replica: effect and rotation p-value under an injected effect."""
+    market = simulation.replicas(spark, SEEDS, theta=0.15)
+    return simulation.outcomes(market, stats.unit_draws(60, 46)).select("series", *S.rounded(theta=F.col("theta"), p_positive=F.col("p_positive")))
+
+
+def sim_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    market = simulation.replicas(spark, SEEDS, theta=0.15)
+    return simulation.detection(simulation.outcomes(market, stats.unit_draws(60, 46)))
+
+
+def curve_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic and isotonic curves of the share of urgent orders by price step, for each status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", "o_orderpriority")
+    step = F.least(F.floor(F.col("o_totalprice") / 50_000), F.lit(9)).cast("double")
+    points = orders.groupBy(F.col("o_orderstatus").alias("scenario"), step.alias("x")).agg(F.count_if(F.col("o_orderpriority").startswith("1")).alias("k"), F.count("*").alias("n"))
+    return simulation.curves(points).select("scenario", *S.rounded(intercept=F.col("intercept"), slope=F.col("slope")), F.transform("levels", lambda x: F.round(x, 6)).alias("levels"))
+
+
+QUERIES = {f.__name__: f for f in (sim_replicas, sim_detection, curve_fits)}
