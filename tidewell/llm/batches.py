@@ -103,7 +103,7 @@ class Table:
             if waiting:
                 yield flush()
 
-        made = picked.mapInArrow(work, schema)
+        made = picked.mapInArrow(lambda rows: H.tidied(work(rows)), schema)
         name = f"tidewell_batches_{uuid.uuid4().hex}"
         self.size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         made.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).option("parquet.block.row.count.limit", "4").bucketBy(
@@ -151,9 +151,10 @@ class Table:
             part, out = pdf["part"].iloc[0], []
             for number, bits in answer([(int(b), unpack(x)) for b, x in zip(pdf["batch"], pdf["blob"], strict=True)]):
                 out.append((number, part, bits.shape[-1], bits.ndim == 1 or len(bits), np.packbits(bits).tobytes()))
+            H.give_back()
             return pd.DataFrame(out, columns=["batch", "part", "n", "planes", "bits"])
 
-        asked = self._with_bits().mapInArrow(emit, "part int, batch long, blob binary")
+        asked = self._with_bits().mapInArrow(lambda rows: H.tidied(emit(rows)), "part int, batch long, blob binary")
         bits = asked.groupBy("part").applyInPandas(reduce, "batch long, part int, n int, planes int, bits binary")
         self.bits.append(stored(bits.groupBy("batch").agg(F.collect_list(F.struct("part", "n", "planes", "bits")).alias("bits"))))
 
@@ -166,7 +167,7 @@ class Table:
                 for i in range(r.num_rows):
                     yield pa.RecordBatch.from_arrays(work(Batch(r, i, carried, mask)), names)
 
-        return self._with_bits().mapInArrow(each, schema)
+        return self._with_bits().mapInArrow(lambda rows: H.tidied(each(rows)), schema)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:

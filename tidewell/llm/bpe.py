@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm import hashing as H
 from tidewell.session import bounded_batches
 
 MEMO = 400_000
@@ -174,8 +175,9 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, to: str) -> Data
         for batch in batches:
             made = pa.array([f(x) for x in batch.column(source).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, to])
+        v.memo.clear()
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(lambda rows: H.tidied(work(rows)), schema)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:

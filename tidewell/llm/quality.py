@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                 h, c = np.unique(_tokens(raw, at)[0].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "n"])
 
-    often = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = rows.select("text").mapInArrow(lambda b: H.tidied(count(b)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = often.where("n >= 5").orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").toPandas()["h"]
     vocabulary = np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
 
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     context = np.zeros((len(vocabulary), DIM))
     if len(vocabulary):
-        for r in rows.select("text").mapInArrow(neighbours, "sums binary").toLocalIterator():
+        for r in rows.select("text").mapInArrow(lambda b: H.tidied(neighbours(b)), "sums binary").toLocalIterator():
             context += np.frombuffer(bytes(r["sums"]), np.float32).reshape(context.shape)
         context -= context.sum(0) / max(np.abs(context).sum(), 1) * np.abs(context).sum(1, keepdims=True)
         context *= 0.5 / np.maximum(np.sqrt((context**2).sum(1, keepdims=True)), 1e-9)
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             x = shared.value.features(b.column("text")).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("y"), b.column("later")], ["doc_id", "x", "y", "later"])
 
-    got = rows.mapInArrow(featured, "doc_id long, x binary, y int, later boolean").toPandas().sort_values(["doc_id", "x"])
+    got = rows.mapInArrow(lambda b: H.tidied(featured(b)), "doc_id long, x binary, y int, later boolean").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float64).reshape(len(got), DIM + 2)
     model.network.fit(x, got["y"].to_numpy().astype(float), got["later"].to_numpy().astype(bool))
     return model
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
             made = pa.array(shared.value.score(b.column(text)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], [*names, to])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(lambda rows: H.tidied(work(rows)), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
