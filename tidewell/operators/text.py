@@ -16,7 +16,7 @@ ROUTINE_ISSUERS = [
 ROUTINE_FORMS = ["424B2", "424B5", "424B3", "FWP"]
 #: Share of common words from which two titles tell the same.
 SAME = 0.5
-DATES = ["EEE, dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+DATES = ["dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
 
 
 def stripped(html: Column, most: int = 280) -> Column:
@@ -37,7 +37,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATES])
+    """A time in one of DATES (a weekday in front is left out), else null."""
+    bare = F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, *", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATES])
 
 
 def sections(text: Column, heading: str) -> tuple[Column, Column]:

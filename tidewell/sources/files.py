@@ -25,7 +25,7 @@ def resolve(columns: list[str], aliases: dict[str, list[str]] | None = None) ->
 
 def number(c: Column) -> Column:
     """A double; null for what is none, NaN and infinities."""
-    x = F.try_to_number(F.trim(c), F.lit("S999999999999999D999999999999")) if False else F.expr("NULL") if c is None else c.try_cast("double")
+    x = c.try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
