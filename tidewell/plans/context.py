@@ -59,7 +59,7 @@ def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {BARS_SQL}, x AS (SELECT series, d, close, close / max(close) OVER (PARTITION BY series ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd,
       {", ".join(f"close / lag(close, {k}) OVER {O} - 1 AS r{k}" for k in (30, 90, 365))} FROM bars),
     a AS (SELECT series, min(d) AS h FROM bars WHERE (series, close) IN (SELECT series, max(close) FROM bars GROUP BY series) GROUP BY series)
-    SELECT series, d, round(dd * 100, 6) AS drawdown, {", ".join(f"round(r{k} * 100, 6) AS ret_{k}" for k in (30, 90, 365))}, (d - h)::INTEGER AS days_since_ath FROM x JOIN a USING (series) {LAST}"""
+    SELECT series, d, round(dd * 100, 6) + 0 AS drawdown, {", ".join(f"round(r{k} * 100, 6) + 0 AS ret_{k}" for k in (30, 90, 365))}, (d - h)::INTEGER AS days_since_ath FROM x JOIN a USING (series) {LAST}"""
 )
 def cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.cycle(bars(spark, sf_dir))

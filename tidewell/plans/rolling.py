@@ -51,8 +51,8 @@ def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {BARS_SQL}, s AS (SELECT *, {_sql_guarded("avg", "close", 50)} AS a, {_sql_guarded("avg", "close", 200)} AS b FROM bars)
-    SELECT series, d, round(a, 3) AS sma50, round(b, 3) AS sma200, round(a / lag(a, 20) OVER {O} - 1, 6) AS slope20,
-    round(close / lag(close, 126) OVER {O} - 1, 6) AS momentum126, round(close / b, 6) AS mayer FROM s"""
+    SELECT series, d, round(a, 3) AS sma50, round(b, 3) AS sma200, round(a / lag(a, 20) OVER {O} - 1, 6) + 0 AS slope20,
+    round(close / lag(close, 126) OVER {O} - 1, 6) + 0 AS momentum126, round(close / b, 6) AS mayer FROM s"""
 )
 def sma_slope_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bars(spark, sf_dir).withColumns({"a": S.sma(S.close(), 50), "b": S.sma(S.close(), 200)})
@@ -106,7 +106,7 @@ def rolling_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("series", "d", *S.rounded(vol30=S.volatility(ret), log_vol30=S.volatility(lret), vol90=S.volatility(ret, 90), pop30=S.guarded(F.stddev_pop, ret, 30)))
 
 
-@query(f"WITH {BARS_SQL} SELECT series, d, round(close / max(close) OVER {SO_FAR} - 1, 6) AS drawdown, close = max(close) OVER {SO_FAR} AS at_high FROM bars")
+@query(f"WITH {BARS_SQL} SELECT series, d, round(close / max(close) OVER {SO_FAR} - 1, 6) + 0 AS drawdown, close = max(close) OVER {SO_FAR} AS at_high FROM bars")
 def drawdown_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select("series", "d", *S.rounded(drawdown=S.drawdown(S.close())), (S.close() == F.max(S.close()).over(S.so_far())).alias("at_high"))
 

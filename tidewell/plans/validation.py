@@ -178,7 +178,7 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 THETA = "quantile_cont(r, 0.5) FILTER (m) - quantile_cont(r, 0.5) FILTER (NOT m)"
 
 
-@query(f"WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL} SELECT series, count(*) AS n, count(*) FILTER (m) AS masked, round({THETA}, 6) AS theta FROM z GROUP BY series")
+@query(f"WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL} SELECT series, count(*) AS n, count(*) FILTER (m) AS masked, round({THETA}, 6) + 0 AS theta FROM z GROUP BY series")
 def forward_return_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_returns(spark, sf_dir).groupBy("series").agg(F.count("*").alias("n"), F.count_if("m").alias("masked"), F.round(stats.theta(), 6).alias("theta"))
 
@@ -263,7 +263,7 @@ rot AS (SELECT t.series, t.k, t.m, i.r FROM t JOIN i ON t.series = i.series AND
 
 @query(
     f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {ROTATED_SQL}, n AS (SELECT series, k, {THETA} AS t FROM rot GROUP BY ALL), e AS (SELECT series, {THETA} AS theta FROM z GROUP BY series)
-    SELECT series, round(theta, 6) AS theta, count(t) AS n, round(avg((t >= theta)::INT), 6) AS p_positive, round(avg((t <= theta)::INT), 6) AS p_negative, round(avg((abs(t) >= abs(theta))::INT), 6) AS p_both FROM n JOIN e USING (series) GROUP BY series, theta"""
+    SELECT series, round(theta, 6) + 0 AS theta, count(t) AS n, round(avg((t >= theta)::INT), 6) AS p_positive, round(avg((t <= theta)::INT), 6) AS p_negative, round(avg((abs(t) >= abs(theta))::INT), 6) AS p_both FROM n JOIN e USING (series) GROUP BY series, theta"""
 )
 def rotation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = stats.rotation_p_values(masked_returns(spark, sf_dir), DRAWS)
@@ -322,7 +322,7 @@ def hodges_lehmann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUARTER_SQL = f"k AS (SELECT series, year(d)::VARCHAR || '-Q' || quarter(d) AS quarter, {THETA} AS t FROM z GROUP BY ALL)"
 
 
-@query(f"WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {QUARTER_SQL} SELECT series, quarter, round(t, 6) AS theta FROM k")
+@query(f"WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {QUARTER_SQL} SELECT series, quarter, round(t, 6) + 0 AS theta FROM k")
 def theta_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_returns(spark, sf_dir).groupBy("series", calendar.quarter(F.col("d")).alias("quarter")).agg(F.round(stats.theta(), 6).alias("theta"))
 
