@@ -51,6 +51,17 @@ def test_nulls_repeats_and_missing_labels(spark):
     assert quality.judged(docs.limit(0), one).count() == 0
 
 
+def test_repeated_ids_add_no_training_rows(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], None), (ids[0], "a text")] * 500 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 2, "doc_id long, quality int")
+    got = quality.training_rows(docs, labels).toPandas()
+    assert sorted(got["doc_id"]) == ids
+    assert got.set_index("doc_id")["text"].to_dict() == {i: f"text {i}" for i in ids} | {ids[0]: "a text"}
+    assert (got["y"] == got["doc_id"] % 2).all()
+    assert len(quality.training_rows(docs, labels, most=5).toPandas()) == 5
+
+
 def test_temperature_is_fitted():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 6))

@@ -9,7 +9,7 @@ Fitting uses at most MAX_TRAIN labelled rows (by the order of a hash of their id
 what the driver holds and what is broadcast. Scoring is one pass over all rows without a shuffle.
 
 Defined cases: null and empty texts have no tokens and get the score of such a document; of several labels of one doc_id the
-mean counts; null labels don't; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated
+mean counts; null labels don't; of a labelled doc_id's several rows the smallest text is learned from; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated
 rows are scored each; an empty table gives an empty result.
 """
 
@@ -154,7 +154,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(most)
     chosen = chosen.withColumn("later", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(5)) == 0)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row an id, however often its rows are repeated: what the fit gathers stays within most rows
+    return joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("later").alias("later"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
