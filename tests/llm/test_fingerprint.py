@@ -65,3 +65,25 @@ def test_planted_edit_is_nearer_than_the_next(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     m = fp.compared(docs).where("n_chars > 200").agg(F.avg("near_edited"), F.avg("near_next"), F.avg(F.expr("int(near_edited > near_next)"))).first()
     assert m[0] > 0.4 and m[1] < 0.1 and m[2] > 0.9
+
+
+def test_texts_on_both_sides_of_a_piece_limit_are_alike(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    for limit in (128, 1024):
+        for n in (limit - 1, limit, limit + 1, limit * 5 // 4):
+            text = "".join(word() + " " for _ in range(n))[:n]
+            pairs += [(text, text[: n * 4 // 5]), (text[: n * 4 // 5] + "?" * 3, text), (text, text + "\n" + word() * 3)]
+    made = texts_frame(spark, pairs).withColumns({"x": fp.tables(F.col("a")), "y": fp.tables(F.col("b"))})
+    for r in made.select("a", "b", fp.likeness_of(F.col("x"), F.col("y")).alias("s")).collect():
+        assert r["s"] > 0.4, (len(r["a"]), len(r["b"]), r["s"])
+
+
+def test_a_long_text_can_be_compared_with_a_short_one(spark):
+    rng = random.Random(6)
+    long = "\n".join(f"{k} {rng.random()}" for k in range(20_000))  # so many digests in one block that its cells don't fit a long
+    rows = texts_frame(spark, [(long, "one line"), ("one line", long), (long, long + "\nx")])
+    made = rows.withColumns({"x": fp.tables(F.col("a")), "y": fp.tables(F.col("b"))})
+    got = [r["s"] for r in made.select(fp.likeness_of(F.col("x"), F.col("y")).alias("s")).collect()]
+    assert got[:2] == [0.0, 0.0] and got[2] > 0.99

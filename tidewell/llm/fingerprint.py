@@ -1,14 +1,17 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests, subtracted and peeled, all in DataFrame functions.
 
-A text is cut into paragraphs at line ends; a paragraph is cut further into pieces of at most piece_size() code points. The
+A text is cut into paragraphs at line ends; a paragraph is cut further into pieces of at most 160 code points. The
 distinct pieces' 48-bit digests (a 32-bit hash and its 16-bit check) are dealt to BLOCKS-many tables, a power of two that
 follows the number of pieces; each table has 3 parts of CELLS cells, and a digest is added to one cell of each part. A cell is
-one long: 2^56 for each digest in it, plus the digests. The fingerprint lists the cells.
+one long: 2^56 for each digest in it, plus the digests. The fingerprint lists the cells. Short texts are cut into shorter pieces
+(PIECES) as well, so that their likeness has steps too, and the fingerprint lists those cells behind the first.
+
+Two fingerprints are compared by the shortest pieces that both have: every text has those of 160, so any two texts can be compared.
 
 Two fingerprints are compared by subtracting cells and peeling: a cell with one digest too many or too few gives that digest,
 which then leaves its other cells, and so on, until the differing digests are known. It is tried first on tables folded to
 half their size and, where that fails, again on the whole ones (the larger try). A block that still fails differs by more than it can list; it counts as
-wholly different. Likeness is shared digests by all digests: 1 for equal texts, near 0 for unrelated ones.
+wholly different. Peeling finds at most a digest a cell, so a block whose numbers of digests differ by more isn't tried. Likeness is shared digests by all digests: 1 for equal texts, near 0 for unrelated ones.
 
 Defined cases: a null text is an empty one; two texts without pieces are alike by 1; equal texts have equal fingerprints;
 an edited text takes its end from the next larger doc_id (of several rows with it, the one whose text is smallest); rows that share an
@@ -28,6 +31,8 @@ PER_BLOCK = 16  # pieces of a block, at most on average
 WEIGHT = 1 << 56
 ROUNDS = 8
 EMPTY = "array<bigint>"
+#: Code points of a piece at most, and below how many code points a text is cut so (None: always).
+PIECES = ((160, None), (24, 1024), (8, 128))
 
 
 def _let(value: Column, f) -> Column:
@@ -35,17 +40,16 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def piece_size(text: Column) -> Column:
-    """Code points of a piece at most: short texts have short pieces, so that their likeness has steps too."""
+def piece_sizes(text: Column) -> Column:
+    """Code points of a piece at most, for each way the text is cut, longest pieces first."""
     n = F.length(text)
-    return F.when(n < 128, 8).when(n < 1024, 24).otherwise(160)
+    return F.array_compact(F.array(*[F.lit(k) if below is None else F.when(n < below, k) for k, below in PIECES]))
 
 
-def digests(text: Column) -> Column:
-    """Distinct 48-bit digests of a text's pieces."""
-    n = F.length(text)
-    cut = lambda k: F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{k}}}"), F.lit(0))
-    pieces = F.when(n < 128, cut(8)).when(n < 1024, cut(24)).otherwise(cut(160))
+def digests(text: Column, size: Column | int = PIECES[0][0]) -> Column:
+    """Distinct 48-bit digests of a text's pieces of at most size code points."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    pieces = F.regexp_extract_all(text, F.concat(F.lit(r"[^\n]{1,"), size.cast("string"), F.lit("}")), F.lit(0))
 
     def digest(piece: Column) -> Column:
         high = F.shiftrightunsigned(F.xxhash64(piece), 32)
@@ -92,25 +96,39 @@ def cells(units: Column) -> Column:
     return _let(_let(units, lambda u: F.struct(u.alias("units"), n_blocks(u).alias("blocks"))), all_blocks)
 
 
-def as_string(table: Column) -> Column:
-    """The fingerprint: cells in hexadecimal, an empty one by nothing."""
-    return F.concat_ws(",", F.transform(table, lambda c: F.when(c == 0, F.lit("")).otherwise(F.hex(c))))
+def tables(text: Column) -> Column:
+    """A text's tables, one for each of piece_sizes()."""
+    return F.transform(piece_sizes(text), lambda size: cells(digests(text, size)))
+
+
+def as_string(made: Column) -> Column:
+    """The fingerprint: cells in hexadecimal, an empty one by nothing, tables parted by ";"."""
+    one = lambda table: F.concat_ws(",", F.transform(table, lambda c: F.when(c == 0, F.lit("")).otherwise(F.hex(c))))
+    return F.concat_ws(";", F.transform(made, one))
 
 
 def _blocks_of(table: Column) -> Column:
     return (F.size(table) / (PARTS * CELLS)).cast("int")
 
 
-def _refold(table: Column, blocks: Column) -> Column:
-    """A table with fewer blocks: those that a digest may have been dealt to are added."""
-    n = blocks * (PARTS * CELLS)
-    folded = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.aggregate(
-            F.sequence(F.lit(0), (F.size(table) / n).cast("int") - 1), F.lit(0).cast("long"), lambda a, t: a + F.element_at(table, (i + t * n + 1).cast("int"))
-        ),
+def _folded(table: Column, blocks: Column, k: Column) -> Column:
+    """Block k of a table with fewer blocks: those that a digest may have been dealt to are added."""
+    n = PARTS * CELLS
+    added = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.aggregate(_parts_of(table, blocks, k), F.lit(0).cast("long"), lambda a, t: a + F.element_at(table, (t * n + i + 1).cast("int"))),
     )
-    return F.when(F.size(table) == n, table).otherwise(folded)
+    return F.when(_blocks_of(table) == blocks, F.slice(table, k * n + 1, n)).otherwise(added)
+
+
+def _parts_of(table: Column, blocks: Column, k: Column) -> Column:
+    """The blocks of a table that make up block k of one with fewer blocks."""
+    return F.sequence(k, _blocks_of(table) - 1, blocks)
+
+
+def _load(table: Column, blocks: Column, k: Column) -> Column:
+    """Digests in block k of a table with fewer blocks, counted before cells are added: those of a long text wouldn't fit a long."""
+    return F.aggregate(_parts_of(table, blocks, k), F.lit(0).cast("long"), lambda a, t: a + _loads(F.slice(table, (t * (PARTS * CELLS) + 1).cast("int"), CELLS)))
 
 
 def _loads(part: Column) -> Column:
@@ -167,9 +185,8 @@ def _peel(diff: Column, width: int) -> Column:
     )
 
 
-def _block_counts(a: Column, b: Column) -> Column:
-    """For one block of both tables: struct of digests in both together (all) and of differing ones (diff)."""
-    both = _loads(F.slice(a, 1, CELLS)) + _loads(F.slice(b, 1, CELLS))
+def _differing(a: Column, b: Column) -> Column:
+    """Digests that one block of both tables differs by, or -1 where peeling gets stuck."""
     diff = F.zip_with(a, b, lambda x, y: x - y)
     half = F.transform(
         F.sequence(F.lit(0), F.lit(PARTS * CELLS // 2 - 1)),
@@ -178,21 +195,26 @@ def _block_counts(a: Column, b: Column) -> Column:
             lambda k: F.element_at(diff, k + 1) + F.element_at(diff, k + CELLS // 2 + 1),
         ),
     )
-    # more than twice the cells can't be peeled: such a block isn't tried
-    tried = _let(_peel(half, CELLS // 2), lambda n: F.when(n >= 0, n).otherwise(_peel(diff, CELLS)))
-    return F.struct(both.alias("all"), _let(tried, lambda n: F.when(n >= 0, n.cast("long")).otherwise(both)).alias("diff"))
+    return _let(_peel(half, CELLS // 2), lambda n: F.when(n >= 0, n).otherwise(_peel(diff, CELLS)))
+
+
+def _block_counts(a: Column, b: Column, blocks: Column, k: Column) -> Column:
+    """For block k of both tables: struct of digests in both together (all) and of differing ones (diff)."""
+
+    def counts(load: Column) -> Column:
+        both = load["a"] + load["b"]
+        tried = _let(F.struct(_folded(a, blocks, k).alias("a"), _folded(b, blocks, k).alias("b")), lambda t: _differing(t["a"], t["b"]))
+        found = F.when(F.abs(load["a"] - load["b"]) <= PARTS * CELLS, tried).otherwise(F.lit(-1))
+        return F.struct(both.alias("all"), _let(found, lambda n: F.when(n >= 0, n.cast("long")).otherwise(both)).alias("diff"))
+
+    return _let(F.struct(_load(a, blocks, k).alias("a"), _load(b, blocks, k).alias("b")), counts)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard index of the two tables' digests, from what peeling their difference recovers."""
 
     def compared(blocks: Column) -> Column:
-        n = PARTS * CELLS
-        x, y = _refold(a, blocks), _refold(b, blocks)
-        per = _let(
-            F.struct(x.alias("x"), y.alias("y")),
-            lambda t: F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: _block_counts(F.slice(t["x"], k * n + 1, n), F.slice(t["y"], k * n + 1, n))),
-        )
+        per = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: _block_counts(a, b, blocks, k))
         total = F.aggregate(
             per,
             F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("diff")),
@@ -203,6 +225,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(_let(F.least(_blocks_of(a), _blocks_of(b)), compared))
 
 
+def likeness_of(a: Column, b: Column) -> Column:
+    """Likeness of two texts' tables by the shortest pieces that both are cut into."""
+    pair = _let(F.least(F.size(a), F.size(b)), lambda k: F.struct(F.element_at(a, k).alias("a"), F.element_at(b, k).alias("b")))
+    return _let(pair, lambda t: likeness(t["a"], t["b"]))
+
+
 def neighbours(ids: DataFrame, buckets: int = 256) -> DataFrame:
     """ids (k, n: a row for each id) -> k, n_before: the n of the id before it in ascending order, and prev, that id; the first follows the last.
 
@@ -225,23 +253,23 @@ def neighbours(ids: DataFrame, buckets: int = 256) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_chars, edited (text), table, edited_table, next_table (arrays of cells)."""
+    """docs (doc_id, text) -> doc_id, n_chars, edited (text), table, edited_table, next_table (each by piece size, arrays of cells)."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = stored(text.select("doc_id", F.length("text").alias("n")).groupBy(F.col("doc_id").alias("k")).agg(F.max("n").alias("n")))
     before = stored(neighbours(ids))
-    made = text.withColumn("table", cells(digests(F.col("text"))))
+    # both joins read one shuffle of the texts; tables are made behind it
     heads = (
-        made.join(before, made["doc_id"].eqNullSafe(before["k"]))
-        .select("prev", F.substring("text", F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("head"), "text", "table")
+        text.join(before, text["doc_id"].eqNullSafe(before["k"]))
+        .select("prev", F.substring("text", F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("head"), tables(F.col("text")).alias("table"))
         .groupBy("prev")
         .agg(F.min(F.struct("head", "table")).alias("next"))
     )
     cut = F.floor(F.length("text") / 4).cast("int")
-    joined = made.join(heads, made["doc_id"].eqNullSafe(heads["prev"]), "left")
+    joined = text.join(heads, text["doc_id"].eqNullSafe(heads["prev"]), "left")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next.head", F.lit(1), cut))
-    return joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "table", F.col("next.table").alias("next_table")).withColumn(
-        "edited_table", cells(digests(F.col("edited")))
-    )
+    return joined.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), tables(F.col("text")).alias("table"), F.col("next.table").alias("next_table")
+    ).withColumn("edited_table", tables(F.col("edited")))
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -251,8 +279,8 @@ def compared(docs: DataFrame) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("table")).alias("fingerprint"),
         as_string(F.col("edited_table")).alias("edited_fingerprint"),
-        likeness(F.col("table"), F.col("edited_table")).alias("near_edited"),
-        likeness(F.col("table"), F.col("next_table")).alias("near_next"),
+        likeness_of(F.col("table"), F.col("edited_table")).alias("near_edited"),
+        likeness_of(F.col("table"), F.col("next_table")).alias("near_next"),
     )
 
 
