@@ -37,3 +37,49 @@ def test_urls_against_a_plain_loop(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rules_frame(spark)).collect()}
     assert got == {i: plain(u) for i, u in rows}
     assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark)).count() == 0
+
+
+def test_wrapped_and_oddly_spaced_licence_texts_are_found(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software, to deal in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS-IS", WITHOUT WARRANTY OF ANY KIND"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+# IS" AND ANY EXPRESS OR IMPLIED WARRANTIES"""
+    gpl = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"""
+    want = {
+        mit: ["MIT-text"], bsd: ["BSD-text"], gpl: ["GPL-header"], apache: ["Apache-2.0-header"], apache.replace("\n", "\r\n"): ["Apache-2.0-header"],
+        "This work is released under CC BY-SA 4.0.": ["CC-BY-SA"], "Distributed under CC BY 4.0": ["CC-BY"], "x.\nAll  rights\treserved\ny": ["proprietary"],
+        "Licensed under Creative Commons Attribution-\nShareAlike 4.0": ["CC-BY-SA"], "All\nrights reserved": ["proprietary"], "All\n\nrights reserved": [], "not all rights reserved": [],
+        "-" * 300_000 + "\n" * 3 + "; " * 100_000 + "All rights reserved": ["proprietary"], "#All rights reserved| Licensed under the MIT license": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")
+    got = {r["doc_id"]: [x["name"] for x in r["licenses"]] for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_every_known_sentence_has_a_word_that_texts_are_tried_for():
+    for name, pattern in license_scan.SENTENCES:
+        for one in pattern.split(".*|"):
+            assert any(w in one for w in ("license", "permission", "redistribution", "reserved", "provided", "warranty")) or name.startswith("CC_"), one

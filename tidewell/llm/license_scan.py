@@ -1,8 +1,9 @@
 """License scans: sentences with known identifiers, then ordered rules over the sequence of identifiers.
 
-A text is cut into sentences at line ends and after ".", ";", "!" or "?" with a space behind. A sentence is normalised: A-Z
-lower-cased, every run of other characters than letters and digits made one space, digits of versions kept apart from the words. Known
-sentences map to identifiers (GPL, GPL_VER, ...); a document's identifiers in order of sentences form a string such as
+A text is normalised: A-Z lower-cased, every run of other characters than letters and digits made one space, digits of versions
+kept apart from the words. A run with ".", "!" or "?" and white space behind, or with a blank line, is a cut; one with a line end, or
+with ";" and a space behind, is a soft cut. A known sentence stands between cuts of either kind and may run over soft ones, as
+wrapped lines do. Known sentences map to identifiers (GPL, GPL_VER, ...); a document's identifiers in order of sentences form a string such as
 ";MIT_REL;APACHE;" in which the ordered rules are looked up: a rule found consumes its identifiers, so that later rules don't
 count them again. All of it is DataFrame functions.
 
@@ -12,6 +13,8 @@ identifiers that no rule uses are listed as unmatched; an empty table gives an e
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +58,32 @@ LICENSES = [
     ("MPL", ["MPL"]),
     ("proprietary", ["RIGHTS"]),
 ]
-#: A sentence may hold a known one only if it has one of these words; most sentences end here.
+#: The SQL's test of a sentence as it stands; it knows fewer forms than WORDS.
 HINT = r"(?i)licen|permission|redistribut|rights reserved|as is|warranty|copyright notice|creative commons"
-CUT = r"\n|(?<=[.;!?])[ \t]+"
+#: Every known sentence has one of these, however it is wrapped or spaced; most texts end here.
+WORDS = r"(?i)license|permission|redistribution|reserved|provided|warranty|commons|cc[^\p{L}\p{N}]+(by|attribution)"
+CUT, SOFT = "#", "|"
+
+
+def normalised(text: Column) -> Column:
+    """Words with one space, SOFT or CUT between two; each run of other characters is looked at once, from its start."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + CUT + SOFT, "abcdefghijklmnopqrstuvwxyz--")
+    other = r"[^\p{L}\p{N}]"
+    cut = F.regexp_replace(low, rf"(?<!{other}){other}*?(?:[.!?]\s|\n{other}*\n){other}*", CUT)
+    other = rf"[^\p{{L}}\p{{N}}{CUT}]"
+    soft = F.regexp_replace(cut, rf"(?<!{other}){other}*?(?:\n|;[ \t]){other}*", SOFT)
+    return F.trim(F.regexp_replace(soft, rf"[^\p{{L}}\p{{N}}{CUT}{SOFT}]+", " "))
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^\p{L}\p{N}]+", " "))
+def _anywhere() -> str:
+    """A pattern of all known sentences in a normalised text, the most specific first; a tail ends with its line."""
+    tail, inner = f"[^{CUT}{SOFT}]*", f"[^{CUT}]*?"
+    known = "|".join(re.sub(r"\.\*(?=\||$)", tail, pattern).replace(".*", inner).replace(" ", f"[ {SOFT}]") for _, pattern in reversed(SENTENCES))
+    return f"(?<![^{CUT}{SOFT}])(?:{known})(?![^{CUT}{SOFT}])"
 
 
 def sentence_id(sentence: Column) -> Column:
-    """The identifier of the most specific known sentence; null for others. sentence is normalised."""
+    """The identifier of the most specific known sentence; null for others. sentence is normalised and has no cuts."""
     out = F.lit(None).cast("string")
     for name, pattern in SENTENCES:  # a later one is more specific
         out = F.when(sentence.rlike(f"^({pattern})$"), F.lit(name)).otherwise(out)
@@ -74,9 +92,9 @@ def sentence_id(sentence: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ids (array), licenses (array of struct name, n) and unmatched (array): see the module."""
-    hinted = F.filter(F.split(F.col(text), CUT, -1), lambda s: s.rlike(HINT))
-    ids = F.filter(F.transform(hinted, lambda s: sentence_id(normalised(s))), lambda x: x.isNotNull())
-    found = docs.withColumn("ids", F.coalesce(F.when(F.col(text).rlike(HINT), ids), F.array().cast("array<string>")))
+    known = F.regexp_extract_all(normalised(F.col(text)), F.lit(_anywhere()), F.lit(0))
+    ids = F.filter(F.transform(known, lambda s: sentence_id(F.translate(s, SOFT, " "))), lambda x: x.isNotNull())
+    found = docs.withColumn("ids", F.coalesce(F.when(F.col(text).rlike(WORDS), ids), F.array().cast("array<string>")))
     # ";A;;B;": each identifier with both bounds of its own, so that a rule's pattern is its identifiers put together
     rest = F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))))
     state = F.struct(rest.alias("rest"), F.array().cast("array<struct<name:string,n:int>>").alias("out"))
