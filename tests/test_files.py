@@ -70,6 +70,28 @@ def test_headlines_and_dates(spark):
     assert got == [True, True, False, False]
 
 
+def test_headlines_of_a_large_day_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [("d", int(n % 3), int(n), " ".join(f"{w:03d}x" for w in rng.integers(0, 60, rng.integers(0, 9)))) for n in range(2500)]
+    got = {r["pos"] for r in text.headline_dedup(spark.createDataFrame(rows, "day string, level int, pos int, title string"), "day").collect()}
+    kept, want = [], set()
+    for _, level, pos, title in sorted(rows, key=lambda r: (r[1], r[2])):
+        own = set(title.split())
+        if not any(own and len(own & k) / len(own | k) >= text.SAME for k in kept):
+            kept.append(own)
+            want.add(pos)
+    assert got == want and 100 < len(want) < 2400
+
+
+def test_headline_query_reads_whole_first_lines(spark, tmp_path):
+    from tidewell.plans import records
+
+    head = "a" * 60 + " " + "b" * 60 + " "
+    docs = [(i, head + tail + "\nbody") for i, tail in ((3, "north wind rises tonight"), (6, "quiet markets close lower"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["title"] for r in records.headline_dedup(spark, str(tmp_path)).collect()) == sorted(t.split("\n")[0] for _, t in docs)
+
+
 def test_canonical_json_and_chains(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "é"}',), ('{"a":"é","b":1}',), ("{",), (None,)], "j string")
     got = [r[0] for r in df.select(registry.canonical_sha(F.col("j"))).collect()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,23 +71,25 @@ def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_i = 1").drop("_i")
 
 
-def headline_dedup(news: DataFrame, by: str, most: int = 2000) -> DataFrame:
+def headline_dedup(news: DataFrame, by: str) -> DataFrame:
     """news (by, level, pos, title): keeps titles, by level and position, that no kept title of the same day equals by half its words.
 
-    A fold in order over one day's headlines (a day over most raises an error rather than being cut): kept titles decide on later ones.
+    A fold in order over one day's headlines, however many: kept titles decide on later ones. A title equal by SAME shares one of the rarest
+    words, just enough of them that no other kept title has to be looked at.
     """
     worded = news.select(by, "level", "pos", "title", title_words(F.col("title")).alias("words"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"more than {most} headlines on one day")
-        pdf, kept, keep = pdf.sort_values(["level", "pos"]), [], []
+        pdf, keep, kept = pdf.sort_values(["level", "pos"]), [], defaultdict(list)
+        often = Counter(w for words in pdf["words"] for w in words)
         for words in pdf["words"]:
             own = set(words)
-            same = bool(own) and any(len(own & k) / len(own | k) >= SAME for k in kept if k)
+            rarest = sorted(own, key=lambda w: (often[w], w))[: len(own) - math.ceil(SAME * len(own)) + 1]
+            same = any(len(own & k) / len(own | k) >= SAME for w in rarest for k in kept[w])
             keep.append(not same)
             if not same:
-                kept.append(own)
+                for w in own:
+                    kept[w].append(own)
         return pdf.loc[keep, [by, "level", "pos", "title"]]
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in worded.schema.fields[:4])

@@ -227,8 +227,9 @@ def priority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def headline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines of a day (documents dealt to days of at most some hundred) kept in order."""
-    titles = _titles(spark, sf_dir).select(F.floor(F.col("doc_id") / 200).alias("day"), (F.col("doc_id") % 3).alias("level"), F.col("doc_id").alias("pos"), "title")
+    """Headlines (whole first lines) of a day (documents dealt to days of at most some hundred) kept in order."""
+    title = F.substring_index("text", "\n", 1).alias("title")
+    titles = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 200).alias("day"), (F.col("doc_id") % 3).alias("level"), F.col("doc_id").alias("pos"), title)
     return text.headline_dedup(titles, "day")
 
 
