@@ -2,7 +2,7 @@
 
 Blockwise suffix sorting with a difference cover. Positions whose number modulo PERIOD is in COVER are the cover sample: any
 two positions have a common distance below PERIOD at which both meet the sample, so two equal strings of WIDTH bytes hold
-equal sampled strings of WIDTH - PERIOD + 1 bytes at one distance. First the sample is ranked: its strings are named by hash, and
+equal sampled strings of WIDTH - PERIOD + 1 bytes at one distance. The sample isn't ranked: its strings are named by hash, and
 a position is kept when its name stands anywhere else. Then the suffixes that start up to PERIOD - 1 bytes before a kept
 position are sorted one bucket at a time (a bucket is a range of their names, a task sorts one) and those that tie over WIDTH bytes
 are marked. All other suffixes can't tie and are never sorted, moved or held.
