@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import registry, simulation, stats, text
+from tidewell.operators import nulls, registry, stats, text
 from tidewell.sources import files, sinks
 from tidewell.streaming import ticks
 
@@ -113,7 +113,7 @@ def test_statistics_against_numpy(spark):
     assert abs(a + np.log(3)) < 1e-4 and abs(a + b - np.log(3)) < 1e-4
     at = simulation.stationary_bootstrap(500, 20, rng)
     assert len(at) == 500 and 0.85 < np.mean(np.diff(at) % 500 == 1) < 1
-    assert stats.numpy_offsets(100, 3, 5, 90, 7) == [int(v) for v in np.random.default_rng(7).integers(5, 90, size=3)]
+    assert nulls.numpy_offsets(100, 3, 5, 90, 7) == [int(v) for v in np.random.default_rng(7).integers(5, 90, size=3)]
 
 
 def test_replicas_are_the_same_wherever_they_run(spark):

@@ -79,6 +79,27 @@ def filled(x: Column, most: int | None = None) -> Column:
     return F.last(x, ignorenulls=True).over(so_far() if most is None else rows(-most, 0))
 
 
+def filled_back(x: Column) -> Column:
+    """The next non-null value."""
+    return F.first(x, ignorenulls=True).over(ordered().rowsBetween(0, W.unboundedFollowing))
+
+
+def quantile_of_rows(x: Column, q: float, k: int, lag: int = 0) -> Column:
+    """Exact quantile of the k rows that end lag rows before; null unless they hold k values."""
+    frame = rows(-(k - 1) - lag, -lag)
+    return F.when(F.count(x).over(frame) == k, F.percentile(x, F.lit(q)).over(frame))
+
+
+def population_sd(x: Column, k: int) -> Column:
+    """Standard deviation over k rows, divided by k."""
+    return guarded(F.stddev_pop, x, k)
+
+
+def span_of_rows(k: int) -> Column:
+    """Days from a row to the one k rows on."""
+    return F.date_diff(after(F.col(DAY), k), F.col(DAY))
+
+
 def correlation(x: Column, y: Column, k: int) -> Column:
     """Pearson's of the last k pairs; null unless there are k, and where one side doesn't vary."""
     both = x.isNotNull() & y.isNotNull()

@@ -107,18 +107,23 @@ def position_sizes(ranges: DataFrame, capital: float, loss: float) -> DataFrame:
 
 
 def regime_change(bars: DataFrame) -> DataFrame:
-    """Whether volatility of 90 rows has been outside its historical band on each of the last PERSISTENT rows. Null under REFERENCE_ROWS rows."""
+    """Whether volatility of 90 rows has been outside its historical band on each of the last PERSISTENT rows.
+
+    A series under REFERENCE_ROWS rows is inactive for want of history: reason says so, its numbers are null.
+    """
     v = log_vol(bars, 90).where("v IS NOT NULL").select("series", "d", "v")
     v = v.withColumn("back", F.row_number().over(S.whole().orderBy(F.desc("d"))))
     past = F.when(F.col("back") > 1, F.col("v"))
     band = v.groupBy("series").agg(F.percentile(past, F.lit(EDGE)).alias("lo"), F.percentile(past, F.lit(1 - EDGE)).alias("hi"), F.max_by("v", "d").alias("now"), F.count("*").alias("n")).where(F.col("n") >= REFERENCE_ROWS)
-    joined = v.join(F.broadcast(band), "series")
+    joined = v.join(band, "series")
     out = joined.groupBy("series", "lo", "hi", "now").agg(
         F.count_if((F.col("back") <= PERSISTENT) & ((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")))).alias("days_outside"),
         S.strict_percentile(F.when(F.col("back") > 1, F.col("v")), F.col("now")).alias("p"),
     )
     side = F.when(F.col("now") < F.col("lo"), "por debajo").when(F.col("now") > F.col("hi"), "por encima").otherwise("dentro")
-    return out.select("series", (F.col("days_outside") >= PERSISTENT).alias("active"), *S.rounded(vol=F.col("now") * 100, low=F.col("lo") * 100, high=F.col("hi") * 100, percentile=F.col("p")), side.alias("side"), "days_outside")
+    judged = out.select("series", (F.col("days_outside") >= PERSISTENT).alias("active"), *S.rounded(vol=F.col("now") * 100, low=F.col("lo") * 100, high=F.col("hi") * 100, percentile=F.col("p")), side.alias("side"), "days_outside")
+    short = F.when(F.col("active").isNull(), F.lit("insufficient history"))
+    return bars.select("series").distinct().join(judged, "series", "left").withColumn("reason", short).withColumn("active", F.coalesce("active", F.lit(False)))
 
 
 def calibration(bars: DataFrame, months: int = 24, least: int = 90) -> DataFrame:

@@ -11,6 +11,9 @@ ENTER, LEAVE, NOTHING = ["Entrar", "Ampliar"], ["Reducir", "Salir"], "No hacer n
 RISKY = ["Con prisa / miedo a perderlo", "Confiado tras un acierto", "Frustrado tras un error"]
 #: Rows under which a book isn't reviewed.
 LEAST = 10
+#: Least entries with an amount and least results behind size_after_result(); entries with a distance from the average, rows with a mood,
+#: rows with mood and result, and such rows on either side behind patterns().
+ENTRIES, RESULTS, CHASES, MOODS, OUTCOMES, SIDE = 4, 3, 4, 6, 8, 3
 
 
 def wins(result: str = "result"):
@@ -25,13 +28,17 @@ def unkept_limits(journal: DataFrame, price: float) -> DataFrame:
 
 
 def size_after_result(journal: DataFrame) -> DataFrame:
-    """Mean amount after a won and after a lost operation; flagged when it is 1.3 times as much after wins."""
+    """Mean amount after a won and after a lost operation; flagged when it is 1.3 times as much after wins.
+
+    Books with fewer than ENTRIES entries or RESULTS results are left out.
+    """
     entry = F.col("kind").isin(*ENTER) & F.col("amount").isNotNull()
     # the last result dated before the day, carried along the book's days
     days = journal.groupBy("book", "d").agg(F.max_by("result", F.when(F.col("result").isNotNull(), F.col("n"))).alias("own"))
     before = F.last("own", ignorenulls=True).over(W.partitionBy("book").orderBy("d").rowsBetween(W.unboundedPreceding, -1))
     previous = days.select("book", "d", before.alias("previous"))
-    ranked = journal.where(entry).withColumn("i", F.row_number().over(W.partitionBy("book").orderBy("d", "n")))
+    enough = journal.groupBy("book").agg(F.count_if(entry).alias("e"), F.count("result").alias("o")).where((F.col("e") >= ENTRIES) & (F.col("o") >= RESULTS))
+    ranked = journal.where(entry).join(enough.select("book"), "book", "left_semi").withColumn("i", F.row_number().over(W.partitionBy("book").orderBy("d", "n")))
     x = ranked.where("i > 1").join(previous, ["book", "d"]).where("previous IS NOT NULL")
     won = wins("previous")
     got = x.groupBy("book").agg(F.count_if(won).alias("n_won"), F.count_if(~won).alias("n_lost"), F.avg(F.when(won, F.col("amount"))).alias("after_won"), F.avg(F.when(~won, F.col("amount"))).alias("after_lost"))
@@ -54,6 +61,10 @@ def patterns(journal: DataFrame) -> DataFrame:
     got = numbered.groupBy("book").agg(
         F.count("*").alias("n"),
         F.count_if(entry).alias("entries"),
+        F.count_if(entry & F.col("vs_sma200").isNotNull()).alias("placed"),
+        F.count("mood").alias("moods"),
+        F.count_if(result & mood & risky).alias("risky_results"),
+        F.count_if(result & mood & ~risky).alias("calm_results"),
         share(F.col("limit_price").isNull(), entry).alias("without_limit"),
         share(F.col("vs_sma200") > 20, entry & F.col("vs_sma200").isNotNull()).alias("chased"),
         share(risky, mood).alias("in_risk"),
@@ -68,9 +79,9 @@ def patterns(journal: DataFrame) -> DataFrame:
     flagged = got.where(F.col("n") >= LEAST).select(
         "book", "n", "entries", *[c.alias(k) for k, c in numbers.items()],
         flag((F.col("entries") >= 3) & (F.col("without_limit") > 0.3)).alias("no_limits"),
-        flag((F.col("entries") >= 4) & (F.col("chased") > 0.5)).alias("chases"),
-        flag(F.col("in_risk") > 0.4).alias("risky_mood"),
-        flag(F.col("won_calm") - F.col("won_in_risk") > 0.2).alias("mood_costs"),
+        flag((F.col("placed") >= CHASES) & (F.col("chased") > 0.5)).alias("chases"),
+        flag((F.col("moods") >= MOODS) & (F.col("in_risk") > 0.4)).alias("risky_mood"),
+        flag((F.col("risky_results") + F.col("calm_results") >= OUTCOMES) & (F.least("risky_results", "calm_results") >= SIDE) & (F.col("won_calm") - F.col("won_in_risk") > 0.2)).alias("mood_costs"),
         flag((F.col("actives") >= 8) & (F.col("rate2") > F.col("rate1") * 1.5)).alias("faster"),
     )
     return flagged

@@ -5,6 +5,10 @@ Rows are (series, d, m, r): m whether the day is masked, r the return that follo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,66 +65,29 @@ def incremental_r2(df: DataFrame, base: list[str], added: str, y: str) -> DataFr
     One pass gathers the covariances; their Cholesky factor is worked out in columns. Null where a column depends on others.
     """
     names = [*base, added, y]
-    k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    out = df.dropna(subset=names).groupBy("series").agg(F.count("*").alias("n"), *[F.covar_pop(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"s{i}_{j}") for i, j in pairs])
-    for j in range(k):
-        left = lambda i, j=j: F.col(f"s{i}_{j}") - sum((F.col(f"l{i}_{m}") * F.col(f"l{j}_{m}") for m in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.when(left(j) > 1e-18, left(j))))
-        out = out.withColumns({f"l{i}_{j}": left(i) / F.col(f"l{j}_{j}") for i in range(j + 1, k)}) if j + 1 < k else out
-    total = F.col(f"s{k - 1}_{k - 1}")
-    share = lambda m: F.col(f"l{k - 1}_{m}") * F.col(f"l{k - 1}_{m}") / total
-    return out.select("series", "n", sum((share(m) for m in range(len(base))), F.lit(0.0)).alias("r2"), (100 * share(len(base))).alias("gain"))
-
-
-def numpy_offsets(length: int, n: int, low: int, high: int, seed: int) -> list[int]:
-    """n circular shifts in [low, high), drawn as NumPy's default generator draws them."""
-    import numpy as np
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    sums = [F.covar_pop(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"s{i}_{j}") for i, j in pairs]
+    return cholesky_gain(df.dropna(subset=names).groupBy("series").agg(F.count("*").alias("n"), *sums), len(base), ["series"])
 
-    return [int(x) for x in np.random.default_rng(seed).integers(low, high, size=n)]
 
+def cholesky_gain(cov: DataFrame, n_base: int, by: list[str]) -> DataFrame:
+    """cov: by, n and covariances s{i}_{j} of base, added and y. by, n, r2, gain, by the Cholesky factor of each row's covariances, batches of rows at once."""
+    k = n_base + 2
+    kinds = {f.name: f.dataType.simpleString() for f in cov.schema.fields}
 
-def unit_draws(n: int, seed: int) -> list[float]:
-    """n draws from [0, 1), scaled to each series' own range of shifts by rotated()."""
-    import numpy as np
+    def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            f: dict[tuple[int, int], np.ndarray] = {}
+            for j in range(k):
+                for i in range(j, k):
+                    left = pdf[f"s{i}_{j}"].to_numpy(dtype=float) - sum(f[i, m] * f[j, m] for m in range(j))
+                    f[i, j] = np.sqrt(np.where(left > 1e-18, left, np.nan)) if i == j else left / f[j, j]
+            share = [f[k - 1, m] ** 2 / pdf[f"s{k - 1}_{k - 1}"].to_numpy(dtype=float) for m in range(k - 1)]
+            whole = np.isfinite(f[k - 1, k - 1])
+            yield pdf[[*by, "n"]].assign(r2=np.where(whole, sum(share[:-1]), np.nan), gain=np.where(whole, 100 * share[-1], np.nan))
 
-    return [round(float(x), 9) for x in np.random.default_rng(seed).random(n)]
-
-
-def rotated(df: DataFrame, draws: list[float], exclusion: int = 30) -> DataFrame:
-    """df's rows once for each draw k: series, k, r, and m of the mask turned by a shift in [exclusion, rows - exclusion].
-
-    A row of series meets one row of the turned mask: an equi-join on the position, for each draw. Series with too few rows are left out.
-    """
-    i = F.row_number().over(S.ordered()) - 1
-    placed = df.select("series", "m", "r", i.alias("i"), F.count("*").over(S.whole()).alias("l")).where(F.col("l") > 2 * exclusion)
-    shifts = F.transform(F.array(*map(F.lit, draws)), lambda u: (exclusion + F.floor(u * (F.col("l") - 2 * exclusion + 1))).cast("int"))
-    turned = placed.select("series", "m", "l", "i", F.posexplode(shifts).alias("k", "s"))
-    turned = turned.select("series", "k", "m", ((F.col("i") + F.col("s")) % F.col("l")).cast("int").alias("i"))
-    return turned.join(placed.select("series", "i", "r"), ["series", "i"]).select("series", "k", "m", "r")
-
-
-def rotation_p_values(df: DataFrame, draws: list[float], exclusion: int = 30) -> DataFrame:
-    """series, theta and the shares of rotations whose theta is at least, at most, and in size at least as large."""
-    null = rotated(df, draws, exclusion).groupBy("series", "k").agg(theta().alias("t"))
-    real = df.groupBy("series").agg(theta().alias("theta"))
-    share = lambda c: F.avg(c.cast("double"))
-    t, real_t = F.col("t"), F.col("theta")
-    return null.join(real, "series").groupBy("series", "theta").agg(
-        F.count("t").alias("n"), share(t >= real_t).alias("p_positive"), share(t <= real_t).alias("p_negative"), share(F.abs(t) >= F.abs(real_t)).alias("p_both")
-    )
-
-
-def restricted_draws(df: DataFrame, draws: list[float], most: float = 0.10, exclusion: int = 30) -> DataFrame:
-    """series, k of the rotations whose masked rows are dealt over terciles (column t) like the real ones, within most."""
-    i = F.row_number().over(S.ordered()) - 1
-    placed = df.select("series", "m", "t", i.alias("i"), F.count("*").over(S.whole()).alias("l")).where(F.col("l") > 2 * exclusion)
-    shares = lambda d, by: d.where("m").groupBy(*by).agg(*[F.avg((F.col("t") == x).cast("double")).alias(f"{'r' if 'k' not in by else 'n'}{x}") for x in (0, 1, 2)])
-    shifts = F.transform(F.array(*map(F.lit, draws)), lambda u: (exclusion + F.floor(u * (F.col("l") - 2 * exclusion + 1))).cast("int"))
-    turned = placed.where("m").select("series", "m", "l", "i", F.posexplode(shifts).alias("k", "s"))
-    turned = turned.select("series", "k", "m", ((F.col("i") + F.col("s")) % F.col("l")).cast("int").alias("i")).join(placed.select("series", "i", "t"), ["series", "i"])
-    off = F.greatest(*[F.abs(F.col(f"r{x}") - F.col(f"n{x}")) for x in (0, 1, 2)])
-    return shares(turned, ["series", "k"]).join(shares(placed, ["series"]), "series").select("series", "k", off.alias("off")).where(F.col("off") <= most)
+    out = cov.mapInPandas(factor, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n long", "r2 double", "gain double"]))
+    return out.select(*by, "n", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("r2", "gain")])
 
 
 def benjamini_yekutieli(p: DataFrame, q: float = 0.05, least: int = 3) -> DataFrame:
@@ -142,12 +109,31 @@ def trimmed_mean(df: DataFrame, x: str, by: list[str], share: float = 0.10) -> D
     return ranked.where((F.col("i") > cut) & (F.col("i") <= F.col("n") - cut)).groupBy(*by).agg(F.avg(x).alias("trimmed"))
 
 
-def hodges_lehmann(df: DataFrame, most: int = 400) -> DataFrame:
-    """series, shift: the median of the differences of masked and other returns, of the last most rows of either side."""
-    ranked = df.withColumn("i", F.row_number().over(W.partitionBy("series", "m").orderBy(F.desc("d")))).where(F.col("i") <= most)
-    sides = ranked.groupBy("series").agg(F.collect_list(F.when(F.col("m"), F.col("r"))).alias("a"), F.collect_list(F.when(~F.col("m"), F.col("r"))).alias("b"))
-    one = sides.select("series", F.explode("a").alias("x"), "b").select("series", "x", F.explode("b").alias("y"))
-    return one.groupBy("series").agg(F.percentile(F.col("x") - F.col("y"), F.lit(0.5)).alias("shift"))
+def hodges_lehmann(df: DataFrame) -> DataFrame:
+    """series, shift: the median of the differences of all masked and all other returns; null without rows on a side.
+
+    No pair is made: how many differences are at most x is counted by binary search in the sorted sides, and x is bisected. A series has one row a day.
+    """
+
+    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.sort(pdf.loc[pdf["m"] == side, "r"].to_numpy(dtype=float)) for side in (True, False))
+        n = len(a) * len(b)
+        found = (_nth_difference(a, b, (n - 1) // 2) + _nth_difference(a, b, n // 2)) / 2 if n else None
+        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "shift": pd.Series([found], dtype="float64")})
+
+    return df.select("series", "m", "r").groupBy("series").applyInPandas(shift, f"series {df.schema['series'].dataType.simpleString()}, shift double")
+
+
+def _nth_difference(a: np.ndarray, b: np.ndarray, n: int) -> float:
+    """The nth smallest (from 0) of all a - b, both sorted."""
+    low, high = a[0] - b[-1], a[-1] - b[0]
+    at_most = lambda x: int((len(b) - np.searchsorted(b, a - x, side="left")).sum())
+    while True:
+        middle = low + (high - low) / 2
+        if middle <= low or middle >= high:
+            break
+        low, high = (low, middle) if at_most(middle) > n else (middle, high)
+    return float(low if at_most(low) > n else high)
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -181,12 +167,17 @@ def ar1(df: DataFrame, x: str = "value") -> DataFrame:
     return fitted.groupBy("series", "phi").agg(F.avg(x).alias("mean"), F.stddev_samp(F.col("c") - F.col("phi") * F.col("b")).alias("sd"))
 
 
-def sign_consistency(quarters: DataFrame, sign: int, least: int = 3) -> DataFrame:
-    """quarters: series, t (null where not evaluable). Most quarters have the sign: yes, no, or none under least quarters or at a tie."""
-    good, bad = F.count_if(F.signum("t") == sign), F.count_if((F.signum("t") == -sign))
-    got = quarters.groupBy("series").agg(F.count("t").alias("n"), good.alias("same"), bad.alias("other"))
-    verdict = F.when(F.col("n") < least, "none").when(F.col("same") > F.col("other"), "yes").when(F.col("same") < F.col("other"), "no").otherwise("none")
-    return got.select("series", "n", "same", "other", verdict.alias("verdict"))
+def sign_consistency(quarters: DataFrame, sign: Column | int, least: int = 3) -> DataFrame:
+    """quarters: series, t (null where not evaluable). series, n, undefined, same, verdict: whether more than half of the n quarters have the sign.
+
+    A quarter of 0 counts against it. No verdict ("none") under least quarters and at exactly half.
+    """
+    got = quarters.groupBy("series").agg(F.count("t").alias("n"), F.count_if(F.col("t").isNull()).alias("undefined"), F.count_if(F.signum("t") == sign).alias("same"))
+    return got.select("series", "n", "undefined", "same", majority(F.col("same"), F.col("n"), least).alias("verdict"))
+
+
+def majority(same: Column, n: Column, least: int = 3) -> Column:
+    return F.when((n < least) | (2 * same == n), "none").when(2 * same > n, "yes").otherwise("no")
 
 
 def isotonic_blocks(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:

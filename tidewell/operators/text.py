@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words without a meaning of their own in titles.
-STOP = ["that", "this", "with", "from", "para", "como", "sobre", "entre", "desde", "hasta", "will", "have", "been", "after", "over", "into"]
+STOP = [
+    "the", "and", "for", "with", "from", "that", "this", "says", "said", "will", "new", "its", "his", "her", "has", "have", "after", "over",
+    "into", "amid", "about", "today", "week", "year", "más", "para", "como", "por", "los", "las", "una",
+]
+# The heading behind which a digest's closing section stands.
+CLOSING = r"#{1,4}\s*\**\s*QU[ÉE]\s+HACER\s+ESTA\s+SEMANA\s*\**\s*\n"
 # Issuers (parts of names) and forms of routine filings.
 ROUTINE_ISSUERS = [
     "jpmorgan", "morgan stanley", "bank of nova scotia", "goldman sachs", "citigroup", "bofa finance", "royal bank of canada", "toronto-dominion",
@@ -45,15 +50,16 @@ def parsed_date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATES])
 
 
-def sections(text: Column, heading: str) -> tuple[Column, Column]:
-    """What stands before and behind the first heading (a pattern); all and nothing where there is none."""
+def sections(text: Column, heading: str = CLOSING) -> tuple[Column, Column]:
+    """The section behind the first heading (a pattern), and what stands before it; where there is no heading: null, and the whole text as it is."""
     at = F.regexp_instr(text, F.lit(f"(?is){heading}"))
     found = F.regexp_extract(text, f"(?is)({heading})", 1)
-    return F.when(at > 0, F.trim(F.substring(text, F.lit(1), at - 1))).otherwise(F.trim(text)), F.when(at > 0, F.trim(F.substring(text, at + F.length(found), F.length(text)))).otherwise(F.lit(""))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.when(at > 0, bare(F.substring(text, at + F.length(found), F.length(text)))), F.when(at > 0, bare(F.substring(text, F.lit(1), at - 1))).otherwise(text)
 
 
 def relevant(text: Column, keywords: list[str]) -> Column:
-    low = F.lower(text)
+    low = F.lower(F.coalesce(text, F.lit("")))
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))
 
 

@@ -102,8 +102,8 @@ def position_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {BARS_SQL}, {RET_SQL}, {_vol(90)}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY d DESC) AS back FROM v WHERE v IS NOT NULL),
     b AS (SELECT series, quantile_cont(v, 0.1) FILTER (back > 1) AS lo, quantile_cont(v, 0.9) FILTER (back > 1) AS hi, arg_max(v, d) AS now FROM n GROUP BY series HAVING count(*) >= {context.REFERENCE_ROWS}),
     o AS (SELECT series, lo, hi, now, count(*) FILTER (back <= 60 AND (v < lo OR v > hi)) AS days_outside, avg((v < now)::INT) FILTER (back > 1) * 100 AS p FROM n JOIN b USING (series) GROUP BY ALL)
-    SELECT series, days_outside >= 60 AS active, round(now * 100, 6) AS vol, round(lo * 100, 6) AS low, round(hi * 100, 6) AS high, round(p, 6) AS percentile,
-    CASE WHEN now < lo THEN 'por debajo' WHEN now > hi THEN 'por encima' ELSE 'dentro' END AS side, days_outside FROM o"""
+    SELECT series, coalesce(days_outside >= 60, false) AS active, round(now * 100, 6) AS vol, round(lo * 100, 6) AS low, round(hi * 100, 6) AS high, round(p, 6) AS percentile,
+    CASE WHEN now < lo THEN 'por debajo' WHEN now > hi THEN 'por encima' WHEN now IS NOT NULL THEN 'dentro' END AS side, days_outside, CASE WHEN now IS NULL THEN 'insufficient history' END AS reason FROM (SELECT DISTINCT series FROM bars) LEFT JOIN o USING (series)"""
 )
 def regime_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.regime_change(bars(spark, sf_dir))

@@ -157,7 +157,8 @@ def journal_unkept_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {JOURNAL_SQL}, d AS (SELECT book, d, arg_max(result, n) FILTER (result IS NOT NULL) AS own FROM journal GROUP BY ALL),
     p AS (SELECT book, d, last_value(own IGNORE NULLS) OVER (PARTITION BY book ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM d),
-    e AS (SELECT book, d, amount, row_number() OVER (PARTITION BY book ORDER BY d, n) AS i FROM journal WHERE kind IN {_IN} AND amount IS NOT NULL),
+    enough AS (SELECT book FROM journal GROUP BY book HAVING count(*) FILTER (kind IN {_IN} AND amount IS NOT NULL) >= 4 AND count(result) >= 3),
+    e AS (SELECT book, d, amount, row_number() OVER (PARTITION BY book ORDER BY d, n) AS i FROM journal WHERE book IN (SELECT book FROM enough) AND kind IN {_IN} AND amount IS NOT NULL),
     x AS (SELECT book, amount, previous LIKE 'g%' AS won FROM e JOIN p USING (book, d) WHERE i > 1 AND previous IS NOT NULL),
     g AS (SELECT book, count(*) FILTER (won) AS n_won, count(*) FILTER (NOT won) AS n_lost, avg(amount) FILTER (won) AS a, avg(amount) FILTER (NOT won) AS b FROM x GROUP BY book)
     SELECT book, n_won, n_lost, round(a, 5) AS after_won, round(b, 5) AS after_lost, coalesce(n_won >= 2 AND n_lost >= 2 AND a > b * 1.3, false) AS flagged FROM g"""
@@ -174,10 +175,11 @@ def journal_size_after_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT book, count(*) AS n, count(*) FILTER (entry) AS entries, count(*) FILTER (entry AND limit_price IS NULL) / nullif(count(*) FILTER (entry), 0) AS without_limit,
       count(*) FILTER (entry AND vs_sma200 > 20) / nullif(count(*) FILTER (entry AND vs_sma200 IS NOT NULL), 0) AS chased, count(*) FILTER (risky) / nullif(count(mood), 0) AS in_risk,
       avg(won::INT) FILTER (result IS NOT NULL AND risky) AS won_in_risk, avg(won::INT) FILTER (result IS NOT NULL AND NOT risky) AS won_calm,
-      count(*) FILTER (h1) / greatest(max(d) FILTER (h1) - min(d) FILTER (h1), 1) * 30 AS rate1, count(*) FILTER (h2) / greatest(max(d) FILTER (h2) - min(d) FILTER (h2), 1) * 30 AS rate2, count(*) FILTER (act) AS actives FROM h GROUP BY book)
+      count(*) FILTER (h1) / greatest(max(d) FILTER (h1) - min(d) FILTER (h1), 1) * 30 AS rate1, count(*) FILTER (h2) / greatest(max(d) FILTER (h2) - min(d) FILTER (h2), 1) * 30 AS rate2, count(*) FILTER (act) AS actives,
+      count(*) FILTER (entry AND vs_sma200 IS NOT NULL) AS placed, count(mood) AS moods, count(*) FILTER (result IS NOT NULL AND risky) AS rr, count(*) FILTER (result IS NOT NULL AND NOT risky) AS cr FROM h GROUP BY book)
     SELECT book, n, entries, round(without_limit, 6) AS without_limit, round(chased, 6) AS chased, round(in_risk, 6) AS in_risk, round(won_in_risk, 6) AS won_in_risk, round(won_calm, 6) AS won_calm, round(rate1, 6) AS rate1, round(rate2, 6) AS rate2,
-      coalesce(entries >= 3 AND without_limit > 0.3, false) AS no_limits, coalesce(entries >= 4 AND chased > 0.5, false) AS chases, coalesce(in_risk > 0.4, false) AS risky_mood,
-      coalesce(won_calm - won_in_risk > 0.2, false) AS mood_costs, coalesce(actives >= 8 AND rate2 > rate1 * 1.5, false) AS faster FROM g WHERE n >= 10"""
+      coalesce(entries >= 3 AND without_limit > 0.3, false) AS no_limits, coalesce(placed >= 4 AND chased > 0.5, false) AS chases, coalesce(moods >= 6 AND in_risk > 0.4, false) AS risky_mood,
+      coalesce(rr + cr >= 8 AND rr >= 3 AND cr >= 3 AND won_calm - won_in_risk > 0.2, false) AS mood_costs, coalesce(actives >= 8 AND rate2 > rate1 * 1.5, false) AS faster FROM g WHERE n >= 10"""
 )
 def journal_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.patterns(_journal(spark, sf_dir))
@@ -198,12 +200,12 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "['" + "', '".join(text.STOP) + "']"
-_TITLE = "substring(split_part(text, chr(10), 1), 1, 120)"
+_TITLE = "split_part(text, chr(10), 1)"
 WORDS_SQL = f"""words AS (SELECT doc_id, source, {_TITLE} AS title, coalesce(list_sort(list_distinct(list_transform(list_filter(string_split_regex(regexp_replace(lower({_TITLE}), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 3 AND NOT list_contains({_STOP}, w)), lambda w: substring(w, 1, 6)))), []) AS words FROM documents)"""
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 120)
+    title = F.substring_index("text", "\n", 1)
     return table(spark, sf_dir, "documents").select("doc_id", "source", title.alias("title"))
 
 
@@ -213,16 +215,15 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH b AS (SELECT conv_id, turn, text, regexp_extract(text, '(?is)(?:please|the first|thank)', 0) AS h FROM conversations)
-    SELECT conv_id, turn, trim(CASE WHEN h <> '' THEN substring(text, 1, strpos(text, h) - 1) ELSE text END, ' ') AS summary, CASE WHEN h <> '' THEN trim(substring(text, strpos(text, h) + length(h)), ' ') ELSE '' END AS body FROM b WHERE text IS NOT NULL""")
+    SELECT conv_id, turn, CASE WHEN h <> '' THEN trim(substring(text, strpos(text, h) + length(h)), E' \t\n\r') END AS summary, CASE WHEN h <> '' THEN trim(substring(text, 1, strpos(text, h) - 1), E' \t\n\r') ELSE text END AS body FROM b""")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary, body = text.sections(F.col("text"), "(?:please|the first|thank)")
-    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", summary.alias("summary"), body.alias("body"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", summary.alias("summary"), body.alias("body"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'copyright') OR contains(lower(text), 'password') AS relevant, CASE WHEN (contains(lower(source), 'src1') OR contains(lower(source), 'src2')) AND upper(lang) IN ('EN', 'DE') THEN 'baja' ELSE 'alta' END AS priority FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id, contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'copyright') OR contains(lower(coalesce(text, '')), 'password') AS relevant, CASE WHEN (contains(lower(coalesce(source, '')), 'src1') OR contains(lower(coalesce(source, '')), 'src2')) AND upper(coalesce(lang, '')) IN ('EN', 'DE') THEN 'baja' ELSE 'alta' END AS priority FROM documents")
 def priority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
-    return docs.select("doc_id", text.relevant(F.col("text"), ["license", "copyright", "password"]).alias("relevant"), text.priority(F.col("source"), F.col("lang"), ["src1", "src2"], ["EN", "DE"]).alias("priority"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.relevant(F.col("text"), ["license", "copyright", "password"]).alias("relevant"), text.priority(F.col("source"), F.col("lang"), ["src1", "src2"], ["EN", "DE"]).alias("priority"))
 
 
 @query()

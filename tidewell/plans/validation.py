@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import calendar, stats
+from tidewell.operators import calendar, nulls, stats
 from tidewell.plans.rolling import O, SO_FAR, _sql_guarded
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 
 QUERIES, SQL = {}, {}
-#: Rows ahead of the return, draws of the rotations.
-AHEAD, DRAWS = 30, stats.unit_draws(60, 46)
+#: Rows ahead of the return; rotations of a p-value, and of a gate's threshold.
+AHEAD, DRAWS, GATE_DRAWS = 30, nulls.unit_draws(2000, 0), nulls.unit_draws(300, 46)
+#: Shuffles of the episodes.
+SHUFFLES = 300
 
 
 def query(sql: str | None = None):
@@ -226,12 +228,12 @@ def sign_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE = ["mayer", "vol30", "mom30"]
 
 
-def _r2_sql() -> str:
+def _r2_sql(by: str = "series") -> str:
     names = [*_BASE, "m", "r"]
     k = len(names)
     steps, last = [], "c0"
     head = ", ".join(f"covar_pop({names[i]}, {names[j]}) AS s{i}_{j}" for i in range(k) for j in range(i + 1))
-    steps.append(f"c0 AS (SELECT series, count(*) AS n, {head} FROM x GROUP BY series)")
+    steps.append(f"c0 AS (SELECT {by}, count(*) AS n, {head} FROM x GROUP BY {by})")
     for j in range(k):
         left = lambda i, j=j: f"(s{i}_{j}" + "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(j)) + ")"
         steps.append(f"d{j} AS (SELECT *, sqrt(CASE WHEN {left(j)} > 1e-18 THEN {left(j)} END) AS l{j}_{j} FROM {last})")
@@ -240,7 +242,13 @@ def _r2_sql() -> str:
         last = f"c{j + 1}"
     y = k - 1
     base = " + ".join(f"l{y}_{m} * l{y}_{m}" for m in range(len(_BASE)))
-    return f"{', '.join(steps)} SELECT series, n, round(({base}) / s{y}_{y}, 6) AS r2, round(100 * l{y}_{y - 1} * l{y}_{y - 1} / s{y}_{y}, 5) AS gain FROM {last}"
+    return f"{', '.join(steps)} SELECT {by}, n, round(({base}) / s{y}_{y}, 6) AS r2, round(100 * l{y}_{y - 1} * l{y}_{y - 1} / s{y}_{y}, 5) AS gain FROM {last}"
+
+
+def _with_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = bars(spark, sf_dir).withColumn("ret", S.change(S.close()))
+    b = p.select("series", "d", (S.close() / S.sma(S.close(), 200)).alias("mayer"), S.guarded(F.stddev_samp, F.col("ret"), 30).alias("vol30"), S.change(S.close(), 30).alias("mom30"))
+    return masked_returns(spark, sf_dir).join(b, ["series", "d"]).dropna(subset=_BASE)
 
 
 @query(
@@ -249,47 +257,139 @@ def _r2_sql() -> str:
     x AS (SELECT series, m::INT::DOUBLE AS m, r, mayer, vol30, mom30 FROM z JOIN b USING (series, d) WHERE mayer IS NOT NULL AND vol30 IS NOT NULL AND mom30 IS NOT NULL), {_r2_sql()}"""
 )
 def delta_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bars(spark, sf_dir).withColumn("ret", S.change(S.close()))
-    b = p.select("series", "d", (S.close() / S.sma(S.close(), 200)).alias("mayer"), S.guarded(F.stddev_samp, F.col("ret"), 30).alias("vol30"), S.change(S.close(), 30).alias("mom30"))
-    x = masked_returns(spark, sf_dir).join(b, ["series", "d"]).withColumn("m", F.col("m").cast("int"))
+    x = _with_base(spark, sf_dir).withColumn("m", F.col("m").cast("int"))
     return stats.incremental_r2(x, _BASE, "m", "r").select("series", "n", F.round("r2", 6).alias("r2"), F.round("gain", 5).alias("gain"))
 
 
-ROTATED_SQL = f"""i AS (SELECT series, m, r, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY series) AS l FROM z),
+PLACED_SQL = f"i AS (SELECT series, d, m, r, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY series) AS l FROM z)"
+ROTATED_SQL = f"""{PLACED_SQL},
 draws AS (SELECT unnest(range({len(DRAWS)}))::INTEGER AS k, unnest({DRAWS}::DOUBLE[]) AS u),
 t AS (SELECT series, k, m, (i + 30 + floor(u * (l - 59))::BIGINT) % l AS i FROM i, draws WHERE l > 60),
 rot AS (SELECT t.series, t.k, t.m, i.r FROM t JOIN i ON t.series = i.series AND t.i = i.i)"""
+REAL_SQL = f"e AS (SELECT series, {THETA} AS theta FROM z GROUP BY series)"
+
+
+def _share(test: str) -> str:
+    return f"round(avg(({test})::INT), 6)"
 
 
 @query(
-    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {ROTATED_SQL}, n AS (SELECT series, k, {THETA} AS t FROM rot GROUP BY ALL), e AS (SELECT series, {THETA} AS theta FROM z GROUP BY series)
-    SELECT series, round(theta, 6) + 0 AS theta, count(t) AS n, round(avg((t >= theta)::INT), 6) AS p_positive, round(avg((t <= theta)::INT), 6) AS p_negative, round(avg((abs(t) >= abs(theta))::INT), 6) AS p_both FROM n JOIN e USING (series) GROUP BY series, theta"""
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {ROTATED_SQL}, n AS (SELECT series, k, {THETA} AS t FROM rot GROUP BY ALL), {REAL_SQL}
+    SELECT series, round(theta, 6) + 0 AS theta, count(t) AS n, {_share("t >= theta")} AS p_positive, {_share("t <= theta")} AS p_negative, {_share("abs(t) >= abs(theta)")} AS p_both FROM n JOIN e USING (series) GROUP BY series, theta"""
 )
 def rotation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.rotation_p_values(masked_returns(spark, sf_dir), DRAWS)
+    p = nulls.rotation_p_values(masked_returns(spark, sf_dir), DRAWS)
     return p.select("series", "n", *S.rounded(**{c: F.col(c) for c in ("theta", "p_positive", "p_negative", "p_both")}))
 
 
+GATE_SQL = f"""draws AS (SELECT unnest(range({len(GATE_DRAWS)}))::INTEGER AS k, unnest({GATE_DRAWS}::DOUBLE[]) AS u)"""
+
+
 @query(
-    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {ROTATED_SQL}, n AS (SELECT series, k, abs({THETA}) AS t FROM rot GROUP BY ALL)
-    SELECT series, count(t) AS n, round(quantile_cont(t, 0.95), 6) AS threshold FROM n WHERE t IS NOT NULL GROUP BY series HAVING count(t) >= {len(DRAWS) // 2}"""
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {SPEARMAN_SQL}, {GATE_SQL},
+    h AS (SELECT series, segment, m, rank() OVER (PARTITION BY series, segment ORDER BY r) + (count(*) OVER (PARTITION BY series, segment, r) - 1) / 2 AS y, row_number() OVER (PARTITION BY series ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY series) AS l
+      FROM (SELECT z.series, z.d, segment, m::INT AS m, r FROM z JOIN segments s ON z.series = s.series AND z.d BETWEEN s.a AND s.e)),
+    t AS (SELECT series, k, m, (i + 1 + floor(u * (l - 1))::BIGINT) % l AS i FROM h, draws WHERE l > 1),
+    c AS (SELECT t.series, k, segment, CASE WHEN count(*) >= 3 THEN covar_pop(t.m, y) / nullif(stddev_pop(t.m) * stddev_pop(y), 0) END AS rho FROM t JOIN h ON t.series = h.series AND t.i = h.i GROUP BY ALL),
+    n AS (SELECT series, k, CASE WHEN count(rho) = 4 THEN abs(quantile_cont(rho, 0.5)) END AS t FROM c GROUP BY ALL),
+    x AS (SELECT series, count(t) AS n, quantile_cont(t, 0.95) AS threshold FROM n WHERE t IS NOT NULL GROUP BY series HAVING count(t) >= 150),
+    o AS (SELECT series, CASE WHEN count(rho) = 4 THEN abs(quantile_cont(rho, 0.5)) END AS t FROM rho GROUP BY series)
+    SELECT series, n, round(threshold, 6) AS threshold, round(t, 6) AS statistic, coalesce(t >= threshold, false) AS passes FROM x JOIN o USING (series)"""
+)
+def gate_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median rank correlation of mask and return over four segments against its rotations."""
+    z = calendar.in_segments(masked_returns(spark, sf_dir))
+    real = _segment_rhos(spark, sf_dir).groupBy("series").agg(F.when(F.count("rho") == 4, F.abs(F.percentile("rho", F.lit(0.5)))).alias("t"))
+    limit = nulls.threshold(nulls.segment_rho_null(z, GATE_DRAWS, 4), "t", len(GATE_DRAWS))
+    return limit.join(real, "series").select("series", "n", *S.rounded(threshold=F.col("threshold"), statistic=F.col("t")), F.coalesce(F.col("t") >= F.col("threshold"), F.lit(False)).alias("passes"))
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {PLACED_SQL}, {GATE_SQL}, t AS (SELECT series, k, m, (i + 1 + floor(u * (l - 1))::BIGINT) % l AS i FROM i, draws WHERE l > 1),
+    n AS (SELECT t.series, k, abs({THETA.replace("(m)", "(t.m)").replace("NOT m", "NOT t.m")}) AS t FROM t JOIN i ON t.series = i.series AND t.i = i.i GROUP BY ALL)
+    SELECT series, count(t) AS n, round(quantile_cont(t, 0.95), 6) AS threshold FROM n WHERE t IS NOT NULL GROUP BY series HAVING count(t) >= {len(GATE_DRAWS) // 2}"""
 )
 def rotation_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    null = stats.rotated(masked_returns(spark, sf_dir), DRAWS).groupBy("series", "k").agg(F.abs(stats.theta()).alias("t")).where("t IS NOT NULL")
-    return null.groupBy("series").agg(F.count("t").alias("n"), F.round(F.percentile("t", F.lit(0.95)), 6).alias("threshold")).where(F.col("n") >= len(DRAWS) // 2)
+    """The 95th percentile of the effect's size over rotations by 1 to rows - 1."""
+    rows = nulls.gathered(masked_returns(spark, sf_dir)).where("l > 1")
+    null = nulls.dealt(rows, nulls.shifts(GATE_DRAWS, F.lit(1), F.col("l") - 1), "s").select("series", F.abs(nulls.effect(F.col("s"))).alias("t"))
+    return nulls.threshold(null, "t", len(GATE_DRAWS)).select("series", "n", *S.rounded(threshold=F.col("threshold")))
+
+
+_R2_FIELDS = ", ".join(f"o.{c}" for c in _BASE)
 
 
 @query(
-    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, v AS (SELECT *, ntile(3) OVER (PARTITION BY series ORDER BY r, d) - 1 AS t FROM z),
-    i AS (SELECT series, m, t, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY series) AS l FROM v), draws AS (SELECT unnest(range({len(DRAWS)}))::INTEGER AS k, unnest({DRAWS}::DOUBLE[]) AS u),
-    s AS (SELECT series, k, (i + 30 + floor(u * (l - 59))::BIGINT) % l AS i FROM i, draws WHERE l > 60 AND m),
-    n AS (SELECT s.series, k, {", ".join(f"avg((t = {x})::INT) AS n{x}" for x in (0, 1, 2))} FROM s JOIN i ON s.series = i.series AND s.i = i.i GROUP BY ALL),
-    e AS (SELECT series, {", ".join(f"avg((t = {x})::INT) AS r{x}" for x in (0, 1, 2))} FROM i WHERE m AND l > 60 GROUP BY series)
-    SELECT series, k, round(greatest(abs(r0 - n0), abs(r1 - n1), abs(r2 - n2)), 6) AS off FROM n JOIN e USING (series) WHERE greatest(abs(r0 - n0), abs(r1 - n1), abs(r2 - n2)) <= 0.1"""
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, p AS (SELECT *, close / lag(close) OVER {O} - 1 AS ret FROM bars),
+    b AS (SELECT series, d, close / {_sql_guarded("avg", "close", 200)} AS mayer, {_sql_guarded("stddev_samp", "ret", 30)} AS vol30, close / lag(close, 30) OVER {O} - 1 AS mom30 FROM p), {GATE_SQL},
+    h AS (SELECT series, m::INT::DOUBLE AS m, r, mayer, vol30, mom30, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY series) AS l FROM z JOIN b USING (series, d) WHERE mayer IS NOT NULL AND vol30 IS NOT NULL AND mom30 IS NOT NULL),
+    t AS (SELECT series, k, m, (i + 1 + floor(u * (l - 1))::BIGINT) % l AS i FROM h, draws WHERE l > 1), x AS (SELECT t.series, k, t.m, o.r, {_R2_FIELDS} FROM t JOIN h o ON o.series = t.series AND o.i = t.i),
+    n AS (WITH {_r2_sql("series, k")}) SELECT series, count(gain) AS n, round(quantile_cont(gain, 0.95), 4) AS threshold FROM n WHERE gain IS NOT NULL GROUP BY series HAVING count(gain) >= 150"""
+)
+def gate_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile, over rotations, of what a mask adds to R2."""
+    null = nulls.gain_null(_with_base(spark, sf_dir), GATE_DRAWS, _BASE, "r").withColumn("t", F.round("t", 5))
+    limit = nulls.threshold(null, "t", len(GATE_DRAWS))
+    return limit.select("series", "n", F.round("threshold", 4).alias("threshold"))
+
+
+TERCILES_SQL = f"""lr AS (SELECT series, d, ln(close / lag(close) OVER {O}) AS x FROM bars), lv AS (SELECT series, d, {_sql_guarded("stddev_samp", "x", 30)} AS v FROM lr),
+pq AS (SELECT *, CASE WHEN count(v) OVER w = 365 THEN quantile_cont(v, 1.0::DOUBLE / 3) OVER w END AS q1, CASE WHEN count(v) OVER w = 365 THEN quantile_cont(v, 2.0::DOUBLE / 3) OVER w END AS q2
+  FROM lv WINDOW w AS (PARTITION BY series ORDER BY d ROWS BETWEEN 365 PRECEDING AND 1 PRECEDING)),
+terciles AS (SELECT series, d, CASE WHEN q1 IS NULL OR v IS NULL THEN NULL WHEN v > q2 THEN 2 WHEN v > q1 THEN 1 ELSE 0 END AS t FROM pq)"""
+
+
+@query(f"WITH {BARS_SQL}, {TERCILES_SQL} SELECT series, d, t FROM terciles")
+def past_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nulls.past_terciles(bars(spark, sf_dir))
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {TERCILES_SQL}, i AS (SELECT series, d, m, r, t, row_number() OVER {O} - 1 AS i, count(*) OVER (PARTITION BY series) AS l FROM z LEFT JOIN terciles USING (series, d)),
+    g AS (SELECT series, l, count(*) AS n, {", ".join(f"count(*) FILTER (t = {x}) / count(*) AS b{x}" for x in (0, 1, 2))} FROM i WHERE m AND l > 60 GROUP BY ALL),
+    s AS (SELECT series, l, unnest(range(30, l - 29)) AS s FROM g), p AS (SELECT i.series, s, (i + s) % s.l AS i FROM i JOIN s ON i.series = s.series WHERE m),
+    c AS (SELECT p.series, s, {", ".join(f"count(*) FILTER (t = {x}) / count(*) AS c{x}" for x in (0, 1, 2))} FROM p JOIN i ON i.series = p.series AND i.i = p.i GROUP BY ALL),
+    a AS (SELECT c.series, s, l FROM c JOIN g USING (series) WHERE greatest(abs(c0 - b0), abs(c1 - b1), abs(c2 - b2)) <= 0.1::DOUBLE),
+    n AS (SELECT a.series, s, {THETA.replace("(r,", "(o.r,").replace("(m)", "(i.m)").replace("NOT m", "NOT i.m")} AS t FROM a JOIN i ON i.series = a.series JOIN i o ON o.series = i.series AND o.i = (i.i + s) % a.l GROUP BY ALL), {REAL_SQL},
+    x AS (SELECT g.series, theta, count(s) AS k, {_share("t >= theta")} AS p_positive, {_share("t <= theta")} AS p_negative FROM g JOIN e USING (series) LEFT JOIN n ON n.series = g.series GROUP BY ALL)
+    SELECT series, k AS n_admissible, k >= 200 AS evaluable, round(theta, 6) + 0 AS theta, CASE WHEN k >= 200 THEN p_positive END AS p_positive, CASE WHEN k >= 200 THEN p_negative END AS p_negative FROM x"""
 )
 def restricted_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = masked_returns(spark, sf_dir).withColumn("t", F.ntile(3).over(S.whole().orderBy("r", "d")) - 1)
-    return stats.restricted_draws(v, DRAWS).select("series", "k", *S.rounded(off=F.col("off")))
+    """Rotations that leave the masked days' shares of the volatility terciles (against the past) as they are."""
+    z = masked_returns(spark, sf_dir).join(nulls.past_terciles(bars(spark, sf_dir)), ["series", "d"], "left")
+    p = nulls.restricted_p_values(z)
+    return p.select("series", "n_admissible", "evaluable", *S.rounded(**{c: F.col(c) for c in ("theta", "p_positive", "p_negative")}))
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {PLACED_SQL}, g AS (SELECT series, l, count(*) FILTER (m) AS n FROM i GROUP BY ALL HAVING count(*) FILTER (m) > 0 AND count(*) FILTER (NOT m) > 0),
+    s AS (SELECT series, n, unnest(range(0, greatest(1, l - n))) AS s FROM g),
+    b AS (SELECT i.series, s, quantile_cont(r, 0.5) FILTER (i BETWEEN s AND s + n - 1) - quantile_cont(r, 0.5) FILTER (NOT i BETWEEN s AND s + n - 1) AS t FROM i JOIN s ON i.series = s.series GROUP BY ALL), {REAL_SQL}
+    SELECT series, round(theta, 6) + 0 AS theta, count(t) AS n, {_share("t >= theta")} AS p FROM b JOIN e USING (series) GROUP BY series, theta"""
+)
+def contiguous_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nulls.contiguous_p_values(masked_returns(spark, sf_dir)).select("series", "n", *S.rounded(theta=F.col("theta"), p=F.col("p")))
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {PLACED_SQL}, c AS (SELECT series, d, m, CASE WHEN m = lag(m) OVER {O} THEN 0 ELSE 1 END AS new FROM z), u AS (SELECT series, m, sum(new) OVER {SO_FAR} - 1 AS j FROM c),
+    runs AS (SELECT series, j::INTEGER AS j, m, count(*) AS n FROM u GROUP BY ALL), k AS (SELECT unnest(range({SHUFFLES}))::INTEGER AS k),
+    p AS (SELECT series, k, m, n, row_number() OVER (PARTITION BY series, k, m ORDER BY md5(k || ':' || j), n) AS o FROM runs, k), slot AS (SELECT series, j, m, row_number() OVER (PARTITION BY series, m ORDER BY j) AS o FROM runs),
+    v AS (SELECT series, k, j, m, p.n FROM p JOIN slot USING (series, m, o)), w AS (SELECT *, sum(n) OVER (PARTITION BY series, k ORDER BY j ROWS UNBOUNDED PRECEDING) - n AS start FROM v),
+    n AS (SELECT w.series, k, {THETA.replace("(r,", "(i.r,").replace("(m)", "(w.m)").replace("NOT m", "NOT w.m")} AS t FROM w JOIN i ON i.series = w.series AND i.i BETWEEN w.start AND w.start + w.n - 1 GROUP BY ALL), {REAL_SQL}
+    SELECT series, round(theta, 6) + 0 AS theta, count(t) AS n, {_share("t >= theta")} AS p_positive, {_share("t <= theta")} AS p_negative FROM n JOIN e USING (series) WHERE theta IS NOT NULL GROUP BY series, theta"""
+)
+def episode_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = nulls.episode_p_values(masked_returns(spark, sf_dir), SHUFFLES)
+    return p.select("series", "n", *S.rounded(**{c: F.col(c) for c in ("theta", "p_positive", "p_negative")}))
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {PLACED_SQL}, g AS (SELECT series, l, max(i) FILTER (m AND i >= l - 30) AS last, min(i) FILTER (m AND i < 30) AS first FROM i GROUP BY ALL)
+    SELECT series, coalesce(l - 1 - last + first + 1 <= 30, false) AS spliced FROM g"""
+)
+def splice_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nulls.spliced(masked_returns(spark, sf_dir))
 
 
 @query(
@@ -299,7 +399,7 @@ def restricted_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, round(p, 6) AS p, rank, round(lim, 6) AS "limit", coalesce(rank <= max(CASE WHEN p <= lim THEN rank END) OVER (), false) AS accepted FROM l"""
 )
 def benjamini_yekutieli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.rotation_p_values(masked_returns(spark, sf_dir), DRAWS).select(F.col("series").alias("id"), F.col("p_both").alias("p"))
+    p = nulls.rotation_p_values(masked_returns(spark, sf_dir), DRAWS).select(F.col("series").alias("id"), F.col("p_both").alias("p"))
     return stats.benjamini_yekutieli(p, 0.5).select("id", *S.rounded(p=F.col("p")), "rank", F.round("limit", 6).alias("limit"), "accepted")
 
 
@@ -312,11 +412,11 @@ def trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, k AS (SELECT series, m, r FROM z QUALIFY row_number() OVER (PARTITION BY series, m ORDER BY d DESC) <= 100)
-    SELECT a.series, round(quantile_cont(a.r - b.r, 0.5), 6) AS shift FROM k a JOIN k b ON a.series = b.series AND a.m AND NOT b.m GROUP BY a.series"""
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, p AS (SELECT a.series, quantile_cont(a.r - b.r, 0.5) AS x FROM z a JOIN z b ON a.series = b.series AND a.m AND NOT b.m GROUP BY a.series)
+    SELECT series, round(any_value(x), 6) AS shift FROM z LEFT JOIN p USING (series) GROUP BY series"""
 )
 def hodges_lehmann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.hodges_lehmann(masked_returns(spark, sf_dir), 100).select("series", *S.rounded(shift=F.col("shift")))
+    return stats.hodges_lehmann(masked_returns(spark, sf_dir)).select("series", *S.rounded(shift=F.col("shift")))
 
 
 QUARTER_SQL = f"k AS (SELECT series, year(d)::VARCHAR || '-Q' || quarter(d) AS quarter, {THETA} AS t FROM z GROUP BY ALL)"
@@ -328,8 +428,8 @@ def theta_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {QUARTER_SQL}, c AS (SELECT series, count(t) AS n, count(*) FILTER (sign(t) = 1) AS same, count(*) FILTER (sign(t) = -1) AS other FROM k GROUP BY series)
-    SELECT *, CASE WHEN n < 3 THEN 'none' WHEN same > other THEN 'yes' WHEN same < other THEN 'no' ELSE 'none' END AS verdict FROM c"""
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {QUARTER_SQL}, c AS (SELECT series, count(t) AS n, count(*) FILTER (t IS NULL) AS undefined, count(*) FILTER (sign(t) = 1) AS same FROM k GROUP BY series)
+    SELECT *, CASE WHEN n < 3 OR 2 * same = n THEN 'none' WHEN 2 * same > n THEN 'yes' ELSE 'no' END AS verdict FROM c"""
 )
 def sign_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarters = masked_returns(spark, sf_dir).groupBy("series", calendar.quarter(F.col("d")).alias("quarter")).agg(stats.theta().alias("t"))

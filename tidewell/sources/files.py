@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Names under which files carry the columns of bars.
+# Names under which files carry the columns of bars, the first one found counting.
 ALIASES = {
-    "d": ["date", "fecha", "day", "timestamp", "time"],
-    "open": ["open", "apertura", "price_open"],
-    "high": ["high", "maximo", "máximo", "price_high"],
-    "low": ["low", "minimo", "mínimo", "price_low"],
-    "close": ["close", "cierre", "price", "precio", "adj close"],
-    "vol": ["volume", "volumen", "vol"],
+    "d": ["date", "fecha", "timestamp", "time", "open_time"],
+    "open": ["open", "apertura"],
+    "high": ["high", "maximo", "máximo"],
+    "low": ["low", "minimo", "mínimo"],
+    "close": ["close", "cierre", "adj close", "adj_close"],
+    "vol": ["volume"],
 }
 
 
