@@ -1,10 +1,11 @@
+import datetime as dt
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import nulls, registry, stats, text
+from tidewell.operators import curves, nulls, panel, registry, stats, text
 from tidewell.sources import files, sinks
 from tidewell.streaming import ticks
 
@@ -109,13 +110,78 @@ def test_statistics_against_numpy(spark):
     want = np.interp(0.3, np.cumsum(w[order]) / w.sum(), x[order])
     assert abs(stats.weighted_quantile(df, "x", "w", 0.3, ["series"]).first()["quantile"] - want) < 1e-9
     assert stats.isotonic_blocks([(1, 1.0, 1), (2, 3.0, 1), (3, 2.0, 1)]) == [(1, 1, 1.0), (2, 3, 2.5)]
-    a, b = simulation.weighted_logistic(np.array([0.0, 0, 1, 1]), np.array([1.0, 0, 1, 0]), np.array([1.0, 3, 3, 1]))
+    points = spark.createDataFrame([("s", 0.0, 1.0, 4.0), ("s", 1.0, 3.0, 4.0)], "scenario string, x double, hits double, weight double")
+    a, b = curves.logistic(points, ["scenario"]).select("intercept", "slope").first()
     assert abs(a + np.log(3)) < 1e-4 and abs(a + b - np.log(3)) < 1e-4
-    at = simulation.stationary_bootstrap(500, 20, rng)
-    assert len(at) == 500 and 0.85 < np.mean(np.diff(at) % 500 == 1) < 1
     assert nulls.numpy_offsets(100, 3, 5, 90, 7) == [int(v) for v in np.random.default_rng(7).integers(5, 90, size=3)]
 
 
-def test_replicas_are_the_same_wherever_they_run(spark):
-    one = simulation.replicas(spark, [1, 2, 3], days=60, parts=1).orderBy("series", "d").collect()
-    assert one == simulation.replicas(spark, [3, 1, 2], days=60, parts=3).orderBy("series", "d").collect()
+def test_hodges_lehmann_is_the_median_of_all_differences(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 1), (7, 12), (30, 41)):
+        x, y = np.round(rng.normal(0, 1, n), 2), np.round(rng.normal(0, 1, m), 2)
+        rows = [("s", True, float(v)) for v in x] + [("s", False, float(v)) for v in y]
+        got = stats.hodges_lehmann(spark.createDataFrame(rows, "series string, m boolean, r double")).first()["shift"]
+        assert got == pytest.approx(np.median(np.subtract.outer(x, y)), abs=1e-9)
+    alone = spark.createDataFrame([("s", True, 1.0)], "series string, m boolean, r double")
+    assert stats.hodges_lehmann(alone).first()["shift"] is None
+
+
+#: Signs of quarters (None where undefined), the sign looked for, and the verdict.
+CONSISTENCY = [
+    ([1, 1, 1, -1, -1], 1, "yes"), ([1, 1, -1, -1, -1], 1, "no"), ([1, 1, 1, 1, 1], 1, "yes"), ([-1, -1, -1, -1, -1], 1, "no"), ([1, 1, 1, -1, None], 1, "yes"),
+    ([1, 1, -1, -1, None], 1, "none"), ([1, -1, -1, -1, None], 1, "no"), ([1, 1, -1, None, None], 1, "yes"), ([1, -1, -1, None, None], 1, "no"), ([1, 1, 1, None, None], 1, "yes"),
+    ([1, -1, None, None, None], 1, "none"), ([1, None, None, None, None], 1, "none"), ([None] * 5, 1, "none"), ([-1, -1, -1, 1, 1], -1, "yes"), ([-1, -1, 1, 1, None], -1, "none"),
+    ([1, 1, -1, 0, 0], 1, "no"),
+]
+
+
+def test_sign_consistency_cases(spark):
+    rows = [(k, s, float(t) if t is not None else None) for k, (signs, s, _) in enumerate(CONSISTENCY) for t in signs]
+    df = spark.createDataFrame(rows, "series int, s int, t double")
+    got = {r["series"]: r["verdict"] for want in (1, -1) for r in stats.sign_consistency(df.where(F.col("s") == want), want).collect()}
+    assert [got[k] for k in range(len(CONSISTENCY))] == [verdict for *_, verdict in CONSISTENCY]
+
+
+def test_rotations_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    n, draws = 120, nulls.unit_draws(40, 1)
+    m, r = rng.random(n) < 0.3, rng.normal(0, 1, n)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(int(i)) for i in range(n)]
+    df = spark.createDataFrame([("s", d, bool(a), float(b)) for d, a, b in zip(days, m, r)], "series string, d date, m boolean, r double")
+    theta = lambda mask: np.median(r[mask]) - np.median(r[~mask])
+    null = np.array([theta(np.roll(m, 30 + int(u * (n - 59)))) for u in draws])
+    got = nulls.rotation_p_values(df, draws).first()
+    assert got["theta"] == pytest.approx(theta(m)) and got["p_positive"] == pytest.approx((null >= theta(m)).mean()) and got["p_both"] == pytest.approx((np.abs(null) >= abs(theta(m))).mean())
+    k = int(m.sum())
+    blocks = np.array([np.median(r[i : i + k]) - np.median(np.delete(r, slice(i, i + k))) for i in range(n - k)])
+    assert nulls.contiguous_p_values(df).first()["p"] == pytest.approx((blocks >= theta(m)).mean())
+    t = rng.integers(0, 3, n)
+    shares = lambda mask: np.array([(mask & (t == x)).sum() for x in range(3)]) / k
+    good = [s for s in range(30, n - 29) if np.abs(shares(np.roll(m, s)) - shares(m)).max() <= 0.1]
+    with_t = spark.createDataFrame([("s", d, bool(a), float(b), int(c)) for d, a, b, c in zip(days, m, r, t)], "series string, d date, m boolean, r double, t int")
+    got = nulls.restricted_p_values(with_t, least=1).first()
+    assert got["n_admissible"] == len(good) and got["p_positive"] == pytest.approx(np.mean([theta(np.roll(m, s)) >= theta(m) for s in good]))
+    assert not nulls.restricted_p_values(with_t).first()["evaluable"]
+
+
+def test_overlaps_know_nan_and_null(spark):
+    day = [dt.date(2024, 1, k) for k in range(1, 6)]
+    old = spark.createDataFrame([("s", day[0], 1.0), ("s", day[1], None), ("s", day[2], float("nan")), ("s", day[3], 2.0)], "series string, d date, value double")
+    same = old.unionByName(spark.createDataFrame([("s", day[4], 9.0)], old.schema))
+    assert panel.overlap_diff(old, same).first()["identical"] and panel.checked_extension(old, same) is same
+    changed = same.withColumn("value", F.when(F.col("d") == day[3], 3.0).otherwise(F.col("value"))).where(F.col("d") != day[0])
+    got = panel.overlap_diff(old, changed).first()
+    assert (got["missing"], got["first_missing"], got["different"], got["first_different"]) == (1, day[0], 1, day[3])
+    with pytest.raises(ValueError):
+        panel.checked_extension(old, changed)
+
+
+def test_closing_sections_and_empty_journals(spark):
+    made = "Intro\n\n## **QUÉ HACER ESTA SEMANA**\n\n- esperar\n"
+    df = spark.createDataFrame([(made,), ("  nothing here ",), (None,)], "t string")
+    summary, body = text.sections(F.col("t"))
+    assert [tuple(r) for r in df.select(summary, body).collect()] == [("- esperar", "Intro"), (None, "  nothing here "), (None, None)]
+    empty = files.empty_journal(spark)
+    one = sinks.entered(empty, spark.createDataFrame([("Entrar", 5.0)], "kind string, amount double"))
+    assert one.columns == empty.columns and one.first()["reviewed"] is False and one.first()["mood"] is None

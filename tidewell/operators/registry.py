@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -46,13 +49,23 @@ def link_hash(previous: Column, body: Column) -> Column:
 
 
 def chained(entries: DataFrame, by: str = "chain") -> DataFrame:
-    """entries (by, n, body) with previous_hash and hash: each chain is folded in order, in the JVM."""
-    ordered = F.array_sort(F.collect_list(F.struct("n", "body")))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<string>").alias("out"))
-    fold = F.aggregate("rows", start, lambda acc, x: F.struct(link_hash(acc["last"], x["body"]).alias("last"), F.array_append(acc["out"], acc["last"]).alias("out")), lambda acc: acc["out"])
-    out = entries.groupBy(by).agg(ordered.alias("rows")).withColumn("before", fold)
-    flat = out.select(by, F.explode(F.arrays_zip("rows", "before")).alias("x")).select(by, "x.rows.n", "x.rows.body", F.col("x.before").alias("previous_hash"))
-    return flat.withColumn("hash", link_hash(F.col("previous_hash"), F.col("body")))
+    """entries (by, n, body) with previous_hash and hash: a chain is one after another by nature; a task reads its chains in order of n and holds the last hash only."""
+    picked = entries.select(by, "n", "body")
+    schema = T.StructType([*picked.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last, begun = None, GENESIS, False
+        for b in batches:
+            before, own = [], []
+            for key, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or key != chain:
+                    chain, last, begun = key, GENESIS, True
+                before.append(last)
+                last = hashlib.sha256("|".join(x for x in (last, body) if x is not None).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before), pa.array(own)], [*b.schema.names, "previous_hash", "hash"])
+
+    return picked.repartition(by).sortWithinPartitions(by, "n").mapInArrow(fold, schema)
 
 
 def broken_links(chain: DataFrame, by: str = "chain") -> DataFrame:
@@ -105,10 +118,10 @@ def denominators(rows: DataFrame, least: float, accredited: Column) -> DataFrame
     return got.where("n >= 2")
 
 
-def latest_wins(history: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def latest_wins(history: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Upsert: rows of new replace those of history with the same key."""
     both = history.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return both.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_v")))).where("_i = 1").drop("_v", "_i")
+    return both.withColumn("_i", F.row_number().over(W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc("_v")))).where("_i = 1").drop("_v", "_i")
 
 
 def funnel(rows: DataFrame, by: str, stage: str, stages: list[str]) -> DataFrame:

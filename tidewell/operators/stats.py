@@ -18,6 +18,11 @@ from tidewell.functions import series as S
 OPERATORS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
 
+def operator_of(text: Column) -> Column:
+    """The first of OPERATORS, in their order, that a rule in words holds; null where there is none."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(sign)), F.lit(sign)) for sign in OPERATORS])
+
+
 def mask(metric: DataFrame, q: float = 0.8, operator: str = ">", days: int = 365, warm_up: int = 365) -> DataFrame:
     """series, d, value, m: value against the quantile of the days before it; days of warm-up and without a quantile are left out."""
     x = metric.withColumns({"th": S.quantile_of_days(F.col("value"), q, days), "first": F.min("d").over(S.whole())})
@@ -145,6 +150,35 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
 
 
+def clopper_pearson(k: Column, n: Column, level: float = 0.05) -> Column:
+    """Struct low, high: the exact interval of a share k of n, by bisecting the binomial tails; null for n = 0 or nulls."""
+
+    @F.pandas_udf("low double, high double")
+    def interval(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_exact_interval(a, b, level / 2) for a, b in zip(ks, ns, strict=True)], columns=["low", "high"])
+
+    return interval(k.cast("double"), n.cast("double"))
+
+
+def _exact_interval(k: float, n: float, tail: float) -> tuple[float | None, float | None]:
+    if not n > 0 or np.isnan(k):
+        return None, None
+    k, n = int(k), int(n)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+    def sought(first: int, last: int, rises: bool) -> float:
+        """Where the probability of first to last hits is the tail's."""
+        j = np.arange(first, last + 1)
+        ways, low, high = logs[n] - logs[j] - logs[n - j], 0.0, 1.0
+        for _ in range(60):
+            p = (low + high) / 2
+            below = np.exp(ways + j * np.log(p) + (n - j) * np.log1p(-p)).sum() < tail
+            low, high = (p, high) if below == rises else (low, p)
+        return (low + high) / 2
+
+    return (0.0 if k == 0 else sought(k, n, True)), (1.0 if k == n else sought(0, k, False))
+
+
 def weighted_quantile(df: DataFrame, x: str, weight: str, q: float, by: list[str]) -> DataFrame:
     """Linear interpolation of x over the cumulative share of weight."""
     w = W.partitionBy(*by)

@@ -63,6 +63,40 @@ def relevant(text: Column, keywords: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))
 
 
+def mentioned(text: Column, ids: list[str]) -> Column:
+    """Those of a few ids that stand in a text, joined in the order given."""
+    return F.array_join(F.filter(F.array(*map(F.lit, ids)), lambda i: F.contains(F.coalesce(text, F.lit("")), i)), ",")
+
+
+def dotted_paths(text: Column) -> Column:
+    """Names joined by dots in free text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[a-z_]+(?:[.][a-z_]+)+"), F.lit(0))
+
+
+# Signs that fixed fonts lack, and what stands for them.
+SIGNS = {"−": "-", "–": "-", "—": "-", "≈": "~", "⚠": "", "×": "x"}
+#: Characters that a Windows-1252 text can hold.
+WESTERN = r"\x00-\x7F\x{A0}-\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
+def print_safe(text: Column) -> Column:
+    """Text for fixed fonts: signs replaced, what they lack left out, markup escaped, **bold** as <b>."""
+    for sign, by in SIGNS.items():
+        text = F.replace(text, F.lit(sign), F.lit(by))
+    text = F.regexp_replace(text, f"[^{WESTERN}]", "")
+    for sign, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(by))
+    return F.replace(F.regexp_replace(text, r"\*\*(.+?)\*\*", "<b>$1</b>"), F.lit("*"), F.lit(""))
+
+
+def child_text(xml: Column, names: list[str], attribute: str | None = None) -> Column:
+    """The first non-empty text of an item's children with one of the names, in their order; else an attribute of the first of them."""
+    texts = [F.trim(F.xpath_string(xml, F.lit(f"/item/{n}"))) for n in names]
+    if attribute:
+        texts.append(F.xpath_string(xml, F.lit(f"/item/{names[0]}/@{attribute}")))
+    return F.coalesce(*[F.when(F.length(t) > 0, t) for t in texts])
+
+
 def priority(issuer: Column, form: Column, routine_issuers: list[str] | None = None, routine_forms: list[str] | None = None) -> Column:
     """'baja' for a routine form of a routine issuer, else 'alta'."""
     low = F.lower(F.coalesce(issuer, F.lit("")))
@@ -77,6 +111,23 @@ def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_i = 1").drop("_i")
 
 
+def similar_pairs(titles: DataFrame, by: str, key: str, title: str) -> DataFrame:
+    """a, b (keys, a below b), likeness of titles of one by that share SAME of their words.
+
+    A title has its rarest words as keys, just enough of them that two titles so much alike have one in common; titles meet on a key, not all with all.
+    """
+    from pyspark.sql import Window as W
+
+    own = titles.select(by, F.col(key).alias("k"), title_words(F.col(title)).alias("words")).where(F.size("words") > 0)
+    word = own.select(by, "k", "words", F.explode("words").alias("w"))
+    word = word.withColumn("often", F.count("*").over(W.partitionBy(by, "w")))
+    nth = F.row_number().over(W.partitionBy(by, "k").orderBy("often", "w"))
+    keys = word.withColumn("i", nth).where(F.col("i") <= F.size("words") - F.ceil(SAME * F.size("words")) + 1).select(by, "w", "k", "words")
+    a, b = keys.select(by, "w", F.col("k").alias("a"), F.col("words").alias("x")), keys.select(by, "w", F.col("k").alias("b"), F.col("words").alias("y"))
+    pairs = a.join(b, [by, "w"]).where(F.col("a") < F.col("b"))
+    return pairs.withColumn("likeness", jaccard(F.col("x"), F.col("y"))).where(F.col("likeness") >= SAME).select("a", "b", "likeness").distinct()
+
+
 def headline_dedup(news: DataFrame, by: str) -> DataFrame:
     """news (by, level, pos, title): keeps titles, by level and position, that no kept title of the same day equals by half its words.
 

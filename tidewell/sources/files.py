@@ -68,6 +68,55 @@ def load_metric(spark: SparkSession, path: str, series: str = "default", last: s
     return out
 
 
+# Columns of a decision journal.
+JOURNAL = {"date": "date", "kind": "string", "amount": "double", "limit_price": "double", "vs_sma200": "double", "mood": "string", "result": "string", "reviewed": "boolean"}
+
+
+def empty_journal(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in JOURNAL.items()))
+
+
+def load_journal(spark: SparkSession, path: str) -> DataFrame:
+    """A journal from CSV in order of its dates; columns that the file lacks are null, others are left out."""
+    raw = _csv(spark, path)
+    have = {c.strip().lower(): c for c in raw.columns}
+    return raw.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).try_cast(kind).alias(c) for c, kind in JOURNAL.items()]).orderBy("date")
+
+
+def load_document(spark: SparkSession, path: str) -> DataFrame:
+    """path, doc (variant; null where it isn't JSON) of files with one JSON document each."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+
+
+def at_path(doc: Column, path: str, kind: str = "string", default=None) -> Column:
+    """What stands at a dotted path of a document, or default."""
+    return F.coalesce(F.try_variant_get(doc, "$." + path, kind), F.lit(default))
+
+
+def leaves(docs: DataFrame, key: str, doc: str, depth: int = 8) -> DataFrame:
+    """key, path, value of all leaves of documents nested at most depth deep; one step of Spark's own variant_explode for each level."""
+    tvf = docs.sparkSession.tvf
+    level, out = docs.select(F.col(key), F.lit("$").alias("path"), F.col(doc).alias("v")).where("v IS NOT NULL"), None
+    for _ in range(depth):
+        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+        flat = level.where(~nested).select(key, "path", F.col("v").cast("string").alias("value"))
+        out = flat if out is None else out.unionByName(flat)
+        down = level.where(nested).alias("up").lateralJoin(tvf.variant_explode(F.col("up.v").outer()).alias("x"))
+        step = F.when(F.col("x.key").isNotNull(), F.concat(F.lit("."), F.col("x.key"))).otherwise(F.concat(F.lit("["), F.col("x.pos").cast("string"), F.lit("]")))
+        level = down.select(F.col(f"up.{key}"), F.concat(F.col("up.path"), step).alias("path"), F.col("x.value").alias("v")).where("v IS NOT NULL")
+    return out
+
+
+def fused_cases(frames: list[DataFrame]) -> DataFrame:
+    """scenario, level, and the fields of each case (array detail) of several result files, put together."""
+    out = None
+    for df in frames:
+        one = df.select("scenario", "level", F.explode("detail").alias("x")).select("scenario", "level", "x.*")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def load_wide(spark: SparkSession, path: str) -> DataFrame:
     """series, d, value of a CSV with a date and one column for each series."""
     raw = _csv(spark, path)

@@ -25,7 +25,7 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select("rows", F.sha2(F.concat_ws("|", "rows", *[F.coalesce(F.col(f"s{k}").cast("string"), F.lit("0")) for k in range(8)]), 256).alias("hash"))
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: str | list[str]) -> None:
     """Rows of new replace those in the Parquet folder at path with the same key; the folder is swapped once the new one is whole."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -37,6 +37,35 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
     fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
 
 
+def tail(log: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows of a log."""
+    return log.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def noted(log: DataFrame, note: str, order: list[str], text: str, by: str | None = None, parting: str = " | ") -> DataFrame:
+    """log with note put behind the note (column text) of its last row (of each by)."""
+    w = W.partitionBy(*([by] if by else [])).orderBy(*[F.desc(c) for c in order])
+    last = F.row_number().over(w) == 1
+    had = F.when(F.length(F.trim(F.col(text))) > 0, F.col(text))
+    return log.withColumn("_last", last).withColumn(text, F.when(F.col("_last"), F.concat_ws(parting, had, F.lit(note))).otherwise(F.col(text))).drop("_last")
+
+
+def entered(journal: DataFrame, entry: DataFrame) -> DataFrame:
+    """journal with the rows of entry, whose missing columns are null and which count as not reviewed."""
+    fresh = entry.drop("reviewed").withColumn("reviewed", F.lit(False))
+    return journal.unionByName(fresh.select(*[c for c in fresh.columns if c in journal.columns]), allowMissingColumns=True)
+
+
+def processed_ids(digests: DataFrame, analysis: str, ids: str) -> DataFrame:
+    """id: of every record whose analysis isn't blank, the ids that it covers, once each."""
+    return digests.where(F.length(F.trim(analysis)) > 0).select(F.explode(ids).alias("id")).distinct()
+
+
+def unseen(new: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows of new whose key isn't among seen (id)."""
+    return new.join(seen.select(F.col("id").alias(key)), key, "left_anti")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

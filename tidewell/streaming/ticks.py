@@ -36,3 +36,17 @@ def upserting(stream: DataFrame, path: str, key: str, checkpoint: str) -> Stream
         sinks.upsert(batch.sparkSession, path, newest, key)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def gathered(counts: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep an aggregate's latest rows by key at path, until what there is has been read."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        sinks.upsert(batch.sparkSession, path, batch, key)
+
+    return counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Finished rows as Parquet at path; the checkpoint remembers which input files have been read."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
