@@ -63,3 +63,19 @@ def test_blobs_come_back():
     values = rng.integers(-5, 2**62, len(names))
     got = batches.unpack(batches.pack([(names, values), (names[:0], None), (names, None)]))
     assert (got[0][0] == names).all() and (got[0][1] == values).all() and not len(got[1][0]) and (got[2][0] == names).all() and got[2][1] is None
+
+
+def test_pairs_of_hashes_tell_windows_of_one_name_apart():
+    names = np.array([5, 5, 5, 9, 9, 2], np.uint64)
+    checks = np.array([1, 2, 2, 7, 8, 0], np.int64)
+    known, known_checks, least = batches.least_by_pair(names, checks, np.array([30, 20, 10, 4, 5, 6]))
+    assert list(zip(known.tolist(), known_checks.tolist(), least.tolist())) == [(2, 0, 6), (5, 1, 30), (5, 2, 10), (9, 7, 4), (9, 8, 5)]
+    assert batches.place_of_pair(names, checks, known, known_checks).tolist() == [1, 2, 2, 3, 4, 0]
+
+
+def test_pieces_stay_bounded_at_any_size():
+    for total in (0, 1 << 20, 1 << 30, 1 << 40, 100 << 40):
+        batch, ranges, buckets = batches.sizes(total)
+        assert 2 << 20 <= batch <= 8 << 20 and 4 <= buckets <= 20_000
+        assert ranges >= 48 and total / ranges <= 64 << 20
+    assert batches.sizes(30 << 30)[0] == batches.sizes(1 << 30)[0]

@@ -4,7 +4,8 @@ Reference blocks are BLOCK words long and don't overlap, counted from the start
 BLOCK words of every document probes them. A window of WINDOW = 2 * BLOCK - 1 words holds a whole block, so one of the two
 places where a long passage stands has a block that a window of the other hits. Hits are extended: the windows of WINDOW
 words around a hit are compared over all documents (the least doc_id that has each), and neighbouring confirmed windows join
-into maximal repeats. Probes have shorter names (of 40 bits or more, by the corpus's size), which only choose candidates; confirming names have 64 bits.
+into maximal repeats. Probes have shorter names (of 40 bits or more, by the corpus's size), which only choose candidates. Windows are confirmed by
+two independent hashes of 64 bits each, of all their bytes: over 10^14 windows the chance of one false pair is below 10^-10.
 
 Defined cases: words are runs of other bytes than space and 0x09-0x0D, unchanged; null and empty texts have none; a null doc_id counts as larger
 than all, equal ids (repeated rows) don't remove from each other; texts shorter than a window stay whole; an empty table gives
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import hashing as H
-from tidewell.llm.batches import Batch, Named, Table, covered, least_by_name
+from tidewell.llm.batches import Batch, Named, Table, covered, least_by_name, least_by_pair, place_of_pair
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
@@ -40,6 +41,10 @@ class Words:
         self.of = self.rank[self.doc]
         self.rolling = H.Rolling(H.span_hashes(batch.raw, self.starts, self.ends, seed=9))
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """Second hashes of the windows of WINDOW words at these places."""
+        return H.Rolling(H.span_hashes(self.raw, self.starts, self.ends, seed=77)).spans(at, at + WINDOW)
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows within one document, and their names."""
         n = max(len(self.doc) - width + 1, 0)
@@ -102,22 +107,24 @@ def candidates(batch: Batch, w: Words) -> tuple[np.ndarray, np.ndarray]:
 def confirmed_names(batch: Batch) -> list[Named]:
     w = Words(batch)
     at, names = candidates(batch, w)
-    return [least_by_name(names, w.of[at])]
+    names, checks, least = least_by_pair(names, w.checks(at), w.of[at])
+    return [(names, [checks.view(np.int64), least])]
 
 
 def earlier_elsewhere(lists: list[tuple[int, list[Named]]]) -> Iterator[tuple[int, np.ndarray]]:
-    """A name's bit: another batch has it in an earlier document than this one's earliest."""
-    known, least = least_by_name(np.concatenate([x[0][0] for _, x in lists]), np.concatenate([x[0][1] for _, x in lists]))
+    """A window's bit: another batch has it in an earlier document than this one's earliest."""
+    known, known_checks, least = least_by_pair(*(np.concatenate(c) for c in zip(*((x[0][0], *x[0][1]) for _, x in lists), strict=True)))
     for number, x in lists:
-        names, own = x[0]
-        yield number, least[np.searchsorted(known, names)] < own
+        names, (checks, own) = x[0]
+        yield number, least[place_of_pair(names, checks, known, known_checks)] < own
 
 
 def repeated_words(batch: Batch, w: Words) -> np.ndarray:
     """Which words lie in a window that an earlier document has."""
     at, names = candidates(batch, w)
-    known, own = least_by_name(names, w.of[at])
-    k = np.searchsorted(known, names)
+    checks = w.checks(at)
+    known, known_checks, own = least_by_pair(names, checks, w.of[at])
+    k = place_of_pair(names, checks, known, known_checks)
     earlier = (batch.bits[1][k] | (own[k] < w.of[at])) if len(names) else np.zeros(0, bool)
     return covered(at[earlier], WINDOW, len(w.doc))
 

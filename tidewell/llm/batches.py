@@ -4,7 +4,11 @@ A table of batches holds the texts of many rows back to back, with the other col
 buckets by batch, so that answers meet it again without moving the texts. A question goes so: each batch gives the sorted
 distinct names it holds (with a number for each where needed); the names are cut into ranges, a blob of each range for each
 batch; a task gets one range of all batches and answers each batch with one bit for each name. A name is sent once
-a batch however often it stands there, so no frequent name makes a large range; a range is sized by the corpus.
+a batch however often it stands there, so no frequent name makes a large range; a range is sized by the corpus. A batch sends a blob for
+each range in which it has names, so there are never more blobs than names.
+
+Batches and ranges grow with the corpus (to MOST_BATCH and MOST_RANGE), the table has MOST_BUCKETS buckets at most. A text of any length stays whole in
+its batch: a task takes about 40 bytes for each of its bytes. release() of the session drops the tables.
 """
 
 from __future__ import annotations
@@ -22,14 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm import hashing as H
-from tidewell.session import bounded_batches, stored
+from tidewell.session import bounded_batches, remember_table, stored
 
-BATCH_BYTES = 2 << 20
-RANGE_BYTES = 16 << 20  # of text, for each range of names
+BATCH_BYTES, MOST_BATCH = 2 << 20, 8 << 20
+RANGE_BYTES, MOST_RANGE = 16 << 20, 64 << 20  # of text, for each range of names
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 20_000
+#: Into so many batches (and ranges) a corpus is cut before they grow.
+PIECES = 1 << 16
 LEAST_RANGES = 48
 
-#: Names and the numbers that go with them (or None).
-Named = tuple[np.ndarray, np.ndarray | None]
+#: Names and the numbers that go with them: none, one for each name, or several kinds of them.
+Named = tuple[np.ndarray, np.ndarray | list[np.ndarray] | None]
+
+
+def sizes(total: int) -> tuple[int, int, int]:
+    """Bytes of a batch, number of ranges and number of buckets for a corpus of total bytes."""
+    batch = min(max(total // PIECES, BATCH_BYTES), MOST_BATCH)
+    span = min(max(total // PIECES, RANGE_BYTES), MOST_RANGE)
+    return batch, max(LEAST_RANGES, math.ceil(total / span)), min(max(4, math.ceil(total / BUCKET_BYTES)), MOST_BUCKETS)
 
 
 class Batch:
@@ -72,6 +86,8 @@ class Table:
             + [T.StructField(f"c{k}", T.ArrayType(t)) for k, t in enumerate(kinds)]
         )
         n = len(carry)
+        self.size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batch_bytes, self.ranges, buckets = sizes(self.size)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, waiting, size = TaskContext.get().partitionId() << 38, [], 0
@@ -91,12 +107,12 @@ class Table:
                 raw_at = H.buffers(b.column("text"))[1]
                 a = 0
                 while a < b.num_rows:
-                    e = int(np.searchsorted(raw_at, raw_at[a] + BATCH_BYTES - size, side="right")) - 1
+                    e = int(np.searchsorted(raw_at, raw_at[a] + batch_bytes - size, side="right")) - 1
                     e = min(max(e, a if waiting else a + 1), b.num_rows)
                     if e > a:
                         waiting.append(b.slice(a, e - a))
                         size += int(raw_at[e] - raw_at[a])
-                    if e < b.num_rows or size >= BATCH_BYTES:
+                    if e < b.num_rows or size >= batch_bytes:
                         yield flush()
                         waiting, size = [], 0
                     a = e
@@ -105,12 +121,9 @@ class Table:
 
         made = picked.mapInArrow(lambda rows: H.tidied(work(rows)), schema)
         name = f"tidewell_batches_{uuid.uuid4().hex}"
-        self.size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        made.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).option("parquet.block.row.count.limit", "4").bucketBy(
-            max(4, math.ceil(self.size / RANGE_BYTES)), "batch"
-        ).saveAsTable(name)
+        remember_table(spark, name)
+        made.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).option("parquet.block.row.count.limit", "4").bucketBy(buckets, "batch").saveAsTable(name)
         self.df = spark.table(name)
-        self.ranges = max(LEAST_RANGES, math.ceil(self.size / RANGE_BYTES))
         self.bits: list[DataFrame] = []
         self.picked: DataFrame | None = None
 
@@ -142,9 +155,11 @@ class Table:
                 for i in range(r.num_rows):
                     batch = Batch(r, i, carried, mask)
                     lists = names(batch)
-                    cuts = [np.searchsorted(_range_of(n, ranges), np.arange(ranges + 1)) for n, _ in lists]
-                    full = [p for p in range(ranges) if any(c[p + 1] > c[p] for c in cuts)]
-                    blobs = [pack([(n[c[p] : c[p + 1]], v[c[p] : c[p + 1]] if v is not None else None) for (n, v), c in zip(lists, cuts, strict=True)]) for p in full]
+                    of = [_range_of(n, ranges) for n, _ in lists]
+                    full = np.unique(np.concatenate(of))
+                    cuts = [(np.searchsorted(r, full), np.searchsorted(r, full, side="right")) for r in of]
+                    cut = lambda k, a, e: (lists[k][0][a:e], [v[a:e] for v in _kinds(lists[k][1])])  # noqa: E731, B023
+                    blobs = [pack([cut(k, int(a[p]), int(e[p])) for k, (a, e) in enumerate(cuts)]) for p in range(len(full))]
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.number] * len(full), pa.int64()), pa.array(blobs, pa.binary())], ["part", "batch", "blob"])
 
         def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,23 +206,25 @@ def _unplanes(b: memoryview, n: int) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def _kinds(values: np.ndarray | list[np.ndarray] | None) -> list[np.ndarray]:
+    return values if isinstance(values, list) else [] if values is None else [values]
+
+
 def pack(lists: list[Named]) -> bytes:
-    head = np.array([len(lists), *(x for n, v in lists for x in (len(n), v is not None))], np.int32)
-    return b"".join([head.tobytes(), *(_planes(x) for n, v in lists for x in (n, v) if x is not None)])
+    lists = [(n, _kinds(v)) for n, v in lists]
+    head = np.array([len(lists), *(x for n, v in lists for x in (len(n), len(v)))], np.int32)
+    return b"".join([head.tobytes(), *(_planes(x) for n, v in lists for x in (n, *v))])
 
 
 def unpack(blob: bytes) -> list[Named]:
     m = int(np.frombuffer(blob, np.int32, 1)[0])
     head, at, out, view = np.frombuffer(blob, np.int32, 2 * m, 4), 4 + 8 * m, [], memoryview(blob)
-    for n, has in head.reshape(m, 2):
+    for n, more in head.reshape(m, 2):
         n = int(n)
-        names = _unplanes(view[at : at + 8 * n], n)
-        at += 8 * n
-        values = None
-        if has:
-            values = _unplanes(view[at : at + 8 * n], n).view(np.int64)
-            at += 8 * n
-        out.append((names, values))
+        columns = [_unplanes(view[at + 8 * n * k : at + 8 * n * (k + 1)], n) for k in range(int(more) + 1)]
+        at += 8 * n * len(columns)
+        values = [v.view(np.int64) for v in columns[1:]]
+        out.append((columns[0], values if len(values) > 1 else values[0] if values else None))
     return out
 
 
@@ -220,6 +237,23 @@ def least_by_name(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
     return n[first], v[first]
 
 
+def least_by_pair(names: np.ndarray, checks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of names and checks, and the least value of each."""
+    order = np.lexsort((values, checks, names))
+    n, c, v = names[order], checks[order], values[order]
+    first = np.ones(len(n), bool)
+    first[1:] = (n[1:] != n[:-1]) | (c[1:] != c[:-1])
+    return n[first], c[first], v[first]
+
+
+def place_of_pair(names: np.ndarray, checks: np.ndarray, known: np.ndarray, known_checks: np.ndarray) -> np.ndarray:
+    """Where each pair stands among the known ones (least_by_pair()), which hold them all."""
+    at = np.searchsorted(known, names)
+    while len(off := np.flatnonzero(known_checks[at] != checks)):  # several known pairs share a name
+        at[off] += 1
+    return at
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in a window of width that begins at one of starts."""
     sums = np.zeros(n + 1, np.int64)

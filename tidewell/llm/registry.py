@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("license_scan", "mixing", "topk", "quality", "ngram_join", "suffix_dedup", "bpe", "fingerprint", "anchor_dedup", "url_filter")
+from tidewell.llm import anchor_dedup, bpe, fingerprint, license_scan, mixing, ngram_join, quality, suffix_dedup, topk, url_filter
 
-
-def _modules() -> list:
-    return [import_module(f"{__package__}.{name}") for name in MODULES]
+MODULES = (license_scan, mixing, topk, quality, ngram_join, suffix_dedup, bpe, fingerprint, anchor_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
