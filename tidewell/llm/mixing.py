@@ -8,7 +8,8 @@ once more, chosen by a seeded order, so that its words come near the routed flow
 Scale: sizes are counted in the scan (JVM regular expressions); from there on only ids and counts move. The seeded order is
 never sorted as a whole: each pattern's documents are counted in 4096 bins of the seed's hash, twice over, and only the
 documents of one bin of one bin (a 16-millionth of the pattern) are brought together to settle the last words.
-The flow is solved at the driver over patterns and sources, of which there may be MAX_PATTERNS; more raise an error.
+Targets and flows are worked out by Spark too: sources that share no pattern, even over others, have nothing to do with each other, so each
+connected group of sources is one flow in one task, which holds the group's patterns (not its documents). The driver only sees sums.
 
 Defined cases: a null text has no words; a null source is a source of its own, after all others; rows that repeat a
 document (same id, pattern and size) are taken or left together; a source without words has target 0; an empty table gives an empty result.
@@ -19,13 +20,14 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidewell.llm.components import components
 from tidewell.session import stored
 
-MAX_PATTERNS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
 #: Sources by code point weigh so, again and again.
@@ -38,7 +40,10 @@ def n_words(text: Column) -> Column:
 
 
 def reshared_targets(sizes: list[int], weights: list[int], share: float, most: float) -> list[float]:
-    """Targets by weight of share times all sizes, none above most times its size; what is above goes to the others by weight."""
+    """Targets by weight of share times all sizes, none above most times its size; what is above goes to the others by weight.
+
+    The plain form over a list; targets() does the same over any number of sources.
+    """
     total, out = share * sum(sizes), [0.0] * len(sizes)
     open_ = {i for i, s in enumerate(sizes) if s > 0}
     left = min(total, most * sum(sizes))
@@ -60,8 +65,8 @@ def route(capacity: dict[tuple, int], quota: dict, most: int) -> dict[tuple, flo
     """Min-cost flow: for each pattern (a tuple of sources) the words taken of it, over all times.
 
     Time k over a pattern costs k*k for each word, so no pattern is repeated while another of the same source is fresh. Sources
-    that share no pattern are solved apart; a pattern with one source of one pattern needs no search. Successive shortest
-    augmenting paths on pattern and source nodes; each path fills an arc, of which there are (times x patterns + memberships).
+    that share no pattern are solved apart. Successive shortest augmenting paths on pattern and source nodes; each path fills an
+    arc, of which there are (times x patterns + memberships).
     """
     taken: dict[tuple, float] = defaultdict(float)
     by_source: dict = defaultdict(list)
@@ -83,9 +88,6 @@ def route(capacity: dict[tuple, int], quota: dict, most: int) -> dict[tuple, flo
                         seen.add(o)
                         todo.append(o)
         patterns = sorted({p for s in group for p in by_source[s]}, key=repr)
-        if len(group) == 1 and len(patterns) == 1:
-            taken[patterns[0]] = min(quota.get(first, 0.0), most * capacity[patterns[0]])
-            continue
         flow: dict = defaultdict(float)  # pattern, source
         need = {s: float(quota.get(s, 0.0)) for s in group}
         while True:
@@ -147,8 +149,6 @@ def _pick(units: DataFrame, wanted: DataFrame) -> DataFrame:
         sums = level.groupBy("pattern", bin_).agg(F.sum("size").alias("words"))
 
         def cut(pdf):
-            import pandas as pd
-
             pdf = pdf.sort_values(bin_)
             goal_, before = float(pdf["goal"].iloc[0]), pdf["words"].cumsum() - pdf["words"]
             k = max(int((before <= goal_).sum()) - 1, 0)
@@ -190,67 +190,88 @@ def _pick(units: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.select("pattern", "unit").union(one_more)
 
 
-def mix(sizes: DataFrame, quotas: dict, most: int, seed: int = 17) -> DataFrame:
+def flows(capacity: DataFrame, quotas: DataFrame, most: int) -> DataFrame:
+    """capacity: pattern, sources, words; quotas: source, quota. pattern, rounds (whole times that the flow takes it), words (taken beyond them).
+
+    Each connected group of sources is solved by route() in a task of its own.
+    """
+    member = capacity.select("pattern", "words", F.posexplode("sources").alias("i", "source"), F.col("sources")[0].alias("first"))
+    key = lambda c: F.xxhash64(c)
+    groups = components(member.where("i > 0").select(key("source").alias("x"), key("first").alias("y")))
+    placed = member.withColumn("node", key("first")).join(groups, "node", "left").withColumn("group", F.coalesce("label", "node"))
+    wanted = placed.join(quotas, "source", "left").select("group", "pattern", "words", "source", F.coalesce("quota", F.lit(0.0)).alias("quota"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pattern", "source"])
+        lists = pdf.groupby("pattern", sort=True).agg(sources=("source", tuple), words=("words", "first"))
+        capacity_ = {sources: int(words) for sources, words in zip(lists["sources"], lists["words"], strict=True) if words > 0}
+        taken = route(capacity_, dict(zip(pdf["source"], pdf["quota"], strict=True)), most)
+        flow = [float(taken.get(sources, 0.0)) for sources in lists["sources"]]
+        rounds = [min(most, int(f // w)) if w > 0 else 0 for f, w in zip(flow, lists["words"], strict=True)]
+        return pd.DataFrame({"pattern": lists.index, "rounds": rounds, "words": [f - r * w for f, r, w in zip(flow, rounds, lists["words"], strict=True)]})
+
+    return wanted.groupBy("group").applyInPandas(solve, "pattern string, rounds int, words double")
+
+
+def mix(sizes: DataFrame, quotas: DataFrame, most: int, seed: int = 17) -> DataFrame:
     """sizes: doc_id, size, sources (sorted array). Adds pattern and taken, the words of each row that the mix takes.
 
-    quotas: words wanted of each source. Whole documents are taken 0 to most times.
+    quotas: source, quota (words wanted of it). Whole documents are taken 0 to most times.
     """
-    spark = sizes.sparkSession
     named = sizes.withColumn("pattern", F.to_json("sources"))
     named = named.withColumn("unit", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
-    capacity = named.groupBy("pattern", "sources").agg(F.sum("size").alias("words"))
-    found = capacity.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names = {tuple(r["sources"]): r["pattern"] for r in found}
-    flow = route({tuple(r["sources"]): r["words"] for r in found if r["words"]}, quotas, most)
-    plan = []
-    for key, pattern in names.items():
-        words = next((r["words"] for r in found if r["pattern"] == pattern), 0)
-        rounds = min(most, int(flow[key] // words)) if words else 0
-        plan.append((pattern, rounds, float(flow[key] - rounds * words)))
-    plan_df = spark.createDataFrame(plan, "pattern string, rounds int, words double")
-    plan_df = F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df
+    capacity = stored(named.groupBy("pattern", "sources").agg(F.sum("size").alias("words")))
+    plan = stored(flows(capacity, quotas, most))
     units = (
         named.where("size > 0")
         .groupBy("pattern", "unit")
         .agg(F.sum("size").alias("size"))
         .withColumn("h", F.xxhash64("pattern", "unit", F.lit(seed)))
     )
-    picked = _pick(units, plan_df.where("words > 0").select("pattern", "words")).withColumn("more", F.lit(1))
+    picked = _pick(units, plan.where("words > 0").select("pattern", "words")).withColumn("more", F.lit(1))
     return (
-        named.join(plan_df.select("pattern", "rounds"), "pattern", "left")
+        named.join(plan.select("pattern", "rounds"), "pattern", "left")
         .join(picked, ["pattern", "unit"], "left")
         .withColumn("taken", (F.col("size") * (F.coalesce("rounds", F.lit(0)) + F.coalesce("more", F.lit(0)))).cast("long"))
         .drop("unit", "rounds", "more")
     )
 
 
-def contract_quotas(totals: list[tuple[str | None, int]]) -> dict:
-    """Targets of sources: by code point, null last, weighing WEIGHTS in turn."""
-    order = sorted(totals, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
-    goals = reshared_targets([n for _, n in order], [WEIGHTS[i % 3] for i in range(len(order))], SHARE, MOST)
-    return {s: g for (s, _), g in zip(order, goals, strict=True)}
+def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, parts: int = 32) -> DataFrame:
+    """totals: source, size (a row a source). source, size, target; sources by code point, null last, weigh weights in turn.
+
+    Sources are dealt to ranges and numbered within each; the driver adds up the ranges' counts. Then a source whose share by weight is more than most times
+    its size stops there, and the others share what is left, until none stops: each round is one sum over the sources.
+    """
+    late = F.col("source").isNull()
+    dealt = stored(totals.repartitionByRange(parts, late, "source").withColumn("part", F.spark_partition_id()))
+    before, so_far = {}, 0
+    for r in sorted(dealt.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+        before[r["part"]], so_far = so_far, so_far + r["n"]
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
+    place = start + F.row_number().over(W.partitionBy("part").orderBy(late, "source")) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
+    rows = stored(dealt.select("source", "size", weight.alias("weight")))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    everything, level = min(share * total, float(most * total)), 0.0
+    while True:
+        full = most * F.col("size") < level * F.col("weight")
+        stopped, open_weight = rows.where("size > 0").agg(F.sum(F.when(full, most * F.col("size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        risen = (everything - (stopped or 0)) / open_weight if open_weight else level
+        if risen <= level:
+            break
+        level = risen
+    return rows.select("source", "size", F.when(F.col("size") > 0, F.least(level * F.col("weight"), (most * F.col("size")).cast("double"))).otherwise(0.0).alias("target"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
-    spark = docs.sparkSession
     sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    totals = [(r["source"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()]
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources")
-    quotas = contract_quotas(totals)
+    goals = targets(stored(sizes.groupBy("source").agg(F.sum("size").alias("size"))))
     # a null can't be in a pattern: sources go by an invented name for it, with a mark in front of all others
-    name = lambda s: "n" if s is None else "s" + s
-    out = mix(
-        sizes.withColumn("sources", F.array(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))),
-        {name(s): q for s, q in quotas.items()},
-        MOST,
-    )
-    schema = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    goals = spark.createDataFrame([(name(s), n, quotas[s]) for s, n in totals], schema)
-    goals = F.broadcast(goals) if len(totals) <= 10_000 else goals
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    goals = stored(goals.select(name.alias("t_source"), F.col("size").alias("source_size"), "target"))
+    out = mix(sizes.withColumn("sources", F.array(name)), goals.select(F.col("t_source").alias("source"), F.col("target").alias("quota")), MOST)
     return out.join(goals, out["sources"][0] == goals["t_source"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
