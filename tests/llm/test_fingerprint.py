@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,36 @@ def test_a_long_text_can_be_compared_with_a_short_one(spark):
     made = rows.withColumns({"x": fp.tables(F.col("a")), "y": fp.tables(F.col("b"))})
     got = [r["s"] for r in made.select(fp.likeness_of(F.col("x"), F.col("y")).alias("s")).collect()]
     assert got[:2] == [0.0, 0.0] and got[2] > 0.99
+
+
+def test_peeling_gives_the_differing_digests(spark):
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 90)))
+    base = [line() for _ in range(400)]
+    other = base[:30] + [line() for _ in range(5)] + base[33:]
+    df = texts_frame(spark, [("\n".join(base), "\n".join(other)), ("", "one"), ("", "")]).withColumns({"x": fp.digests(F.col("a")), "y": fp.digests(F.col("b"))})
+    cut = df.select("x", "y", fp.cells(F.col("x")).alias("p"), fp.cells(F.col("y")).alias("q"))
+    for r in fp.differences(cut, "p", "q").collect():
+        assert r["stuck"] == 0 and sorted(r["added"]) == sorted({*r["y"]} - {*r["x"]}) and sorted(r["removed"]) == sorted({*r["x"]} - {*r["y"]})
+
+
+def test_cells_hold_every_digest_once_in_each_part(spark):
+    rng = random.Random(13)
+    texts = ["\n".join(str(rng.random()) for _ in range(n)) for n in (0, 1, 16, 17, 33, 500)]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select(fp.digests(F.col("a")).alias("x"))
+    for r in df.select("x", fp.cells(F.col("x")).alias("c")).collect():
+        n = fp.PARTS * fp.CELLS
+        blocks = [r["c"][k : k + n] for k in range(0, len(r["c"]), n)]
+        for part in range(fp.PARTS):
+            own = [c for b in blocks for c in b[part * fp.CELLS : (part + 1) * fp.CELLS]]
+            assert sum(c >> 56 for c in own) == len(r["x"]) and sum(own) == sum(r["x"]) + fp.WEIGHT * len(r["x"])
+
+
+def test_a_very_long_text_takes_time_in_proportion(spark):
+    took = []
+    for n in (500_000, 2_000_000):
+        df = spark.range(1).select(F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(n // 20)), lambda i: F.sha1(i.cast("string")).substr(1, 19))).alias("t"))
+        began = time.time()
+        assert df.select(F.size(fp.cells(fp.digests(F.col("t")))).alias("n")).first()["n"] >= n // 20 * 3
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 2

@@ -9,9 +9,12 @@ one long: 2^56 for each digest in it, plus the digests. The fingerprint lists th
 Two fingerprints are compared by the shortest pieces that both have: every text has those of 160, so any two texts can be compared.
 
 Two fingerprints are compared by subtracting cells and peeling: a cell with one digest too many or too few gives that digest,
-which then leaves its other cells, and so on, until the differing digests are known. It is tried first on tables folded to
+which then leaves its other cells, and so on, until the differing digests are known: differences() gives them. It is tried first on tables folded to
 half their size and, where that fails, again on the whole ones (the larger try). A block that still fails differs by more than it can list; it counts as
-wholly different. Peeling finds at most a digest a cell, so a block whose numbers of digests differ by more isn't tried. Likeness is shared digests by all digests: 1 for equal texts, near 0 for unrelated ones.
+wholly different (a whole block of either text has about 16 digests, and its 48 cells list some 35, so this is rare even for unrelated texts). Peeling finds at
+most a digest a cell, so a block whose numbers of digests differ by more isn't tried. Likeness is shared digests by all digests: 1 for equal texts, near 0 for unrelated ones.
+
+The work on a text grows with its length times the logarithm of it: digests are sorted once by block, blocks are slices of that.
 
 Defined cases: a null text is an empty one; two texts without pieces are alike by 1; equal texts have equal fingerprints;
 an edited text takes its end from the next larger doc_id (of several rows with it, the one whose text is smallest); rows that share an
@@ -29,6 +32,7 @@ CELLS = 16  # of each of a block's three parts
 PARTS = 3
 PER_BLOCK = 16  # pieces of a block, at most on average
 WEIGHT = 1 << 56
+DIGEST = (1 << 48) - 1
 ROUNDS = 8
 EMPTY = "array<bigint>"
 #: Code points of a piece at most, and below how many code points a text is cut so (None: always).
@@ -47,13 +51,13 @@ def piece_sizes(text: Column) -> Column:
 
 
 def digests(text: Column, size: Column | int = PIECES[0][0]) -> Column:
-    """Distinct 48-bit digests of a text's pieces of at most size code points."""
+    """Distinct 48-bit digests (above 0) of a text's pieces of at most size code points."""
     size = size if isinstance(size, Column) else F.lit(size)
     pieces = F.regexp_extract_all(text, F.concat(F.lit(r"[^\n]{1,"), size.cast("string"), F.lit("}")), F.lit(0))
 
     def digest(piece: Column) -> Column:
         high = F.shiftrightunsigned(F.xxhash64(piece), 32)
-        return F.shiftleft(high, 16) + _check(high)
+        return F.greatest(F.shiftleft(high, 16) + _check(high), F.lit(1))
 
     return F.array_distinct(F.transform(pieces, digest))
 
@@ -86,16 +90,25 @@ def cells(units: Column) -> Column:
         )
 
     def all_blocks(t: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), t["blocks"] - 1),
-                lambda b: _let(F.filter(t["units"], lambda d: _block(d, t["blocks"]) == b), block),
-            )
-        )
+        # a mark (digest 0) in front of each block, so that the marks' places are the blocks' starts
+        keyed = F.transform(t["units"], lambda d: F.shiftleft(_block(d, t["blocks"]).cast("long"), 48) + d)
+        marks = F.transform(F.sequence(F.lit(0), t["blocks"] - 1), lambda b: F.shiftleft(b.cast("long"), 48))
+        return _let(F.sort_array(F.concat(keyed, marks)), lambda s: _let(F.struct(s.alias("s"), _marks(s).alias("starts")), lambda x: cut(x, t["blocks"])))
+
+    def cut(x: Column, blocks: Column) -> Column:
+        end = lambda b: F.coalesce(F.get(x["starts"], (b + 1).cast("int")), F.size(x["s"]))
+        start = lambda b: F.get(x["starts"], b.cast("int"))
+        own = lambda b: F.transform(F.slice(x["s"], start(b) + 2, end(b) - start(b) - 1), lambda d: d.bitwiseAND(F.lit(DIGEST)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: _let(own(b), block)))
 
     return _let(_let(units, lambda u: F.struct(u.alias("units"), n_blocks(u).alias("blocks"))), all_blocks)
 
 
+def _marks(s: Column) -> Column:
+    """Places of the marks in the sorted keys."""
+    return F.filter(F.transform(s, lambda d, i: F.when(d.bitwiseAND(F.lit(DIGEST)) == 0, i)), lambda i: i.isNotNull())
+
+
 def tables(text: Column) -> Column:
     """A text's tables, one for each of piece_sizes()."""
     return F.transform(piece_sizes(text), lambda size: cells(digests(text, size)))
@@ -137,8 +150,8 @@ def _loads(part: Column) -> Column:
 
 
 def _peel(diff: Column, width: int) -> Column:
-    """Digests that a block's cells differ by (number), or -1 where peeling gets stuck. width: cells of a part."""
-    start = F.struct(diff.alias("cells"), F.lit(0).alias("n"))
+    """Digests that a block's cells differ by (d for one too many, -d - 1 for one too few), or null where peeling gets stuck. width: cells of a part."""
+    start = F.struct(diff.alias("cells"), F.array().cast(EMPTY).alias("found"))
 
     def pure(cs: Column) -> Column:
         """Signed digests that stand alone in a cell: +d or -d."""
@@ -175,18 +188,18 @@ def _peel(diff: Column, width: int) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         go = lambda gone: F.when(F.size(gone) == 0, acc).otherwise(
-            F.struct(without(acc["cells"], gone).alias("cells"), (acc["n"] + F.size(gone)).alias("n"))
+            F.struct(without(acc["cells"], gone).alias("cells"), F.concat(acc["found"], gone).alias("found"))
         )
         done = ~F.exists(acc["cells"], lambda c: c != 0)
         return F.when(done, acc).otherwise(_let(pure(acc["cells"]), go))
 
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.exists(acc["cells"], lambda c: c != 0), F.lit(-1)).otherwise(acc["n"])
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(~F.exists(acc["cells"], lambda c: c != 0), acc["found"])
     )
 
 
 def _differing(a: Column, b: Column) -> Column:
-    """Digests that one block of both tables differs by, or -1 where peeling gets stuck."""
+    """Digests that one block of both tables differs by (_peel()), or null where peeling gets stuck."""
     diff = F.zip_with(a, b, lambda x, y: x - y)
     half = F.transform(
         F.sequence(F.lit(0), F.lit(PARTS * CELLS // 2 - 1)),
@@ -195,7 +208,7 @@ def _differing(a: Column, b: Column) -> Column:
             lambda k: F.element_at(diff, k + 1) + F.element_at(diff, k + CELLS // 2 + 1),
         ),
     )
-    return _let(_peel(half, CELLS // 2), lambda n: F.when(n >= 0, n).otherwise(_peel(diff, CELLS)))
+    return _let(_peel(half, CELLS // 2), lambda found: F.when(found.isNotNull(), found).otherwise(_peel(diff, CELLS)))
 
 
 def _block_counts(a: Column, b: Column, blocks: Column, k: Column) -> Column:
@@ -204,8 +217,8 @@ def _block_counts(a: Column, b: Column, blocks: Column, k: Column) -> Column:
     def counts(load: Column) -> Column:
         both = load["a"] + load["b"]
         tried = _let(F.struct(_folded(a, blocks, k).alias("a"), _folded(b, blocks, k).alias("b")), lambda t: _differing(t["a"], t["b"]))
-        found = F.when(F.abs(load["a"] - load["b"]) <= PARTS * CELLS, tried).otherwise(F.lit(-1))
-        return F.struct(both.alias("all"), _let(found, lambda n: F.when(n >= 0, n.cast("long")).otherwise(both)).alias("diff"))
+        found = F.when(F.abs(load["a"] - load["b"]) <= PARTS * CELLS, tried)
+        return F.struct(both.alias("all"), _let(found, lambda x: F.when(x.isNotNull(), F.size(x).cast("long")).otherwise(both)).alias("diff"))
 
     return _let(F.struct(_load(a, blocks, k).alias("a"), _load(b, blocks, k).alias("b")), counts)
 
@@ -225,6 +238,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(_let(F.least(_blocks_of(a), _blocks_of(b)), compared))
 
 
+def differences(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with added, removed: digests that only table b, and only table a has, as far as peeling the tables' difference recovers them; stuck: blocks where it doesn't."""
+    x, y, n = F.col(a), F.col(b), F.col("_n")
+
+    def block(k: Column) -> Column:
+        few = F.abs(_load(x, n, k) - _load(y, n, k)) <= PARTS * CELLS
+        return F.when(few, _differing(_folded(x, n, k), _folded(y, n, k)))
+
+    per = df.withColumn("_n", F.least(_blocks_of(x), _blocks_of(y))).withColumn("_per", F.transform(F.sequence(F.lit(0), n - 1), block))
+    found = per.withColumns({"_all": F.flatten(F.filter("_per", lambda p: p.isNotNull())), "stuck": F.size(F.filter("_per", lambda p: p.isNull()))})
+    added = F.transform(F.filter("_all", lambda d: d < 0), lambda d: -d - 1)
+    return found.withColumns({"added": added, "removed": F.filter("_all", lambda d: d >= 0)}).drop("_n", "_per", "_all")
+
+
 def likeness_of(a: Column, b: Column) -> Column:
     """Likeness of two texts' tables by the shortest pieces that both are cut into."""
     pair = _let(F.least(F.size(a), F.size(b)), lambda k: F.struct(F.element_at(a, k).alias("a"), F.element_at(b, k).alias("b")))
