@@ -50,3 +50,14 @@ def test_query_with_nulls_and_repeats(spark, library):
         want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bytes_that_are_no_utf8_and_long_pieces(spark):
+    df = spark.sql("SELECT 1 AS doc_id, cast(X'6162ff63' AS string) AS text UNION ALL SELECT 2, repeat('x', 3000) UNION ALL SELECT 3, NULL UNION ALL SELECT 4, ''")
+    v = bpe.default_vocabulary()
+    assert bpe.default_vocabulary() is v
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(bpe.encode(df, v), v).collect()}
+    assert got == {1: "ab\ufffdc".encode(), 2: b"x" * 3000, 3: b"", 4: b""}
+    memo = bpe._Memo(v)
+    memo["y" * 70], memo["ab"]
+    assert [*memo] == ["ab"]

@@ -4,11 +4,11 @@ Tier one: a minimal perfect hash over the vocabulary resolves every pre-token th
 is merged over a linked list of its bytes, a heap giving the pair of lowest rank (the leftmost of equals) next. Texts are cut
 by the tokenizer's pattern, each match on its own, without special tokens, so ids are those of the tiktoken library.
 
-The vocabulary (tens of thousands of entries, whatever the corpus) is read at the driver and broadcast. Each task keeps the
-ids of pre-tokens it has met, up to MEMO entries, then starts anew; that bounds memory and changes no result.
+The vocabulary (tens of thousands of entries, whatever the corpus) is read once by the driver's process and broadcast. Each task keeps the
+ids of pre-tokens it has met, up to MEMO entries of at most LONGEST characters, then starts anew; that bounds memory and changes no result.
 
-Defined cases: a null or empty text has no ids and decodes to nothing; null ids decode to nothing; repeated rows are encoded
-each; an empty table gives an empty result; columns of the input keep their names, "ids" and "decoded" replace such columns.
+Defined cases: a null or empty text has no ids and decodes to nothing; bytes that are no UTF-8 count as U+FFFD; null ids decode to nothing; repeated
+rows are encoded each; an empty table gives an empty result; columns of the input keep their names, "ids" and "decoded" replace such columns.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from tidewell.llm import hashing as H
 from tidewell.session import bounded_batches
 
-MEMO = 400_000
+MEMO, LONGEST = 400_000, 64
 #: Matches of a text are taken so many at a time.
 CHUNK = 200_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -115,7 +116,9 @@ class _Memo(dict):
         self.ids_of = vocabulary.ids_of
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = self.ids_of(piece)
+        out = self.ids_of(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = out
         return out
 
 
@@ -173,7 +176,10 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, to: str) -> Data
         v = shared.value
         f = v.encode if encodes else v.decode
         for batch in batches:
-            made = pa.array([f(x) for x in batch.column(source).to_pylist()], pa.binary())
+            given = batch.column(source).cast(pa.binary()).to_pylist()
+            if encodes:
+                given = [None if x is None else x.decode("utf-8", "replace") for x in given]
+            made = pa.array([f(x) for x in given], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, to])
         v.memo.clear()
 
@@ -190,10 +196,15 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
     return _mapped(docs, vocabulary, ids, "decoded")
 
 
+@lru_cache(maxsize=4)
+def _read(path: str, pattern: str) -> Vocabulary:
+    return Vocabulary(path, pattern)
+
+
 def default_vocabulary() -> Vocabulary:
     import public_tokenizers as p
 
-    return Vocabulary(p.path(VOCABULARY), p.PATTERN)
+    return _read(p.path(VOCABULARY), p.PATTERN)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
