@@ -50,3 +50,30 @@ def test_each_stage_against_a_plain_version_of_it(spark):
             want = Counter((r["doc_id"], b"".join(i.to_bytes(4, "little") for i in encoding.encode_ordinary(r["text"]))) for r in before)
             assert Counter((r["doc_id"], bytes(r["ids"])) for r in after) == want
         docs = out
+
+
+def _folder(spark, tmp_path, rows):
+    kind = "doc_id long, text string, source string, lang string, n_chars long, ids string, batch int, _text string, times int, size long, n_words long"
+    df = spark.createDataFrame([(i, t, s, None, len(t) if t else None, f"x{i}", 1, "u", 9, 4, 7) for i, t, s in rows], kind)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path), df
+
+
+def test_stages_keep_columns_whatever_their_names_and_values(spark, tmp_path):
+    words = [f"word{k}" for k in range(30)]
+    rows = [(1, " ".join(words), "a"), (1, " ".join(words), "a"), (2, " ".join([*words, "more"]), None), (3, None, "a"), (4, "", None), (5, "x " * 5000, "b"), (None, "no id here at all", "b")]
+    folder, df = _folder(spark, tmp_path, rows)
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder))
+        assert docs.columns == df.columns, name
+        assert docs.where("batch <> 1 OR _text <> 'u' OR times <> 9 OR size <> 4 OR n_words <> 7").count() == 0
+    assert {r["doc_id"] for r in docs.collect()} <= {1, 2, 5, None} and docs.count() > 0
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+
+
+def test_an_empty_table_gives_an_empty_result(spark, tmp_path):
+    folder, _ = _folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
