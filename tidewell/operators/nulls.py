@@ -145,14 +145,19 @@ def episode_p_values(df: DataFrame, draws: int) -> DataFrame:
         keyed = F.transform(own, lambda x: F.struct(F.md5(F.concat_ws(":", F.col("k").cast("string"), x["j"].cast("string"))).alias("h"), x["n"].alias("n")))
         return F.transform(F.array_sort(keyed), lambda x: x["n"])
 
-    drawn = dealt(rows, F.sequence(F.lit(0), F.lit(draws - 1)), "k").withColumns({"yes": shuffled(True), "no": shuffled(False)})
+    def let(value: Column, f) -> Column:
+        """f of a value that is worked out once a row, not once for each element that looks at it."""
+        return F.transform(F.array(value), f)[0]
+
     # runs take turns, so run j is the (j div 2)th of its kind
-    long = F.transform("runs", lambda x: F.struct(x["m"].alias("m"), F.when(x["m"], F.get("yes", F.floor(x["j"] / 2).cast("int"))).otherwise(F.get("no", F.floor(x["j"] / 2).cast("int"))).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["n"]).alias("at"), F.when(x["m"], F.array_append(acc["out"], F.sequence(acc["at"], acc["at"] + x["n"] - 1))).otherwise(acc["out"]).alias("out")
-    )
-    placed = drawn.withColumn("on", F.flatten(F.aggregate(long, start, step, lambda acc: acc["out"])))
+    nth = lambda of, x: F.get(of, F.floor(x["j"] / 2).cast("int"))
+    lengths = lambda p: F.transform("runs", lambda x: F.struct(x["m"].alias("m"), F.when(x["m"], nth(p["yes"], x)).otherwise(nth(p["no"], x)).alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("out"))
+    span = lambda acc, x: F.struct(acc["at"].alias("a"), (acc["at"] + x["n"] - 1).alias("z"))
+    step = lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["m"], F.array_append(acc["out"], span(acc, x))).otherwise(acc["out"]).alias("out"))
+    spans = let(F.struct(shuffled(True).alias("yes"), shuffled(False).alias("no")), lambda p: let(lengths(p), lambda q: F.aggregate(q, start, step, lambda acc: acc["out"])))
+    drawn = dealt(rows, F.sequence(F.lit(0), F.lit(draws - 1)), "k").withColumn("spans", spans)
+    placed = drawn.withColumn("on", F.flatten(F.transform("spans", lambda x: F.sequence(x["a"], x["z"]))))
     placed = placed.withColumn("off", F.array_except(F.sequence(F.lit(0), F.col("l") - 1), "on"))
     null = placed.select("series", "theta", effect(F.lit(0)).alias("t"))
     return null.groupBy("series", "theta").agg(*_shares(F.col("t"), F.col("theta"))[:3])
