@@ -135,12 +135,12 @@ def spoken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH x AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN ts END AS ts FROM events)
-    SELECT event_id, round((epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(date_trunc('second', ts))) / 86400000000.0::DOUBLE, 4) AS days, coalesce(epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(date_trunc('second', ts)) > 10 * 86400000000, false) AS old FROM x"""
+    SELECT event_id, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(date_trunc('second', ts))) / 86400000000.0::DOUBLE AS days, coalesce(epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(date_trunc('second', ts)) > 10 * 86400000000, false) AS old FROM x"""
 )
 def digest_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(F.col("event_id") % 9 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("no date")
     days, old = panel.age(made, F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(days, 4).alias("days"), old.alias("old"))
+    return table(spark, sf_dir, "events").select("event_id", days.alias("days"), old.alias("old"))
 
 
 @query(
