@@ -36,7 +36,10 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(1000 + i, rows[100][1]) for i in range(60)]  # equal vectors: ties
     rows += [rows[3], rows[3], (100, rows[7][1]), (17, rows[9][1])]  # repeated rows, ids with two vectors
     rows += [(5000, None), (5100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5200, [float("nan")] * 6), (5300, [float("inf")] * 6), (None, rows[0][1]), (5400, []), (5500, [1.0, 2.0]), (5501, [3.0, -1.0])]
-    assert run(spark, rows) == brute(rows, 10)
+    want = brute(rows, 10)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(topk, "ROUND_BYTES", 200)  # several rounds
+    assert run(spark, rows) == want
 
 
 def test_few_rows_and_large_components(spark):

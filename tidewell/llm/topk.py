@@ -1,10 +1,12 @@
 """Exact top-k search by dual trees: cover trees over queries and over data, traversed together.
 
-Rows are dealt by hash to parts of PART rows, queries to groups of GROUP; each pair of a part and a group is one piece of work
-in which both sides get a cover tree (numpy). Pairs of nodes are pruned by the covering radii: no product of a query within
-rq of cq and a vector within rr of cr exceeds cq.cr + |cq| rr + |cr| rq + rq rr, and a pair goes when that is below the worst
+Rows are dealt by hash to parts of PART rows at most (or PART_BYTES), queries to groups of GROUP; both get a cover tree (numpy), which
+is built once, in its own task, and stored. Groups go to the parts in rounds: a round's trees (ROUND_BYTES) are broadcast, each task takes
+its parts through all of them and keeps the k best of each query, so that later parts meet higher bounds. No row is copied to a
+group and no query to a part; what is sent grows with the queries alone. Pairs of nodes are pruned by the covering radii, from the roots on:
+no product of a query within rq of cq and a vector within rr of cr exceeds cq.cr + |cq| rr + |cr| rq + rq rr, and a pair goes when that is below the worst
 kth score of the query node. Every query starts with the kth score it has in a bounded sample of SAMPLE rows, a lower bound
-that prunes from the first pair on. The k best of each piece meet again in a window whose limit Spark applies before its shuffle.
+that prunes from the first pair on. The k best of each task meet again in a window whose limit Spark applies before its shuffle.
 
 Every query must meet every part, in blocks: that is the stated query set against all rows. Products are exact integers.
 
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from tidewell.session import bounded_batches, stored
 
 PART, GROUP, SAMPLE = 4096, 1024, 2048
+PART_BYTES, ROUND_BYTES = 8 << 20, 64 << 20
 LEAF, FAN = 24, 64
 BLOCK = 16  # leaves of data multiplied at once
 LONG = 2**63 - 1
@@ -71,16 +76,30 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(ints, -LONG - 1, LONG)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of queries: its number, ids and scores of its k best rows of data (ties to smaller ids), own id left out.
+class Asked:
+    """A group of queries: tree, ids, and the best so far of each; floors: a lower bound of each one's kth score overall."""
 
-    floors: a lower bound of each query's kth score overall.
-    """
-    most = int(np.unique(ids, return_counts=True)[1].max())
-    keep = k * most  # of several rows with one id only the best counts in the end
-    qt, dt = CoverTree(queries), CoverTree(data)
-    top = [(np.empty(0), np.empty(0, dtype=ids.dtype)) for _ in queries]
-    worst = np.where(np.isfinite(floors), floors, -np.inf).astype(float)
+    def __init__(self, tree: CoverTree, ids: np.ndarray, floors: np.ndarray):
+        self.tree, self.ids = tree, ids
+        self.top = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
+        self.worst = np.where(np.isfinite(floors), floors, -np.inf).astype(float)
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
+        """Rows that may be among the k best of query i; of several with one id the best counts."""
+        s, v = np.concatenate([self.top[i][0], scores]), np.concatenate([self.top[i][1], ids])
+        order = np.lexsort((v, -s))
+        order = order[np.sort(np.unique(v[order], return_index=True)[1])[:k]]
+        self.top[i] = s[order], v[order]
+        if len(order) == k:
+            kth = s[order[-1]]
+            low = float(kth)
+            self.worst[i] = max(self.worst[i], low if low <= kth else np.nextafter(low, -np.inf))
+
+
+def search(asked: Asked, dt: CoverTree, ids: np.ndarray, k: int) -> None:
+    """Take the rows of a tree of data into the k best of each query (ties to smaller ids), own id left out."""
+    qt, query_ids, worst = asked.tree, asked.ids, asked.worst
+    queries, data = qt.x, dt.x
     centers = data[dt.center]
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
@@ -114,11 +133,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data:
             for i, row in zip(own, scores, strict=True):
                 hit = (row >= worst[i]) & (ids[at] != query_ids[i])
                 if hit.any():
-                    s, v = np.concatenate([top[i][0], row[hit]]), np.concatenate([top[i][1], ids[at][hit]])
-                    order = np.lexsort((v, -s))[:keep]
-                    top[i] = s[order], v[order]
-                    if len(order) == keep:
-                        worst[i] = max(worst[i], float(s[order[-1]]))
+                    asked.add(i, row[hit], ids[at][hit], k)
 
     def dual(q: int, nodes: np.ndarray) -> None:
         nodes = nodes[bounds(q, nodes) >= worst[qt.points[q]].min()]
@@ -134,9 +149,6 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data:
             dual(c, nodes)
 
     dual(0, np.array([0]))
-    for i, (s, v) in enumerate(top):
-        first = np.sort(np.unique(v, return_index=True)[1])[:k]
-        yield i, v[first], s[first]
 
 
 def scaled(vectors: pd.Series) -> np.ndarray:
@@ -147,13 +159,46 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def planted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row: the tree of a part, with ids and floors (if any), as bytes."""
+    tree = (CoverTree(scaled(pdf["v"])), pdf["vec_id"].to_numpy(), pdf["floor"].to_numpy() if "floor" in pdf else None)
+    return pd.DataFrame({"d": pdf["d"].iloc[:1].astype("int32"), "part": pdf["part"].iloc[:1].astype("int32"), "tree": [pickle.dumps(tree, protocol=5)]})
+
+
+def one_round(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: for each task its k best rows for each query of a round. Stored, so that the round's trees can go."""
+    sent = spark.sparkContext.broadcast([(r["d"], bytes(r["tree"])) for r in queries.select("d", "tree").collect()])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: list[tuple[int, Asked]] = []
+        for pdf in batches:
+            for d, blob in zip(pdf["d"], pdf["tree"], strict=True):
+                asked = asked or [(size, Asked(*pickle.loads(one))) for size, one in sent.value]
+                tree, ids, _ = pickle.loads(blob)
+                for size, group in asked:
+                    if size == d:
+                        search(group, tree, ids, k)
+        for _, group in asked:
+            n = [len(v) for _, v in group.top]
+            if sum(n):
+                scores = [int(x) for s, _ in group.top for x in s]
+                yield pd.DataFrame({"query_id": np.repeat(group.ids, n), "vec_id": np.concatenate([v for _, v in group.top]), "score": scores})
+
+    out = stored(data.select("d", "tree").mapInPandas(work, "query_id long, vec_id long, score long"))
+    sent.destroy()
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the largest inner product for each row for which is_query holds."""
-    bounded_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = stored(rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False))).dropDuplicates(["vec_id", "v"]))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    parts, groups = max(1, math.ceil(n / PART)), max(1, math.ceil(n_queries / GROUP))
+    size = (F.size("v") + 2) * 8
+    n, n_bytes, n_queries, query_bytes = (x or 0 for x in rows.agg(F.count("*"), F.sum(size), F.count_if("q"), F.sum(F.when(F.col("q"), size))).first())
+    parts, groups = (max(1, math.ceil(many / most), math.ceil(size_ / PART_BYTES)) for many, most, size_ in ((n, PART, n_bytes), (n_queries, GROUP, query_bytes)))
+    rounds = min(groups, max(1, math.ceil(query_bytes / ROUND_BYTES)))
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(SAMPLE).select("vec_id", "v").toPandas().drop_duplicates("vec_id")
     some, some_ids = sample["v"], sample["vec_id"].to_numpy()
 
@@ -171,21 +216,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
                 out[mine] = np.partition(scores, -k, axis=1)[:, -k]
             yield pdf.assign(floor=np.nextafter(out, -np.inf))
 
-    key = [F.size("v").alias("d")]
+    def dealt(df: DataFrame, seed: int, into: int) -> DataFrame:
+        """A tree for each of so many parts, and each length of vectors: d, part, tree."""
+        keyed = df.withColumns({"d": F.size("v"), "part": F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(into)).cast("int")})
+        return stored(keyed.repartition(min(into, max(2000, into // 16)), "d", "part").groupBy("d", "part").applyInPandas(planted, "d int, part int, tree binary"))
+
+    data = dealt(rows.select("vec_id", "v"), 2, parts)
     queries = rows.where("q").select("vec_id", "v").mapInPandas(with_floor, "vec_id long, v array<double>, floor double")
-    queries = queries.select(*key, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("g"), F.lit(True).alias("q"), "vec_id", "v", "floor")
-    data = rows.select(*key, F.pmod(F.xxhash64("vec_id", "v", F.lit(2)), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(False).alias("q"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
-
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, have = pdf[pdf["q"]], pdf[~pdf["q"]]
-        out: list[pd.DataFrame] = []
-        if len(ask) and len(have):
-            ids = ask["vec_id"].to_numpy()
-            for i, v, s in search(scaled(ask["v"]), ids, ask["floor"].to_numpy(), scaled(have["v"]), have["vec_id"].to_numpy(), k):
-                out.append(pd.DataFrame({"query_id": np.full(len(v), ids[i]), "vec_id": v, "score": [int(x) for x in s]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = queries.unionByName(data).groupBy("d", "p", "g").applyInPandas(piece, "query_id long, vec_id long, score long")
+    queries = dealt(queries, 1, groups)
+    found = [one_round(spark, data, queries.where(F.pmod("part", F.lit(rounds)) == r), k) for r in range(rounds)]
+    found = reduce(DataFrame.union, found)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
