@@ -88,7 +88,9 @@ class Asked:
         """Rows that may be among the k best of query i; of several with one id the best counts."""
         s, v = np.concatenate([self.top[i][0], scores]), np.concatenate([self.top[i][1], ids])
         order = np.lexsort((v, -s))
-        order = order[np.sort(np.unique(v[order], return_index=True)[1])[:k]]
+        if len({*v[order[:k]].tolist()}) < min(k, len(order)):  # an id stands there twice
+            order = order[np.sort(np.unique(v[order], return_index=True)[1])]
+        order = order[:k]
         self.top[i] = s[order], v[order]
         if len(order) == k:
             kth = s[order[-1]]
