@@ -29,6 +29,13 @@ def brute(rows):
     return sorted([(i, len(s), least.get(root(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets))], key=str)
 
 
+def linked_rows(rows):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    sets = [{tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    return [[j for j in range(len(rows)) if j != i and near(a, sets[j])] for i, a in enumerate(sets)]
+
+
 def made_texts(seed, n=150):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé漢") for _ in range(rng.randrange(1, 6)))
@@ -58,6 +65,22 @@ def test_against_brute_force_with_large_families_cut_into_blocks(spark, monkeypa
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize(("size", "block", "least"), [(900, 3_000_000, 2000), (4000, 60, 1)])
+def test_every_link_counts_and_classes_pair_once(spark, monkeypatch, size, block, least):
+    monkeypatch.setattr(batches, "BATCH_BYTES", size)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LEAST", least)
+    rows = [(n, t) for n, (_, t) in enumerate(made_texts(5))]
+    want = linked_rows(rows)
+    pairs, members = ngram_join.near_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    of = {r["doc_id"]: r for r in members.collect()}
+    assert [of[i]["n_links"] for i, _ in rows] == [len(x) for x in want]
+    found = sorted(map(tuple, pairs.collect()))
+    assert found == sorted({(min(a, b), max(a, b)) for i, x in enumerate(want) for j in x if (a := of[i]["class"]) != (b := of[j]["class"])})
+    pairs, members = ngram_join.near_pairs(spark.createDataFrame([], "doc_id long, text string"))
+    assert pairs.count() == members.count() == 0
+
+
 def test_one_of_each_group_stays_with_its_columns(spark):
     rows = made_texts(4)
     docs = spark.createDataFrame([(i, t, f"k{i}") for i, t in rows], "doc_id long, text string, key string").repartition(2)

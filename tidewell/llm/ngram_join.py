@@ -16,7 +16,7 @@ documents which alone can be linked, found without comparing pairs:
 4. A family is one piece of work, with a tree of its own. A large one is cut by bands of set size (linked sizes differ by a third at most) and salt into
    blocks; each pair of blocks of equal or neighbouring bands is a piece. Documents already in one component aren't compared again.
 
-Pieces give links that span what they have found, and the components of those are the result.
+Pieces give links that span what they have found, and the components of those are the result; near_pairs() gives every link.
 
 Defined cases: A-Z are lower-cased; a text of 1 to 4 words has its whole sequence as its one shingle; null texts and texts
 without words have an empty set and are linked with nothing (component_id is their own doc_id); null doc_ids are left out of
@@ -151,10 +151,10 @@ def enough(bound: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Piece:
-    """Sets that are compared with each other (or the first side's with the second's)."""
+    """Sets that are compared with each other (or the first side's with the second's). every: find all links, not only spanning ones."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], every: bool = False):
+        self.sets, self.every = sets, every
         self.n = np.array([len(s) for s in sets], np.int64)
         groups = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(self.n))), 6, 10))
         self.points = np.zeros((len(sets), groups), np.int32)
@@ -164,8 +164,9 @@ class Piece:
         self.links: list[tuple[int, int]] = []
 
     def compare(self, i: int, others: np.ndarray) -> None:
-        """Link i with those of others that are near enough and not yet in its component."""
-        others = others[self.component[others] != self.component[i]]
+        """Link i with those of others that are near enough and, unless every link is asked for, not yet in its component."""
+        if not self.every:
+            others = others[self.component[others] != self.component[i]]
         if not len(others):
             return
         bound = np.minimum(self.points[others], self.points[i]).sum(1)
@@ -176,6 +177,9 @@ class Piece:
         hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
         both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(self.n[others])[:-1]]))
         near = 100 * both >= NEAR * (self.n[i] + self.n[others] - both)
+        if self.every:
+            self.links += [(i, int(j)) for j in others[near]]
+            return
         for j in others[near]:
             if self.component[j] != self.component[i]:
                 self.links.append((i, int(j)))
@@ -205,9 +209,9 @@ class Piece:
                     self.compare(int(i), y.own)
 
 
-def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a piece of work that span its components."""
-    piece = Piece([np.frombuffer(x, np.uint64) for x in pdf["names"]])
+def linked(pdf: pd.DataFrame, every: bool = False) -> pd.DataFrame:
+    """Links of a piece of work that span its components, or every one."""
+    piece = Piece([np.frombuffer(x, np.uint64) for x in pdf["names"]], every)
     side = pdf["side"].to_numpy()
     if pdf["self"].iloc[0]:
         piece.join(np.arange(len(pdf)), None)
@@ -243,8 +247,8 @@ def pieces(found: DataFrame, families: DataFrame) -> DataFrame:
     return dealt.select(F.struct("label", "u.b1", "u.s1", "u.b2", "u.s2").alias("unit"), same.alias("self"), F.col("u.side").alias("side"), "key", "names")
 
 
-def find_links(table: Table, classes: DataFrame) -> DataFrame:
-    """a, b: links between representatives (key, batch of classes) that span the components."""
+def find_links(table: Table, classes: DataFrame, every: bool = False) -> DataFrame:
+    """a, b: links between representatives (key, batch of classes) that span the components, or every link, once."""
     table.pick(classes.select("batch", "key"))
 
     def shingled(batch: Batch) -> list[Named]:
@@ -256,7 +260,7 @@ def find_links(table: Table, classes: DataFrame) -> DataFrame:
     keyed = found.select("key", F.explode("keys").alias("name"))
     star = keyed.groupBy("name").agg(F.min("key").alias("hub"), F.count("*").alias("often")).where("often > 1").select("name", "hub")
     families = stored(components(keyed.join(star, "name").where("key <> hub").select("key", "hub").distinct()))
-    return stored(pieces(found, families).groupBy("unit").applyInPandas(linked, "a long, b long"))
+    return stored(pieces(found, families).groupBy("unit").applyInPandas(lambda pdf: linked(pdf, every), "a long, b long"))
 
 
 INFO = T.StructType([T.StructField(c, T.LongType()) for c in ("batch", "key", "id", "n", "h1", "h2")])
@@ -272,15 +276,39 @@ def described(table: Table, id_at: int) -> DataFrame:
     return stored(table.rows(work, INFO))
 
 
+def equal_sets(info: DataFrame) -> DataFrame:
+    """Classes of equal sets: h1, h2, key and batch of the representative, least (id), rows."""
+    classes = info.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("key", "batch")).alias("r"), F.min("id").alias("least"), F.count("*").alias("rows"))
+    return stored(classes.select("h1", "h2", "r.key", "r.batch", "least", "rows"))
+
+
 def by_class(info: DataFrame, table: Table) -> DataFrame:
     """Classes of equal sets: h1, h2, key and batch of the representative, component (the representative's key where nothing links)."""
-    classes = info.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("key", "batch")).alias("r"), F.min("id").alias("least"))
-    classes = stored(classes.select("h1", "h2", "r.key", "r.batch", "least"))
+    classes = equal_sets(info)
     labels = components(find_links(table, classes))
     out = classes.join(labels, classes["key"] == labels["node"], "left")
     return stored(out.select("h1", "h2", "key", "batch", "least", F.coalesce("label", "key").alias("component")))
 
 
+def near_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All links, copies not expanded: (class_a, class_b: each linked pair of classes of equal sets once) and membership (doc_id, class, n_links).
+
+    A row's n_links counts every other row that it is linked to, those with an equal set included. Rows with an empty set have no class and no links.
+    Each linked pair is verified, so the work follows their number; near_duplicates() gives components without that.
+    """
+    table = Table(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), "text", ["id"])
+    info = described(table, 0)
+    classes = equal_sets(info)
+    pairs = find_links(table, classes, every=True).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
+    both = pairs.union(pairs.select("class_b", "class_a")).toDF("key", "other")
+    sizes = classes.select(F.col("key").alias("other"), F.col("rows").alias("n_other"))
+    beyond = both.join(sizes, "other").groupBy("key").agg(F.sum("n_other").alias("beyond"))
+    counted = classes.join(beyond, "key", "left").select("h1", "h2", F.col("key").alias("class"), (F.col("rows") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    members = info.where("n > 0").join(counted, ["h1", "h2"]).select("id", "class", "n_links")
+    members = members.union(info.where("n = 0").select("id", F.lit(None).cast("long"), F.lit(0).cast("long")))
+    return pairs, members.withColumnRenamed("id", doc_id)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     table = Table(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), "text", ["id"])
