@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import anchor_dedup, bpe, fingerprint, license_scan, mixing, ngram_join, quality, suffix_dedup, topk, url_filter
+from tidewell.llm import anchor_dedup, bpe, fingerprint, hard_negatives, license_scan, mixing, ngram_join, quality, spelling, suffix_dedup, token_records, topk, url_filter
 
-MODULES = (license_scan, mixing, topk, quality, ngram_join, suffix_dedup, bpe, fingerprint, anchor_dedup, url_filter)
+MODULES = (license_scan, mixing, topk, quality, ngram_join, suffix_dedup, bpe, fingerprint, anchor_dedup, url_filter, spelling, token_records, hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
