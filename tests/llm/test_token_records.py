@@ -18,6 +18,7 @@ ODD = [
     "éä Å x y　z İstanbul ΣΣ don't 12345",
     "a\x1cb \x85 c d <|endoftext|> <|startoftext|>x",
     "x" * 9000,
+    "Hello, World. AÀ ß÷×ÿ. <|EndOfText|>. <|endoftext|>, <b>Bold</b> it's. don't! A.B., a.. ?! Ünï. 'S l'Été Ÿ Ÿ. á. e.\u0301 1. x1. <a.",
     "中文字 " * 50,
     "word and more " * 3000,
     "\U0001f600‍\U0001f600 กำ",
@@ -53,8 +54,8 @@ def test_files_index_and_shuffled_reads(spark, tmp_path):
             frame = f.read(r["size"])
         n, check = struct.unpack("<QI", frame[:12])
         assert n == r["size"] - 16 and check == int(crc32c.masked(crc32c.checksums([frame[:8]]))[0])
-        doc_id, found = R.parsed(frame[12:-4])
-        assert doc_id == r["doc_id"] and len(found) == r["n_tokens"] and found[-1] == R.END
+        doc_ids, found, many = R.parsed([frame[12:-4]])
+        assert doc_ids == [r["doc_id"]] and many.tolist() == [len(found)] == [r["n_tokens"]] and found[-1] == R.END
     df = spark.createDataFrame(index, R.INDEX)
     whole = {(r["file"], r["record"]): (r["doc_id"], r["before"], bytes(r["ids"])) for r in R.read(df.select("file").distinct()).collect()}
     assert {k: v[:2] for k, v in whole.items()} == {(r["file"], r["record"]): (r["doc_id"], r["before"]) for r in index}
@@ -83,7 +84,9 @@ def test_checksums_and_varints():
     assert packed == b"".join(R.varint(int(i)) for i in ids) and sizes.sum() == len(packed)
     assert R.unpacked(packed).tolist() == ids.tolist()
     for d in (None, 0, -5, 2**63 - 1, -(2**63)):
-        assert R.parsed(R.example(d, packed))[0] == d
+        assert R.parsed([R.example(d, packed)])[0] == [d]
+    doc_ids, found, many = R.parsed([R.example(1, packed), R.example(2, b""), R.example(3, b"\x05")])
+    assert doc_ids == [1, 2, 3] and many.tolist() == [len(ids), 0, 1] and found.tolist() == [*ids.tolist(), 5]
 
 
 def test_empty_table(spark):

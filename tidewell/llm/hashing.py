@@ -129,6 +129,11 @@ def spans(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def in_word(raw: np.ndarray) -> np.ndarray:
+    """Which bytes stand in words."""
+    return _WORD[raw].view(bool)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and texts of the words: runs without space, tab, line ends."""
     return spans(_WORD[raw], offsets)

@@ -22,8 +22,11 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
+import string
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,12 @@ from tidewell.session import bounded_batches, scratch, stored
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 FILE_BYTES = 64 << 20  # of text
-CHUNK, MEMO, LONGEST = 4 << 20, 500_000, 64
+CHUNK, MEMO, LONGEST = 8 << 20, 800_000, 64
+#: Signs and letters that may be handled by shortcuts: see Encoder.
+SIGNS = ".,;:!?"
+LETTERS = string.ascii_lowercase + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
+_SIGN, _LETTER = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (SIGNS, string.ascii_letters))
 INDEX = "doc_id long, file string, record long, offset long, size long, before long, n_tokens long"
 RECORD = "doc_id long, file string, record long, before long, ids binary"
 
@@ -54,23 +62,45 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer given as JSON, which must take white space for a boundary."""
+    """Ids of texts by a tokenizer given as JSON, which must take white space for a boundary.
+
+    Three shortcuts make fewer distinct words, and go only where a probe of the tokenizer shows that they change nothing: capitals of ASCII become small,
+    one sign behind a letter at a word's end is a word of its own, and words of LETTERS alone go straight to the model.
+    """
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(json), {}
+        t = self.tokenizer = Tokenizer.from_str(json)
+        normal = t.normalizer.normalize_str if t.normalizer else str
+        cut = (lambda x: [y for y, _ in t.pre_tokenizer.pre_tokenize_str(x)]) if t.pre_tokenizer else lambda x: [x]
+        capitals = string.ascii_uppercase
+        self.memo: dict[bytes, bytes] = {}
+        self.lowers = normal(capitals) == capitals.lower()
+        self.parts = all(normal(f"a{x}") == f"a{x}" and cut(f"aa{x}") == [*cut("aa"), *cut(x)] for x in SIGNS)
+        alone = {x: cut(x) for x in LETTERS}
+        self.plain = normal(LETTERS) == LETTERS and all(len(x) == 1 for x in alone.values()) and cut(LETTERS) == ["".join(alone[x][0] for x in LETTERS)]
+        self.spelled = str.maketrans({x: y[0] for x, y in alone.items()})
 
     def _of_words(self, words: list[bytes]) -> list[bytes]:
-        memo = self.memo
+        memo, model = self.memo, self.tokenizer.model
         if len(memo) > MEMO:
             memo.clear()
-        missing = [w for w in words if w not in memo]
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, made, strict=True)}
-        out = [memo.get(w) or new.get(w, b"") for w in words]
-        memo.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+        out = list(map(memo.get, words))
+        other: list[tuple[int, str]] = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i].decode("utf-8", "replace")
+            if self.plain and _PLAIN(w):
+                out[i] = array("I", [x.id for x in model.tokenize(w if w.isascii() else w.translate(self.spelled))]).tobytes()
+                if len(words[i]) <= LONGEST:
+                    memo[words[i]] = out[i]
+            else:
+                other.append((i, w))
+        for (i, _), e in zip(other, self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+            if len(words[i]) <= LONGEST:
+                memo[words[i]] = out[i]
         return out
 
     def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +108,30 @@ class Encoder:
         starts, ends, text = H.words(raw, at)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(at) - 1, np.int64)
+        if self.parts:
+            sign = _SIGN[raw[ends - 1]] & _LETTER[raw[ends - 2]] & (ends - starts > 1)
+            again = 1 + sign
+            second = (np.cumsum(again) - 1)[sign]
+            starts, ends, text = (np.repeat(x, again) for x in (starts, ends, text))
+            starts[second] = ends[second] - 1
+            ends[second - 1] -= 1
+        low = raw
+        if self.lowers:
+            low = H.lowered(raw)
+            if len(angles := np.flatnonzero(raw == ord("<"))):  # names of special tokens stay as they are
+                for i in np.unique(np.searchsorted(starts, angles, side="right") - 1):
+                    low[starts[i] : ends[i]] = raw[starts[i] : ends[i]]
         offsets = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(ends - starts, out=offsets[1:])
-        data = raw[~np.isin(raw, H.SPACES)]
+        data = low[H.in_word(raw)]
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         own = self._of_words(words.dictionary.to_pylist())
         code, flat = words.indices.to_numpy(), np.frombuffer(b"".join(own), "<u4")
-        n = np.array([len(x) // 4 for x in own], np.int64)
-        first = np.cumsum(n) - n
+        n = np.array([len(x) // 4 for x in own], np.int32)
+        first = np.cumsum(n, dtype=np.int32) - n
         many = n[code]
-        begin = np.cumsum(many) - many
-        ids = flat[np.repeat(first[code] - begin, many) + np.arange(many.sum())]
+        begin = np.cumsum(many, dtype=np.int32) - many
+        ids = flat[np.repeat(first[code] - begin, many) + np.arange(int(begin[-1] + many[-1]), dtype=np.int32)]
         return ids, np.bincount(text, many, len(at) - 1).astype(np.int64)
 
 
@@ -206,19 +249,28 @@ def _inside(data: memoryview, *path: int) -> memoryview:
     return data
 
 
-def parsed(data: bytes) -> tuple[int | None, np.ndarray]:
-    """doc_id and ids of an example."""
-    doc_id, ids = None, np.zeros(0, "<u4")
+def _parts(data: bytes) -> tuple[int | None, memoryview]:
+    """doc_id and packed ids of an example."""
+    doc_id, ids = None, memoryview(b"")
     for _, entry in _fields(_inside(memoryview(data), 1)):
         name, packed = bytes(_inside(entry, 1)), _inside(entry, 2, 3, 1)
         if name == b"input_ids":
-            ids = unpacked(packed)
+            ids = packed
         elif name == b"doc_id":
             n = sum((b & 127) << 7 * k for k, b in enumerate(packed))
             doc_id = n - (1 << 64) if n >> 63 else n
     return doc_id, ids
 
 
+def parsed(data: list[bytes]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Of examples: doc_ids, all ids, and how many each has."""
+    parts = [_parts(x) for x in data]
+    packed = b"".join(x for _, x in parts)
+    ends = np.cumsum([0] + [len(x) for _, x in parts])
+    last = np.flatnonzero(np.frombuffer(packed, np.uint8) < 128)
+    return [d for d, _ in parts], unpacked(packed), np.diff(np.searchsorted(last, ends))
+
+
 def framed(data: list[bytes]) -> list[bytes]:
     """Each record with its lengths and checksums around it."""
     heads = [struct.pack("<Q", len(x)) for x in data]
@@ -277,8 +329,10 @@ def write(docs: DataFrame, tokenizer_json: str, end: int = END, path: str | None
 
 
 def _records(frames: list[bytes], file: list[str], record: list[int], before: list[int]) -> pa.RecordBatch:
-    both = [parsed(x) for x in unframed(frames, file[0])]
-    arrays = [pa.array([d for d, _ in both], pa.int64()), pa.array(file), pa.array(record, pa.int64()), pa.array(before, pa.int64()), pa.array([x.tobytes() for _, x in both], pa.binary())]
+    doc_ids, found, n = parsed(unframed(frames, file[0]))
+    offsets = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int64)
+    ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(found))]).cast(pa.binary())
+    arrays = [pa.array(doc_ids, pa.int64()), pa.array(file), pa.array(record, pa.int64()), pa.array(before, pa.int64()), ids]
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "file", "record", "before", "ids"])
 
 
