@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import curves, nulls, panel, registry, stats, text
-from tidewell.sources import files, sinks
+from tidewell.sources import files, sinks, versions
 from tidewell.streaming import ticks
 
 
@@ -37,12 +37,13 @@ def test_metric_wide_tokens_and_hashes(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([(1, "x", 1.0), (2, "y", float("nan"))], "k int, s string, v double")
     path = str(tmp_path / "u")
-    sinks.upsert(spark, path, a, "k")
-    sinks.upsert(spark, path, spark.createDataFrame([(2, "z", 3.0), (3, "w", 4.0)], a.schema), "k")
-    assert sorted((r["k"], r["s"]) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "z"), (3, "w")]
+    versions.upsert(spark, path, a, "k")
+    versions.upsert(spark, path, spark.createDataFrame([(2, "z", 3.0), (3, "w", 4.0)], a.schema), "k")
+    assert sorted((r["k"], r["s"]) for r in versions.read(spark, path).collect()) == [(1, "x"), (2, "z"), (3, "w")]
     assert sinks.content_hash(a.repartition(2)).first() == sinks.content_hash(a.orderBy(F.desc("k"))).first()
     assert json.loads(sinks.report(a.where("k = 2")).first()["json"]) == {"k": 2, "s": "y", "v": None}
-    assert sinks.outstanding(a, path, "k").count() == 0 and sinks.outstanding(a, path + "-none", "k").count() == 2
+    sinks.append(a, path + "-done")
+    assert sinks.outstanding(a, path + "-done", "k").count() == 0 and sinks.outstanding(a, path + "-none", "k").count() == 2
     sinks.write_sorted_csv(a, str(tmp_path / "c"), ["k"], {"v": "%.2f"})
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["v"] == "1.00"
     assert [r["k"] for r in sinks.retained(a, "k", 1).collect()] == [2]
@@ -55,7 +56,7 @@ def test_streams_over_files(spark, tmp_path):
     stream = ticks.ticks(spark, str(tmp_path / "in"), df.schema)
     query = ticks.upserting(stream, str(tmp_path / "out"), "series", str(tmp_path / "check"))
     query.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).first()["value"] == 3.0
+    assert versions.read(spark, str(tmp_path / "out")).first()["value"] == 3.0
     for name, out in (("windows", ticks.windowed(stream)), ("sessions", ticks.sessions(stream, "10 hours"))):
         q = out.writeStream.format("memory").queryName(name).outputMode("complete" if name == "windows" else "append").trigger(availableNow=True).start()
         q.awaitTermination(60)

@@ -9,7 +9,7 @@ from tidewell.functions import series as S
 from tidewell.operators import stats, text
 from tidewell.plans.records import JOURNAL_SQL, WORDS_SQL, _journal, _titles
 from tidewell.session import scratch
-from tidewell.sources import files, sinks
+from tidewell.sources import files, sinks, versions
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 from tidewell.streaming import ticks
 
@@ -117,8 +117,8 @@ def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("n"))
     edges = [0.0, *x.select(F.percentile_approx("n", F.array(F.lit(0.3), F.lit(0.7)))).first()[0], float("inf")]
     for low, high in zip(edges, edges[1:], strict=False):
-        sinks.upsert(spark, path, x.where((F.col("n") >= low) & (F.col("n") < high)).groupBy("key").agg(F.max("n").alias("n")), "key")
-    return spark.read.parquet(path)
+        versions.upsert(spark, path, x.where((F.col("n") >= low) & (F.col("n") < high)).groupBy("key").agg(F.max("n").alias("n")), "key")
+    return versions.read(spark, path)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN round(value, 6) END AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS d FROM events")
@@ -165,7 +165,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, stream = _ticks(spark, sf_dir, _tick_columns())
     out = scratch(spark)
     ticks.gathered(ticks.windowed(stream, "8 hours", "60 days"), out, ["series", "start"], scratch(spark)).awaitTermination()
-    return spark.read.parquet(out)
+    return versions.read(spark, out)
 
 
 @query(
@@ -187,7 +187,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, stream = _ticks(spark, sf_dir, [F.col("user_id").alias("series"), "ts", "event_id"])
     out = scratch(spark)
     ticks.upserting(stream, out, "series", scratch(spark)).awaitTermination()
-    return spark.read.parquet(out).select("series", "event_id")
+    return versions.read(spark, out).select("series", "event_id")
 
 
 @query("SELECT event_id % 2 AS run, count(*) AS n FROM events GROUP BY 1")

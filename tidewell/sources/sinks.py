@@ -1,15 +1,11 @@
-"""Writers: CSV in order by ranges, upserts by key, logs with retention, reports, and resuming a batch of work."""
+"""Writers: CSV in order by ranges, logs with retention, reports, and resuming a batch of work."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.operators.registry import latest_wins
-
 
 def write_sorted_csv(df: DataFrame, path: str, keys: list[str], formats: dict[str, str] | None = None, parts: int = 1) -> None:
     """CSV part files that are in order of keys one after another; formats: printf patterns of columns. parts: by the size of df."""
@@ -25,18 +21,6 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select("rows", F.sha2(F.concat_ws("|", "rows", *[F.coalesce(F.col(f"s{k}").cast("string"), F.lit("0")) for k in range(8)]), 256).alias("hash"))
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, key: str | list[str]) -> None:
-    """Rows of new replace those in the Parquet folder at path with the same key; the folder is swapped once the new one is whole."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    merged = latest_wins(spark.read.parquet(path), new, key) if fs.exists(target) else new
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    merged.write.parquet(fresh)
-    fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
-
-
 def tail(log: DataFrame, order: list[str], n: int) -> DataFrame:
     """The last n rows of a log."""
     return log.orderBy(*[F.desc(c) for c in order]).limit(n)

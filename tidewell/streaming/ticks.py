@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.sources import sinks
+from tidewell.sources import versions
 
 
 def ticks(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -29,20 +29,27 @@ def sessions(stream: DataFrame, gap: str = "30 days", late: str = "1 day") -> Da
 
 
 def upserting(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key at path, a micro-batch at a time, until what there is has been read."""
+    """Keep the latest row of each key in the versions at path, a micro-batch at a time, until what there is has been read.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    A row that is older than the key's row at path changes nothing; a batch that runs again neither.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "ts").alias("r")).select(key, "r.*")
-        sinks.upsert(batch.sparkSession, path, newest, key)
+        if versions.versions(spark, path):
+            had = versions.read(spark, path).select(F.col(key), F.col("ts").alias("had"))
+            newest = newest.join(had, key, "left").where("had IS NULL OR ts >= had").drop("had")
+        versions.upsert(spark, path, newest, key, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def gathered(counts: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep an aggregate's latest rows by key at path, until what there is has been read."""
+    """Keep an aggregate's latest rows by key in the versions at path, until what there is has been read."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        sinks.upsert(batch.sparkSession, path, batch, key)
+    def merge(batch: DataFrame, number: int) -> None:
+        versions.upsert(batch.sparkSession, path, batch, key, (checkpoint, number))
 
     return counts.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
