@@ -44,20 +44,20 @@ def pivots(bars: DataFrame, side: int = 10) -> DataFrame:
 
 
 def zones(points: DataFrame, gap: float = GAP, span: float = SPAN) -> DataFrame:
-    """Zones of pivots by price: a pivot within gap of the last one and span of the zone's lowest belongs to it. Equal counts of kinds: high."""
-    rows = F.array_sort(F.collect_list(F.struct("price", "d", "kind")))
-    kind = "struct<low:double,last:double,zone:int,out:array<int>>"
-    start = F.lit(None).cast(kind)
-
-    def step(acc, x):
-        joins = (x["price"] - acc["last"] <= gap) & (x["price"] - acc["low"] <= span)
-        zone = F.when(acc.isNull(), 1).when(joins, acc["zone"]).otherwise(acc["zone"] + 1)
-        low = F.when(joins, acc["low"]).otherwise(x["price"])
-        out = F.array_append(F.coalesce(acc["out"], F.array().cast("array<int>")), zone)
-        return F.struct(low.alias("low"), x["price"].alias("last"), zone.alias("zone"), out.alias("out")).cast(kind)
-
-    folded = points.groupBy("series").agg(rows.alias("rows")).withColumn("zones", F.aggregate("rows", start, step, lambda acc: acc["out"]))
-    flat = folded.select("series", F.explode(F.arrays_zip("rows", "zones")).alias("x")).select("series", F.col("x.zones").alias("zone"), "x.rows.*")
+    """Zones of pivots by price: a pivot within gap of the last one and span of the zone's lowest belongs to it. Equal counts of kinds: high.
+
+    Prices further apart than gap cut a series into stretches that don't touch each other. Within one the fold keeps where zones begin: no more
+    than the stretch's width over span, so that what is copied doesn't grow with the pivots.
+    """
+    by_price = W.partitionBy("series").orderBy("price")
+    prices = points.select("series", "price").distinct()
+    cut = F.coalesce(F.col("price") - F.lag("price").over(by_price) > gap, F.lit(True))
+    stretches = prices.withColumn("stretch", F.sum(cut.cast("int")).over(by_price)).groupBy("series", "stretch").agg(F.array_sort(F.collect_list("price")).alias("prices"))
+    step = lambda acc, x: F.when(x - F.element_at(acc, -1) <= span, acc).otherwise(F.array_append(acc, x))
+    begun = stretches.select("series", F.explode(F.aggregate("prices", F.array(F.col("prices")[0]), step)).alias("price"))
+    numbered = begun.withColumn("zone", F.row_number().over(by_price))
+    rows = points.join(numbered, ["series", "price"], "left")
+    flat = rows.withColumn("zone", F.max("zone").over(by_price.rangeBetween(W.unboundedPreceding, 0)))
     return flat.groupBy("series", "zone").agg(
         F.round(F.avg("price"), 2).alias("center"),
         F.min("price").alias("low"),

@@ -1,31 +1,32 @@
-"""Wilder's average true range: a recursion over a series, folded in the JVM over the series' ordered array."""
+"""Wilder's average true range: a recursion along a series, as a scan of affine maps over blocks of days."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions import series as S
+from tidewell.operators import scan
 
 
-def atr(bars: DataFrame, k: int = 14) -> DataFrame:
+def atr(bars: DataFrame, k: int = 14, order: str = "d", block: Column | None = None) -> DataFrame:
     """bars with atr: the mean of the first k true ranges, then (previous * (k - 1) + true range) / k.
 
-    A series' rows (one a day) are gathered in one array; series are independent. Null true ranges count as 0.
+    Null true ranges count as 0; a series of fewer rows has none. block: see scan (default: stretches of days). Only the first k rows of a series
+    meet in one task, behind a limit that Spark applies before its shuffle.
     """
-    ranged = bars.withColumn("tr", S.true_range(F.col("high"), F.col("low"), F.col("close")))
-    days = F.array_sort(F.collect_list(F.struct("d", "tr", *[c for c in bars.columns if c not in ("series", "d", "tr")])))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("a"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        tr, n = F.coalesce(x["tr"], F.lit(0.0)), F.size(acc["out"])
-        total = acc["sum"] + tr
-        a = F.when(n == k - 1, total / k).when(n >= k, (acc["a"] * (k - 1) + tr) / k)
-        return F.struct(total.alias("sum"), a.alias("a"), F.array_append(acc["out"], a).alias("out"))
-
-    folded = ranged.groupBy("series").agg(days.alias("days")).withColumn("atrs", F.aggregate("days", start, step, lambda acc: acc["out"]))
-    return folded.select("series", F.explode(F.arrays_zip("days", "atrs")).alias("x")).select("series", "x.days.*", F.col("x.atrs").alias("atr")).drop("tr")
+    blocked = bars.withColumn("_block", scan.day_blocks(order) if block is None else block)
+    ranged = scan.lagged(blocked, {"_close": "close"}, "series", order, "_block")
+    high, low, previous = F.col("high"), F.col("low"), F.col("_close")
+    ranged = ranged.withColumn("_tr", F.coalesce(F.greatest(high - low, F.abs(high - previous), F.abs(low - previous)), F.lit(0.0))).drop("_close")
+    at = F.row_number().over(W.partitionBy("series").orderBy(order))
+    first = ranged.select("series", order, "_tr").withColumn("_i", at).where(F.col("_i") <= k)
+    seed = first.groupBy("series").agg(F.avg("_tr").alias("_seed"), F.max(order).alias("_from"), F.count("*").alias("_n")).where(F.col("_n") == k).drop("_n")
+    joined = ranged.join(seed, "series", "left")
+    later, now = F.col(order) > F.col("_from"), F.col(order) == F.col("_from")
+    maps = joined.withColumns({"a": F.when(later, (k - 1) / k).otherwise(0.0), "b": F.when(later, F.col("_tr") / k).when(now, F.col("_seed")).otherwise(0.0)})
+    found = scan.affine(maps, "series", order, "_block", "_x")
+    return found.withColumn("atr", F.when(F.col(order) >= F.col("_from"), F.col("_x"))).drop("_block", "_tr", "_seed", "_from", "_x", "a", "b")
 
 
 def weekly_on_daily(daily: DataFrame) -> DataFrame:
