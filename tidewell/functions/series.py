@@ -84,12 +84,6 @@ def filled_back(x: Column) -> Column:
     return F.first(x, ignorenulls=True).over(ordered().rowsBetween(0, W.unboundedFollowing))
 
 
-def quantile_of_rows(x: Column, q: float, k: int, lag: int = 0) -> Column:
-    """Exact quantile of the k rows that end lag rows before; null unless they hold k values."""
-    frame = rows(-(k - 1) - lag, -lag)
-    return F.when(F.count(x).over(frame) == k, F.percentile(x, F.lit(q)).over(frame))
-
-
 def population_sd(x: Column, k: int) -> Column:
     """Standard deviation over k rows, divided by k."""
     return guarded(F.stddev_pop, x, k)
@@ -108,12 +102,6 @@ def correlation(x: Column, y: Column, k: int) -> Column:
     return F.when(F.count(x).over(w) == k, F.covar_pop(x, y).over(w) / F.when(spread > 0, spread))
 
 
-def quantile_of_days(x: Column, q: float, days: int) -> Column:
-    """Exact quantile of the values dated 1 to days days before."""
-    frame = W.partitionBy(SERIES).orderBy(F.unix_date(DAY)).rangeBetween(-days, -1)
-    return F.percentile(x, F.lit(q)).over(frame)
-
-
 def strict_percentile(x: Column, now: Column) -> Column:
     """Aggregate: share of x below now, in hundredths; nulls of x don't count."""
     return F.avg(F.when(x.isNotNull(), (x < now).cast("double"))) * 100

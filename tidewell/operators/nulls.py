@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import stats
+from tidewell.operators import rolling, stats
 
 CHUNK = 50
 EXCLUSION = 30
@@ -96,9 +96,7 @@ def rotation_p_values(df: DataFrame, draws: list[float], exclusion: int = EXCLUS
 def past_terciles(bars: DataFrame, k: int = 30, days: int = 365) -> DataFrame:
     """series, d, t: 0, 1 or 2 by the volatility of k log returns against the terciles of the days rows before; null without them all."""
     x = bars.select("series", "d", F.log(S.close() / S.before(S.close())).alias("x")).withColumn("v", S.guarded(F.stddev_samp, F.col("x"), k))
-    past = S.rows(-days, -1)
-    q = lambda share: F.when(F.count("v").over(past) == days, F.percentile("v", F.lit(share)).over(past))
-    x = x.withColumns({"q1": q(1 / 3), "q2": q(2 / 3)})
+    x = rolling.quantiles_of_rows(x, "v", {"q1": 1 / 3, "q2": 2 / 3}, days, 1)
     t = F.when(F.col("v") > F.col("q2"), 2).when(F.col("v") > F.col("q1"), 1).otherwise(0)
     return x.select("series", "d", F.when(F.col("q1").isNotNull() & F.col("v").isNotNull(), t).alias("t"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
+from tidewell.operators import rolling
 
 OPERATORS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
@@ -25,7 +26,8 @@ def operator_of(text: Column) -> Column:
 
 def mask(metric: DataFrame, q: float = 0.8, operator: str = ">", days: int = 365, warm_up: int = 365) -> DataFrame:
     """series, d, value, m: value against the quantile of the days before it; days of warm-up and without a quantile are left out."""
-    x = metric.withColumns({"th": S.quantile_of_days(F.col("value"), q, days), "first": F.min("d").over(S.whole())})
+    first = metric.groupBy("series").agg(F.min("d").alias("first"))
+    x = rolling.quantiles_of_days(metric, "value", {"th": q}, days).join(first, "series")
     x = x.where(F.col("th").isNotNull() & (F.col("d") >= F.date_add("first", warm_up)))
     return x.select("series", "d", "value", OPERATORS[operator](F.col("value"), F.col("th")).alias("m"))
 

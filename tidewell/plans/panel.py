@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import calendar, context, panel, stats
+from tidewell.operators import calendar, context, panel, rolling, stats
 from tidewell.plans import context as context_plans
 from tidewell.plans import rolling as rolling_plans
 from tidewell.plans.rolling import O, _sql_guarded, _w
@@ -225,7 +225,8 @@ def mask_without_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile of 365 rows, standard deviation of 30 (divided by their number), days that 30 rows span."""
     v = F.col("value")
-    return metric(spark, sf_dir).select("series", "d", *S.rounded(q80=S.quantile_of_rows(v, 0.8, 365), sd30=S.population_sd(v, 30)), S.span_of_rows(30).alias("span30"))
+    m = rolling.quantiles_of_rows(metric(spark, sf_dir), "value", {"q80": 0.8}, 365)
+    return m.select("series", "d", *S.rounded(q80=F.col("q80"), sd30=S.population_sd(v, 30)), S.span_of_rows(30).alias("span30"))
 
 
 @query(f"WITH {METRIC_SQL}, x AS (SELECT series, max(lead) AS longest FROM (SELECT series, lead(d, 30) OVER {O} - d AS lead FROM metric) GROUP BY series), n AS (SELECT series, count(*) AS n FROM metric GROUP BY series) SELECT series, n, round(n / 30, 6) AS effective, longest::INTEGER AS longest FROM n JOIN x USING (series)")
