@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The query that the smoke check runs.
 FLAGSHIP = "valuation"
-MODULES = ("rolling", "context", "validation", "records", "panel", "governance", "curves", "io")
+MODULES = ("rolling", "context", "validation", "records", "panel", "governance", "curves", "io", "bands")
 
 
 def _modules() -> list:
