@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import calendar, nulls, stats
+from tidewell.operators import calendar, nulls, quantile, stats
 from tidewell.plans.rolling import O, SO_FAR, _sql_guarded
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 
@@ -462,3 +462,13 @@ def ar1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bars(spark, sf_dir).select("series", "d").join(metric(spark, sf_dir), ["series", "d"], "left")
     return x.groupBy("series").agg(F.count("*").alias("n"), F.count("value").alias("with_value"), F.round(F.count("value") / F.count("*"), 6).alias("coverage"), F.min(F.when(F.col("value").isNull(), F.col("d"))).alias("first_missing"))
+
+
+_QUARTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+@query("SELECT l_returnflag, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 4) AS {k}" for k, q in _QUARTILES.items()) + " FROM lineitem GROUP BY 1")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of three groups that hold all rows between them."""
+    found = quantile.quantiles(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", _QUARTILES)
+    return found.select("l_returnflag", "n", *[F.round(k, 4).alias(k) for k in _QUARTILES])
