@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import stored
+
 # Words without a meaning of their own in titles.
 STOP = [
     "the", "and", "for", "with", "from", "that", "this", "says", "said", "will", "new", "its", "his", "her", "has", "have", "after", "over",
@@ -131,23 +129,22 @@ def similar_pairs(titles: DataFrame, by: str, key: str, title: str) -> DataFrame
 def headline_dedup(news: DataFrame, by: str) -> DataFrame:
     """news (by, level, pos, title): keeps titles, by level and position, that no kept title of the same day equals by half its words.
 
-    A fold in order over one day's headlines, however many: kept titles decide on later ones. A title equal by SAME shares one of the rarest
-    words, just enough of them that no other kept title has to be looked at.
+    Titles of one set of words go with the first of them, which decides for all. What is left is the first maximal independent set, in order, of the
+    graph of similar titles: in each round a title without an earlier undecided neighbour stays, and its later neighbours go. Rounds are joins of the
+    edges with themselves, as many as decisions hang on each other in a row. Titles without words stay, rows of one place (by, level, pos) count once.
     """
-    worded = news.select(by, "level", "pos", "title", title_words(F.col("title")).alias("words"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, kept = pdf.sort_values(["level", "pos"]), [], defaultdict(list)
-        often = Counter(w for words in pdf["words"] for w in words)
-        for words in pdf["words"]:
-            own = set(words)
-            rarest = sorted(own, key=lambda w: (often[w], w))[: len(own) - math.ceil(SAME * len(own)) + 1]
-            same = any(len(own & k) / len(own | k) >= SAME for w in rarest for k in kept[w])
-            keep.append(not same)
-            if not same:
-                for w in own:
-                    kept[w].append(own)
-        return pdf.loc[keep, [by, "level", "pos", "title"]]
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in worded.schema.fields[:4])
-    return worded.groupBy(by).applyInPandas(fold, kind)
+    worded = stored(news.select(by, "level", "pos", "title", F.array_sort(title_words(F.col("title"))).alias("words")).dropDuplicates([by, "level", "pos"]))
+    first = worded.where(F.size("words") > 0).groupBy(by, "words").agg(F.min(F.struct("level", "pos")).alias("p"), F.min_by("title", F.struct("level", "pos")).alias("title"))
+    titles = first.select(by, F.struct(F.col(by).alias("by"), F.col("p.level").alias("level"), F.col("p.pos").alias("pos")).alias("k"), "title")
+    edges, gone = stored(similar_pairs(titles, by, "k", "title").select("a", "b")), []
+    while edges.limit(1).count():
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        out = stored(edges.join(stay, "a").select(F.col("b").alias("o")).distinct())
+        gone.append(out)
+        decided = stay.select(F.col("a").alias("o")).union(out)
+        edges = stored(edges.join(decided, F.col("a") == F.col("o"), "left_anti").join(decided, F.col("b") == F.col("o"), "left_anti"))
+    kept = titles.select("k")
+    for out in gone:
+        kept = kept.join(out, F.col("k") == F.col("o"), "left_anti")
+    place = worded.withColumn("k", F.struct(F.col(by).alias("by"), "level", "pos"))
+    return place.where(F.size("words") == 0).unionByName(place.join(kept, "k", "left_semi")).select(by, "level", "pos", "title")

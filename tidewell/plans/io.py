@@ -11,7 +11,7 @@ from tidewell.plans.records import JOURNAL_SQL, WORDS_SQL, _journal, _titles
 from tidewell.session import scratch
 from tidewell.sources import files, sinks, versions
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
-from tidewell.streaming import ticks
+from tidewell.streaming import alarms, ticks
 
 QUERIES, SQL = {}, {}
 
@@ -275,3 +275,23 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines of a day (documents bear no date: 200 ids make one) that share half their words."""
     titles = _titles(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 200).alias("day"), "title")
     return text.similar_pairs(titles, "day", "doc_id", "title").select("a", "b", *S.rounded(likeness=F.col("likeness")))
+
+
+@query(
+    f"""WITH {BARS_SQL}, c AS (SELECT series, d, close / lag(close) OVER (PARTITION BY series ORDER BY d) - 1 AS change FROM bars),
+    x AS (SELECT *, 3 * stddev_samp(change) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS threshold, count(change) OVER (PARTITION BY series ORDER BY d ROWS UNBOUNDED PRECEDING) AS n,
+      max(abs(change)) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS most FROM c)
+    SELECT series, d, round(change, 6) AS change, round(threshold, 6) AS threshold FROM x WHERE n >= 35 AND abs(change) > threshold AND abs(change) >= most"""
+)
+def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms on bars that come in four files, days in order; the stream stops after two and goes on where it was."""
+    path, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    b = bars(spark, sf_dir).select("series", "d", "close")
+    low, high = b.select(F.unix_date(F.min("d")), F.unix_date(F.max("d"))).first()
+    part = F.floor((F.unix_date("d") - low) * 4 / (high - low + 1))
+    for k in range(4):
+        b.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        if k % 2:
+            stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            ticks.appended(alarms.alarms(stream), out, checkpoint).awaitTermination()
+    return spark.read.schema(alarms.OUT).parquet(out).select("series", "d", *S.rounded(change=F.col("change"), threshold=F.col("threshold")))

@@ -226,7 +226,15 @@ def priority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.relevant(F.col("text"), ["license", "copyright", "password"]).alias("relevant"), text.priority(F.col("source"), F.col("lang"), ["src1", "src2"], ["EN", "DE"]).alias("priority"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WORDS_SQL}, n AS (SELECT doc_id // 200 AS day, doc_id % 3 AS level, doc_id AS pos, title, words, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id % 3, doc_id) AS i FROM words),
+    f(day, i, kept, keep) AS (
+      SELECT day, i, [words], true FROM n WHERE i = 1
+      UNION ALL SELECT day, i, CASE WHEN twice THEN kept ELSE list_append(kept, words) END, NOT twice FROM (
+        SELECT n.day, n.i, f.kept, n.words, len(n.words) > 0 AND len(list_filter(f.kept, lambda k: len(k) > 0 AND 2 * len(list_intersect(k, n.words)) >= len(list_distinct(k || n.words)))) > 0 AS twice
+        FROM f JOIN n ON n.day = f.day AND n.i = f.i + 1))
+    SELECT day, level, pos, title FROM n JOIN f USING (day, i) WHERE keep"""
+)
 def headline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines (whole first lines) of a day (documents dealt to days of at most some hundred) kept in order."""
     title = F.substring_index("text", "\n", 1).alias("title")
