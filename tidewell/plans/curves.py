@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import curves, stats
+from tidewell.operators import bootstrap, curves, stats
 from tidewell.plans.validation import MASK_SQL, RET_SQL, masked_returns
-from tidewell.sources.market import BARS_SQL, METRIC_SQL, metric, table
+from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 
 QUERIES, SQL = {}, {}
 
@@ -127,3 +127,22 @@ def pinball_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the 75th percentiles of masked and other days cover their returns."""
     z = masked_returns(spark, sf_dir).withColumn("q", F.percentile("r", F.lit(0.75)).over(W.partitionBy("series", "m")))
     return z.groupBy("series").agg(F.count("*").alias("n"), *S.rounded(covered=F.avg((F.col("r") <= F.col("q")).cast("double")), width=F.avg("q"), loss=stats.pinball(F.col("r"), F.col("q"), 0.75)))
+
+
+#: Placebos of a metric, and the mean length of their blocks.
+_PLACEBOS, _LENGTH = 40, 60
+_UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296"
+
+
+@query(
+    f"""WITH {BARS_SQL}, {METRIC_SQL}, c AS (SELECT series, d, row_number() OVER (PARTITION BY series ORDER BY d) - 1 AS place, count(*) OVER (PARTITION BY series) AS n, m.value, last_value(m.value IGNORE NULLS) OVER (PARTITION BY series ORDER BY d ROWS UNBOUNDED PRECEDING) AS seen FROM bars LEFT JOIN metric m USING (series, d)),
+    p AS (SELECT series, draw, place, n, value IS NOT NULL AS own, place = 0 OR {_UNIT.format("'mark:' || draw || ':' || place")} < 1 / {_LENGTH} AS starts FROM c, range({_PLACEBOS}) t(draw)),
+    a AS (SELECT *, max(CASE WHEN starts THEN place END) OVER (PARTITION BY series, draw ORDER BY place ROWS UNBOUNDED PRECEDING) AS begun FROM p),
+    s AS (SELECT *, (floor({_UNIT.format("'from:' || draw || ':' || begun")} * n)::BIGINT + place - begun) % n AS source FROM a)
+    SELECT s.series, s.draw::INTEGER AS draw, count(*) AS n, count(*) FILTER (s.starts) AS blocks, round(avg(c.seen), 6) AS mean, round(sum(c.seen * s.place) / sum(s.place), 6) AS late FROM s JOIN c ON c.series = s.series AND c.place = s.source WHERE s.own GROUP BY ALL"""
+)
+def stationary_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placebos of the metric along the bars' days: mean, and the mean weighted by place, of each."""
+    x = bootstrap.stationary_placebos(bars(spark, sf_dir), metric(spark, sf_dir), _PLACEBOS, _LENGTH)
+    late = F.sum(F.when(F.col("value").isNotNull(), F.col("value") * F.col("place"))) / F.sum("place")
+    return x.groupBy("series", "draw").agg(F.count("*").alias("n"), F.count_if("starts").alias("blocks"), F.round(F.avg("value"), 6).alias("mean"), F.round(late, 6).alias("late"))

@@ -9,7 +9,7 @@ from tidewell.functions import series as S
 from tidewell.operators import stats, text
 from tidewell.plans.records import JOURNAL_SQL, WORDS_SQL, _journal, _titles
 from tidewell.session import scratch
-from tidewell.sources import files, sinks, versions
+from tidewell.sources import feeds, files, sinks, versions
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 from tidewell.streaming import alarms, ticks
 
@@ -141,12 +141,17 @@ def resumed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.outstanding(work, path, "o_orderkey")
 
 
-@query("SELECT CAST(ts AS DATE) AS d, count(*) AS n, md5(string_agg(md5(event_id::VARCHAR), '' ORDER BY md5(event_id::VARCHAR))) = md5(string_agg(md5(event_id::VARCHAR), '' ORDER BY md5(event_id::VARCHAR))) AS same FROM events GROUP BY 1")
+_PIECES_SQL = " || '|' || ".join(f"sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)" for k in range(8))
+
+
+@query(
+    f"""WITH h AS (SELECT CAST(ts AS DATE) AS d, sha256('{{"d":"' || CAST(CAST(ts AS DATE) AS VARCHAR) || '","event_id":' || event_id || '}}') AS h FROM events)
+    SELECT d, count(*) AS n, sha256(count(*) || '|' || {_PIECES_SQL}) AS hash FROM h GROUP BY 1"""
+)
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a day's rows have one content hash however they lie."""
+    """A digest of each day's rows, however they lie."""
     e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), "event_id")
-    one = sinks.content_hash(e).first()["hash"] == sinks.content_hash(e.repartition(7, "event_id")).first()["hash"]
-    return e.groupBy("d").agg(F.count("*").alias("n")).withColumn("same", F.lit(one))
+    return sinks.content_hash(e, ["d"]).select("d", F.col("rows").alias("n"), "hash")
 
 
 def _ticks(spark: SparkSession, sf_dir: str, columns: list) -> tuple[str, DataFrame]:
@@ -209,12 +214,15 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, '$.status' AS path, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, '$.who.id', o_custkey::VARCHAR FROM orders UNION ALL SELECT o_orderkey, '$.who.tags[0]', o_orderpriority FROM orders
-    UNION ALL SELECT o_orderkey, '$.who.tags[1]', (o_orderkey % 5)::VARCHAR FROM orders"""
+    UNION ALL SELECT o_orderkey, '$.who.tags[1]', (o_orderkey % 5)::VARCHAR FROM orders UNION ALL SELECT o_orderkey, '$.deep' || repeat('.a[0]', (o_orderkey % 8)::INTEGER), o_orderkey::VARCHAR FROM orders"""
 )
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(F.col("o_orderpriority"), (F.col("o_orderkey") % 5).cast("string"))
-    doc = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("id"), tags.alias("tags")).alias("who")))
-    return files.leaves(table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(doc).alias("doc")), "o_orderkey", "doc", 4)
+    told = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("id"), tags.alias("tags")).alias("who")))
+    many = (F.col("o_orderkey") % 8).cast("int")  # up to 15 levels
+    deep = F.concat(F.repeat(F.lit('{"a":['), many), F.col("o_orderkey").cast("string"), F.repeat(F.lit("]}"), many))
+    doc = F.concat(F.regexp_replace(told, r"\}$", ""), F.lit(',"deep":'), deep, F.lit("}"))
+    return files.leaves(table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(doc).alias("doc")), "o_orderkey", "doc")
 
 
 @query("""SELECT o_orderpriority AS "level", o_orderstatus AS scenario, count(*) AS n, sum(o_orderkey)::BIGINT AS seeds FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")
@@ -295,3 +303,41 @@ def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
             stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(path)
             ticks.appended(alarms.alarms(stream), out, checkpoint).awaitTermination()
     return spark.read.schema(alarms.OUT).parquet(out).select("series", "d", *S.rounded(change=F.col("change"), threshold=F.col("threshold")))
+
+
+@query(
+    f"""WITH {BARS_SQL}, f AS (SELECT 'series,d,close' || chr(10) || string_agg(series || ',' || CAST(d AS VARCHAR) || ',' || printf('%.2f', close) || chr(10), '' ORDER BY series, d) AS body, count(*) AS n FROM bars)
+    SELECT parts, n AS rows, strlen(body) AS bytes, sha256(body) AS sha256 FROM f, (VALUES (1), (7)) p(parts)"""
+)
+def csv_file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file and the digest of its bytes, written from one part and from seven."""
+    b = bars(spark, sf_dir).select("series", "d", "close")
+    each = [sinks.write_csv_file(b.repartition(parts), f"{scratch(spark)}/bars.csv", ["series", "d"], {"close": "%.2f"}).select(F.lit(parts).alias("parts"), "rows", "bytes", "sha256") for parts in (1, 7)]
+    return each[0].unionByName(each[1])
+
+
+_DAY = "DATE '1990-01-01' + (p_partkey % 9000)::INTEGER"
+
+
+@query(
+    f"""WITH i AS (SELECT 'feed' || (p_partkey % 40) AS source, (p_partkey % 40)::INTEGER AS f, p_partkey, p_name, p_type, p_brand, {_DAY} AS d FROM part)
+    SELECT source, CASE WHEN f % 7 = 3 THEN 'corrupt' END AS error, CASE WHEN f % 7 <> 3 THEN p_name END AS title, CASE WHEN f % 7 <> 3 THEN p_type || ' & more' END AS summary,
+      CASE WHEN f % 7 <> 3 THEN 'https://x.org/' || p_partkey END AS url, CASE WHEN f % 7 <> 3 AND p_partkey % 5 <> 0 THEN d END AS d FROM i WHERE f % 7 <> 3
+    UNION ALL SELECT DISTINCT source, 'corrupt', NULL, NULL, NULL, NULL::DATE FROM i WHERE f % 7 = 3"""
+)
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of forty feeds made of the parts, RSS and Atom in turn; every seventh document is cut short."""
+    k = F.col("p_partkey")
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (k % 9000).cast("int"))
+    url, summary = F.concat(F.lit("https://x.org/"), k), esc(F.concat(F.lit("<b>"), "p_type", F.lit("</b> & more")))
+    rss_day = F.when(k % 5 == 0, F.lit("soon")).otherwise(F.date_format(day, "EEE, dd MMM yyyy '10:00:00 +0000'"))
+    rss = F.concat(F.lit("<item><title>"), esc(F.col("p_name")), F.lit("</title><description>"), summary, F.lit("</description><link>"), url, F.lit("</link><pubDate>"), rss_day, F.lit("</pubDate></item>"))
+    atom_day = F.when(k % 5 == 0, F.lit("soon")).otherwise(F.date_format(day, "yyyy-MM-dd'T10:00:00Z'"))
+    atom = F.concat(F.lit("<entry><title>"), esc(F.col("p_name")), F.lit("</title><summary>"), summary, F.lit('</summary><link href="'), url, F.lit('"/><updated>'), atom_day, F.lit("</updated></entry>"))
+    f = (k % 40).cast("int")
+    parts = table(spark, sf_dir, "part").select(f.alias("f"), F.when(f % 2 == 0, rss).otherwise(atom).alias("item"))
+    whole = F.concat_ws("", F.collect_list("item"))
+    body = F.when(F.col("f") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel><title>all</title>'), "items", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), "items", F.lit("</feed>")))
+    docs = parts.groupBy("f").agg(whole.alias("items")).select(F.concat(F.lit("feed"), "f").alias("source"), F.when(F.col("f") % 7 == 3, F.left(body, F.length(body) - 9)).otherwise(body).alias("body"))
+    return feeds.items(docs).select("source", "error", "title", "summary", "url", "d")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.session import stored
+
 # Names under which files carry the columns of bars, the first one found counting.
 ALIASES = {
     "d": ["date", "fecha", "timestamp", "time", "open_time"],
@@ -94,18 +96,22 @@ def at_path(doc: Column, path: str, kind: str = "string", default=None) -> Colum
     return F.coalesce(F.try_variant_get(doc, "$." + path, kind), F.lit(default))
 
 
-def leaves(docs: DataFrame, key: str, doc: str, depth: int = 8) -> DataFrame:
-    """key, path, value of all leaves of documents nested at most depth deep; one step of Spark's own variant_explode for each level."""
+def leaves(docs: DataFrame, key: str, doc: str) -> DataFrame:
+    """key, path, value of all leaves of documents nested to any depth: a step of Spark's own variant_explode for each level, until none is left.
+
+    A null leaf has a null value; empty objects and arrays have no leaves.
+    """
     tvf = docs.sparkSession.tvf
-    level, out = docs.select(F.col(key), F.lit("$").alias("path"), F.col(doc).alias("v")).where("v IS NOT NULL"), None
-    for _ in range(depth):
-        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    level, out = stored(docs.select(F.col(key), F.lit("$").alias("path"), F.col(doc).alias("v")).where("v IS NOT NULL")), None
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    while True:
         flat = level.where(~nested).select(key, "path", F.col("v").cast("string").alias("value"))
         out = flat if out is None else out.unionByName(flat)
+        if not level.where(nested).limit(1).count():
+            return out
         down = level.where(nested).alias("up").lateralJoin(tvf.variant_explode(F.col("up.v").outer()).alias("x"))
         step = F.when(F.col("x.key").isNotNull(), F.concat(F.lit("."), F.col("x.key"))).otherwise(F.concat(F.lit("["), F.col("x.pos").cast("string"), F.lit("]")))
-        level = down.select(F.col(f"up.{key}"), F.concat(F.col("up.path"), step).alias("path"), F.col("x.value").alias("v")).where("v IS NOT NULL")
-    return out
+        level = stored(down.select(F.col(f"up.{key}"), F.concat(F.col("up.path"), step).alias("path"), F.col("x.value").alias("v")).where("v IS NOT NULL"))
 
 
 def fused_cases(frames: list[DataFrame]) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,12 +19,55 @@ def write_sorted_csv(df: DataFrame, path: str, keys: list[str], formats: dict[st
     shown.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """rows, hash: a digest of df's rows whatever their order and partitions (summed row hashes, then SHA-256)."""
+def write_csv_file(df: DataFrame, path: str, keys: list[str], formats: dict[str, str] | None = None) -> DataFrame:
+    """One CSV file of df in order of keys, and a row about it: path, rows, bytes, sha256. The bytes don't depend on df's partitions or on the machine.
+
+    Lines (UTF-8, ended by a line feed, header first; fields with commas, quotes or line ends quoted, nulls empty) are made in parallel; one task, as one
+    file asks for, sorts them (spilling to disk), writes them a batch at a time and hashes what it writes. The file appears under its name when it is
+    whole. Rows of equal keys should be equal, else their order is free. Large results belong into write_sorted_csv().
+    """
+    from tidewell.session import ship, stored
+
+    spark = df.sparkSession
+    ship(spark)
+    text = lambda c: F.coalesce(F.format_string(formats[c], F.col(c)) if formats and c in formats else F.col(c).cast("string"), F.lit(""))
+    quoted = lambda x: F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    shown = df.select(*keys, F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit("")).otherwise(quoted(text(c))) for c in df.columns]).alias("_line"))
+    lines = shown.repartition(1).sortWithinPartitions(*keys).select("_line")
+    header = ",".join(df.columns)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, name = store_of(path)
+        staged, digest, n, size = f"{name}.{uuid.uuid4().hex}", hashlib.sha256(), 0, 0
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(staged) as out:
+            for lines in ([header], *(b.column(0).to_pylist() for b in batches)):
+                own = [x for x in lines if x is not None]
+                data = "".join(f"{x}\n" for x in own).encode()
+                out.write(data)
+                digest.update(data)
+                n, size = n + len(own), size + len(data)
+        store.move(staged, name)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n - 1]), pa.array([size]), pa.array([digest.hexdigest()])], ["path", "rows", "bytes", "sha256"])
+
+    kind = "path string, rows long, bytes long, sha256 string"
+    told = stored(lines.mapInArrow(work, kind))
+    if not told.limit(1).count():  # without rows no task has run: one that gets a null writes the header
+        told = stored(spark.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("_line")).mapInArrow(work, kind))
+    return told
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path within it."""
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def content_hash(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rows, hash (of each by): a digest of df's rows whatever their order and partitions (summed row hashes, then SHA-256)."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     piece = lambda k: F.conv(F.substring(F.col("h"), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")
-    sums = df.select(row.alias("h")).agg(F.count("*").alias("rows"), *[F.sum(piece(k)).alias(f"s{k}") for k in range(8)])
-    return sums.select("rows", F.sha2(F.concat_ws("|", "rows", *[F.coalesce(F.col(f"s{k}").cast("string"), F.lit("0")) for k in range(8)]), 256).alias("hash"))
+    sums = df.select(*(by or []), row.alias("h")).groupBy(*(by or [])).agg(F.count("*").alias("rows"), *[F.sum(piece(k)).alias(f"s{k}") for k in range(8)])
+    return sums.select(*(by or []), "rows", F.sha2(F.concat_ws("|", "rows", *[F.coalesce(F.col(f"s{k}").cast("string"), F.lit("0")) for k in range(8)]), 256).alias("hash"))
 
 
 def tail(log: DataFrame, order: list[str], n: int) -> DataFrame:
