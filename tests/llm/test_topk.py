@@ -19,8 +19,8 @@ def brute(rows, k):
     return sorted(out)
 
 
-def run(spark, rows, k=10):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+def run(spark, rows, k=10, kind="float"):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
     got = topk.top_k(df.withColumn("rank", F.lit("x")).withColumn("query_id", F.lit(1)), F.col("vec_id") % 100 == 0, k)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     return sorted(map(tuple, got.collect()))
@@ -57,3 +57,11 @@ def test_tree_covers_its_points():
         if t.children[n]:
             assert sorted(i for c in t.children[n] for i in t.points[c]) == sorted(own)
     assert topk.CoverTree(np.ones((300, 4))).children == [[]]
+
+
+def test_wide_doubles(spark):
+    rows = [(100, [1.0, 2.0]), (1, [2.0, 5.0]), (2, [1e306, 1.0]), (3, [3.0, 1.0])]  # 1024 * 1e306 is no double
+    assert run(spark, rows, kind="double") == brute([r for r in rows if r[0] != 2], 10)
+    rng = np.random.default_rng(5)
+    rows = [(10 * i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 160)]) for i in range(120)]
+    assert run(spark, rows, kind="double") == brute(rows, 10)

@@ -10,7 +10,7 @@ that prunes from the first pair on. The k best of each task meet again in a wind
 
 Every query must meet every part, in blocks: that is the stated query set against all rows. Products are exact integers.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors
+Defined cases: vectors that are null or hold null or non-finite components (also once scaled) take no part, nor do rows without an id; vectors
 of another length than the query's are no candidates; rows that repeat id and vector count once; of several vectors with one
 id the best score stands; ties go to the smaller id; scores beyond a long stop at its ends; an empty table gives an empty result.
 """
@@ -43,10 +43,12 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray):
         self.x, self.center, self.radius, self.children, self.points = x, [], [], [], []
-        self._add(np.arange(len(x)), 0, np.sqrt(((x - x[0]) ** 2).sum(1)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._add(np.arange(len(x)), 0, np.sqrt(((x - x[0]) ** 2).sum(1)))
         self.radius = np.array(self.radius)
         self.center = np.array(self.center)
-        self.norm = np.sqrt((x[self.center] ** 2).sum(1))
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt((x[self.center] ** 2).sum(1))
 
     def _add(self, own: np.ndarray, center: int, dist: np.ndarray) -> int:
         node = len(self.center)
@@ -54,7 +56,7 @@ class CoverTree:
         self.radius.append(float(dist.max()) * (1 + 1e-9))
         self.children.append([])
         self.points.append(own)
-        if len(own) <= LEAF or self.radius[node] == 0:
+        if len(own) <= LEAF or self.radius[node] == 0 or not math.isfinite(self.radius[node]):
             return node
         x, near, side, centers = self.x[own], dist.copy(), np.zeros(len(own), dtype=int), [center]
         while len(centers) < FAN and near.max() > self.radius[node] / 2:
@@ -69,7 +71,8 @@ class CoverTree:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integral rows: floats while they hold them, else Python's integers, cut to a long."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    with np.errstate(over="ignore"):
+        most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if most < 2**53:
         return a @ b.T
     ints = np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape) @ np.array([[int(v) for v in r] for r in b], dtype=object).reshape(b.shape).T
@@ -106,9 +109,11 @@ def search(asked: Asked, dt: CoverTree, ids: np.ndarray, k: int) -> None:
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         c = queries[qt.center[q]]
-        norm, rq, rr = np.sqrt((c * c).sum()), qt.radius[q], dt.radius[nodes]
-        exact = centers[nodes] @ c
-        return exact + norm * rr + dt.norm[nodes] * rq + rq * rr + 1e-9 * (np.abs(exact) + norm * dt.norm[nodes] + 1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm, rq, rr = np.sqrt((c * c).sum()), qt.radius[q], dt.radius[nodes]
+            exact = centers[nodes] @ c
+            out = exact + norm * rr + dt.norm[nodes] * rq + rq * rr + 1e-9 * (np.abs(exact) + norm * dt.norm[nodes] + 1)
+        return np.where(np.isnan(out), np.inf, out)  # what overflows prunes nothing
 
     def leaf(q: int, nodes: np.ndarray) -> None:
         own = qt.points[q]
@@ -158,7 +163,7 @@ def scaled(vectors: pd.Series) -> np.ndarray:
 
 
 def usable(vector: Column) -> Column:
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * F.lit(1024.0) < float("inf")))
 
 
 def planted(pdf: pd.DataFrame) -> pd.DataFrame:
