@@ -43,7 +43,7 @@ from tidewell.session import bounded_batches, scratch, stored
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 FILE_BYTES = 64 << 20  # of text
-CHUNK, MEMO, LONGEST = 8 << 20, 800_000, 64
+CHUNK, MEMO, LONGEST = 5 << 20, 600_000, 64
 #: Signs and letters that may be handled by shortcuts: see Encoder.
 SIGNS = ".,;:!?"
 LETTERS = string.ascii_lowercase + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
@@ -293,7 +293,7 @@ def unframed(frames: list[bytes], where: str) -> list[bytes]:
 def write(docs: DataFrame, tokenizer_json: str, end: int = END, path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the records of docs (doc_id, text) in ascending doc_id order; the index: INDEX, stored. Files follow each other by name."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, f"{CHUNK}b")
     folder = path or scratch(spark)
     sent = spark.sparkContext.broadcast(tokenizer_json)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
