@@ -52,3 +52,20 @@ def test_stationary_places(spark):
         else:
             assert b["starts"]
     assert 16 < 30 * 400 / sum(r["starts"] for r in own) < 25 and 180 < sum(r["source"] for r in own) / len(own) < 220
+
+
+def test_many_series_are_one_scan(spark, tmp_path):
+    for name, days in (("a b", 3), ("c", 2)):
+        (tmp_path / f"in/series={name}").mkdir(parents=True)
+        for part, close in (("0", 1), ("1", 5)):  # the second file repeats the days
+            (tmp_path / f"in/series={name}/{part}.csv").write_text("fecha,cierre\n" + "".join(f"2024-01-0{d + 1},{close + d}\n" for d in range(days)))
+    path = str(tmp_path / "in")
+    got = sorted((r["series"], r["d"].day, r["close"]) for r in files.load_bars(spark, path, None, least=2).collect())
+    assert got == [("a b", 1, 1.0), ("a b", 2, 2.0), ("a b", 3, 3.0), ("c", 1, 1.0), ("c", 2, 2.0)]
+    assert {r["close"] for r in files.load_bars(spark, path, None, least=2, keep="last").where("series = 'c'").collect()} == {5.0, 6.0}
+    assert files.load_metric(spark, path, None).count() == 10
+    try:
+        files.load_bars(spark, path, None, least=3)
+        raise AssertionError
+    except ValueError as e:
+        assert "2 days of c" in str(e)

@@ -33,15 +33,14 @@ def _csv(df: DataFrame, **options: str) -> str:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The series, of which there are a handful."""
+    """The series: columns of a wide file, so a handful."""
     return sorted(r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())
 
 
-def _each(names: list[str], read) -> DataFrame:
-    out = None
-    for name in names:
-        out = read(name) if out is None else out.unionByName(read(name))
-    return out
+def _csv_by_series(df: DataFrame) -> str:
+    path = scratch(df.sparkSession)
+    df.repartition("series").write.partitionBy("series").option("header", True).csv(path)
+    return path
 
 
 @query(f"WITH {BARS_SQL} SELECT * FROM bars")
@@ -50,15 +49,13 @@ def source_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     blank = b.withColumn("d", F.date_add("d", 20_000)).withColumn("close", F.lit(None).cast("double"))
     shown = b.unionByName(blank).select("series", F.col("d").alias(" Fecha "), F.col("open").alias("Apertura"), F.col("high").alias("MAXIMO"), F.col("low").alias("minimo"), F.col("close").alias("adj_close"), F.col("vol").alias("Volume"))
-    paths = {name: _csv(shown.where(F.col("series") == name).drop("series")) for name in _names(spark, sf_dir)}
-    return _each(sorted(paths), lambda name: files.load_bars(spark, paths[name], name, least=1))
+    return files.load_bars(spark, _csv_by_series(shown), None, least=1)
 
 
 @query(f"WITH {METRIC_SQL} SELECT series, d, round(value, 6) AS value FROM metric")
 def source_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metric(spark, sf_dir).select("series", F.col("d").alias("fecha"), F.col("value").alias("valor"))
-    paths = {name: _csv(m.where(F.col("series") == name).drop("series")) for name in _names(spark, sf_dir)}
-    return _each(sorted(paths), lambda name: files.load_metric(spark, paths[name], name)).select("series", "d", *S.rounded(value=F.col("value")))
+    return files.load_metric(spark, _csv_by_series(m), None).select("series", "d", *S.rounded(value=F.col("value")))
 
 
 @query(f"WITH {BARS_SQL} SELECT series, d, close AS value FROM bars")

@@ -35,10 +35,15 @@ def _csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     return spark.read.option("header", True).option("encoding", encoding).csv(path)
 
 
-def load_bars(spark: SparkSession, path: str, series: str = "default", least: int = 250, keep: str = "first") -> DataFrame:
-    """Bars of one series from CSV files: aliases resolved, null closes left out, the first (or last) row of a date kept.
+def _series(name: str | None) -> Column:
+    return (F.col("series").cast("string") if name is None else F.lit(name)).alias("series")
 
-    Fails where a needed column is missing or fewer than least days are left.
+
+def load_bars(spark: SparkSession, path: str, series: str | None = "default", least: int = 250, keep: str = "first") -> DataFrame:
+    """Bars from CSV files: aliases resolved, null closes left out, the first (or last) row of a date kept, by file name and place in the file.
+
+    series: the name of the one that path holds; None where path has a folder series=<name> for each, all with the same headings. However many there
+    are, they are one scan. Fails where a needed column is missing or a series has fewer than least days left.
     """
     raw = _csv(spark, path)
     found = resolve(raw.columns)
@@ -47,24 +52,25 @@ def load_bars(spark: SparkSession, path: str, series: str = "default", least: in
             raise ValueError(f"no column for {need} among {raw.columns}")
     value = lambda name: number(F.col(f"`{found.get(name, found['close'])}`"))
     rows = raw.select(
-        F.lit(series).alias("series"), F.to_date(F.col(f"`{found['d']}`").try_cast("timestamp")).alias("d"), *[value(n).alias(n) for n in ("open", "high", "low", "close")],
-        (number(F.col(f"`{found['vol']}`")) if "vol" in found else F.lit(None).cast("double")).alias("vol"), F.monotonically_increasing_id().alias("_at"),
+        _series(series), F.to_date(F.col(f"`{found['d']}`").try_cast("timestamp")).alias("d"), *[value(n).alias(n) for n in ("open", "high", "low", "close")],
+        (number(F.col(f"`{found['vol']}`")) if "vol" in found else F.lit(None).cast("double")).alias("vol"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("_at"),
     )
     rows = rows.where("d IS NOT NULL AND close IS NOT NULL")
     order = F.col("_at") if keep == "first" else F.desc("_at")
-    out = rows.withColumn("_i", F.row_number().over(W.partitionBy("d").orderBy(order))).where("_i = 1").drop("_i", "_at")
-    n = out.count()
-    if n < least:
-        raise ValueError(f"{n} days; {least} are needed")
+    out = rows.withColumn("_i", F.row_number().over(W.partitionBy("series", "d").orderBy(order))).where("_i = 1").drop("_i", "_at")
+    short = out.groupBy("series").count().agg(F.count("*").alias("n"), F.min_by(F.struct("series", "count"), "count").alias("s")).first()
+    if least and (not short["n"] or short["s"]["count"] < least):
+        raise ValueError(f"{short['s']['count'] if short['n'] else 0} days{' of ' + short['s']['series'] if short['n'] else ''}; {least} are needed")
     return out
 
 
-def load_metric(spark: SparkSession, path: str, series: str = "default", last: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """series, d, value: a date and the first other column. Fails where a row is dated after last."""
+def load_metric(spark: SparkSession, path: str, series: str | None = "default", last: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """series, d, value: a date and the first other column. series: as for load_bars(). Fails where a row is dated after last."""
     raw = _csv(spark, path, encoding)
     day = resolve(raw.columns).get("d", raw.columns[0])
-    other = next(c for c in raw.columns if c != day)
-    out = raw.select(F.lit(series).alias("series"), F.to_date(F.col(f"`{day}`").try_cast("timestamp")).alias("d"), number(F.col(f"`{other}`")).alias("value")).where("d IS NOT NULL")
+    other = next(c for c in raw.columns if c != day and not (series is None and c == "series"))
+    out = raw.select(_series(series), F.to_date(F.col(f"`{day}`").try_cast("timestamp")).alias("d"), number(F.col(f"`{other}`")).alias("value")).where("d IS NOT NULL")
     if last is not None and out.where(F.col("d") > F.to_date(F.lit(last))).limit(1).count():
         raise ValueError(f"{path} has rows after {last}")
     return out
