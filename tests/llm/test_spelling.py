@@ -85,3 +85,13 @@ def test_automaton_accepts_one_edit(words, word):
     words = sorted(words)
     trie = S.Trie(words, [*range(1, len(words) + 1)])
     assert S.accepted(word, trie) == {x: n for n, x in enumerate(words, 1) if one_edit(word, x)}
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(S.SQL["op11_spelling_variants"]).project("word, form, root, n, n_near, form_n").fetchall()
+    got = S.op11_spelling_variants(spark, "/root/testdata/sf0.001").collect()
+    assert len(want) > 500 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -292,4 +292,31 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_spelling_variants": op11_spelling_variants}
-SQL: dict[str, str] = {}
+# CRC-32 goes a byte a step over all distinct runs at once; neighbours meet on what is left when one of them, or both at one place, lose a code point.
+SQL = {
+    "op11_spelling_variants": f"""
+WITH RECURSIVE b(k, i, v) AS (SELECT k, 0, k FROM range(256) t(k) UNION ALL SELECT k, i + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM b WHERE i < 8),
+crc AS (SELECT k, v FROM b WHERE i = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT row_number() OVER () AS id, * FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {LETTERS} GROUP BY ALL)),
+told AS (SELECT id, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM own),
+c(id, h, i, v) AS (
+  SELECT id, h, 0::BIGINT, 4294967295 FROM told
+  UNION ALL SELECT id, h, i + 1, xor(c.v // 256, crc.v) FROM c JOIN crc ON crc.k = xor(c.v % 256, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT) WHERE i < length(h) // 2),
+cut AS (SELECT id, 4294967295 - v AS v FROM c WHERE i = length(h) // 2),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN v % {ONE_IN} = 0 THEN substr(run, 1, (v % length(run))::BIGINT) || substr(run, (v % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM own JOIN cut USING (id))
+  WHERE length(word) >= {LETTERS} GROUP BY word HAVING sum(n) >= {LEAST}),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {FACTOR} * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+g AS (SELECT f.*, (SELECT min(other) FROM near WHERE near.word = f.word AND near.m = f.form_n) AS form FROM f),
+r(word, at_word) AS (SELECT word, word FROM g UNION ALL SELECT r.word, g.form FROM r JOIN g ON g.word = r.at_word WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, r.at_word AS root, g.n, g.n_near, g.form_n FROM g JOIN r ON r.word = g.word JOIN g e ON e.word = r.at_word WHERE e.form IS NULL
+"""
+}
