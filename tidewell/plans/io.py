@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
 from tidewell.operators import stats, text
 from tidewell.plans.records import JOURNAL_SQL, WORDS_SQL, _journal, _titles
 from tidewell.session import scratch
-from tidewell.sources import feeds, files, sinks, versions
+from tidewell.sources import feeds, files, paged, sinks, versions
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 from tidewell.streaming import alarms, ticks
 
@@ -338,3 +338,48 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("f") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel><title>all</title>'), "items", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), "items", F.lit("</feed>")))
     docs = parts.groupBy("f").agg(whole.alias("items")).select(F.concat(F.lit("feed"), "f").alias("source"), F.when(F.col("f") % 7 == 3, F.left(body, F.length(body) - 9)).otherwise(body).alias("body"))
     return feeds.items(docs).select("source", "error", "title", "summary", "url", "d")
+
+
+def _seconds(c: str) -> Column:
+    return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+
+@query(f"WITH {BARS_SQL} SELECT series, d, open, high, low, close FROM bars WHERE high > 0 AND low > 0")
+def source_pages_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from pages of 1000 days, asked for from the newest back."""
+    path = scratch(spark)
+    paged.save(bars(spark, sf_dir).select("series", _seconds("d").alias("t"), "open", "high", "low", "close"), path, "data.ohlc")
+    return paged.daily_bars(paged.read(spark, path, ["open", "high", "low", "close"], rows="data.ohlc", step=paged.DAY, backward=True))
+
+
+@query(f"WITH {BARS_SQL} SELECT series, d, open, high, low, close FROM bars WHERE d BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND high > 0 AND low > 0")
+def source_pages_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a stretch of days from pages of 100 days, asked for from its first day on, in tasks of 400 days."""
+    path = scratch(spark)
+    first, after = 725_846_400, 883_612_800
+    paged.save(bars(spark, sf_dir).select("series", _seconds("d").alias("t"), "open", "high", "low", "close"), path, "data.ohlc", span=100 * paged.DAY)
+    return paged.daily_bars(paged.read(spark, path, ["open", "high", "low", "close"], rows="data.ohlc", step=paged.DAY, span=400 * paged.DAY, from_=first, until=after))
+
+
+@query("""WITH r AS (SELECT event_type AS series, CAST(ts AS DATE) AS d, sum(value) AS value FROM events WHERE day(ts) % 3 <> 0 GROUP BY ALL), e AS (SELECT series, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM r GROUP BY series)
+SELECT e.series, e.d, round(coalesce(value, 0), 4) AS value FROM e LEFT JOIN r ON r.series = e.series AND r.d = e.d""")
+def source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of each eight hours from pages behind a forward cursor in milliseconds, summed by day; days without any are 0 (here every third)."""
+    path = scratch(spark)
+    e = table(spark, sf_dir, "events").where(F.day("ts") % 3 != 0).groupBy(F.col("event_type").alias("series"), F.window("ts", "8 hours").alias("w")).agg(F.sum("value").alias("rate"))
+    paged.save(e.select("series", F.unix_millis(F.col("w.start").cast("timestamp")).alias("t"), "rate"), path, time="at", span=5 * 1000 * paged.DAY)
+    read = paged.read(spark, path, ["rate"], time="at", span=10 * 1000 * paged.DAY, from_=1_577_836_800_000)
+    return paged.daily_sums(read, "rate").select("series", "d", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {BARS_SQL} SELECT series, d, open, high, low, close FROM bars WHERE high > 0 AND low > 0")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over pages that come in three parts, stopped after each and started again from its checkpoint."""
+    path, out, check = (scratch(spark) for _ in range(3))
+    b = bars(spark, sf_dir).select("series", _seconds("d").alias("t"), "open", "high", "low", "close")
+    edges = [None, *b.select(F.percentile_approx("t", F.array(F.lit(0.4), F.lit(0.7)))).first()[0], None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        paged.save(b.where((F.lit(low is None) | (F.col("t") >= low)) & (F.lit(high is None) | (F.col("t") < high))), path, "data.ohlc")
+        new = paged.stream(spark, path, ["open", "high", "low", "close"], rows="data.ohlc", step=paged.DAY)
+        ticks.appended(new, out, check).awaitTermination()
+    return paged.daily_bars(spark.read.parquet(out))
