@@ -5,7 +5,7 @@ BLOCK words of every document probes them. A window of WINDOW = 2 * BLOCK - 1 wo
 places where a long passage stands has a block that a window of the other hits. Hits are extended: the windows of WINDOW
 words around a hit are compared over all documents (the least doc_id that has each), and neighbouring confirmed windows join
 into maximal repeats. Probes have shorter names (of 40 bits or more, by the corpus's size), which only choose candidates. Windows are confirmed by
-two independent hashes of 64 bits each, of all their bytes: over 10^14 windows the chance of one false pair is below 10^-10.
+two hashes of 64 bits each with bases of their own, of all their bytes: over 10^14 windows the chance of one false pair is below 10^-10.
 
 Defined cases: words are runs of other bytes than space and 0x09-0x0D, unchanged; null and empty texts have none; a null doc_id counts as larger
 than all, equal ids (repeated rows) don't remove from each other; texts shorter than a window stay whole; an empty table gives
@@ -42,8 +42,9 @@ class Words:
         self.rolling = H.Rolling(H.span_hashes(batch.raw, self.starts, self.ends, seed=9))
 
     def checks(self, at: np.ndarray) -> np.ndarray:
-        """Second hashes of the windows of WINDOW words at these places."""
-        return H.Rolling(H.span_hashes(self.raw, self.starts, self.ends, seed=77)).spans(at, at + WINDOW)
+        """Second hashes of the windows of WINDOW words at these places: other byte values, and another base for bytes and for words."""
+        base = H.SECOND_BASE
+        return H.Rolling(H.span_hashes(self.raw, self.starts, self.ends, seed=77, base=base), base).spans(at, at + WINDOW)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows within one document, and their names."""

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 512
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that they have inverses modulo 2^64
 
 
 def give_back() -> None:
@@ -42,36 +42,37 @@ def byte_values(seed: int) -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
-_POWERS: dict[bool, np.ndarray] = {}
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE (or its inverse) to the powers 0 to n - 1, modulo 2^64."""
-    have = _POWERS.get(inverse)
+def powers(n: int, inverse: bool = False, base: int = BASE) -> np.ndarray:
+    """base (or its inverse) to the powers 0 to n - 1, modulo 2^64."""
+    have = _POWERS.get((base, inverse))
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, pow(BASE, -1, 1 << 64) if inverse else BASE, dtype=np.uint64)
+        have = np.full(size, pow(base, -1, 1 << 64) if inverse else base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
         if size <= 4 * CHUNK_BYTES:
-            _POWERS[inverse] = have
+            _POWERS[base, inverse] = have
     return have[:n]
 
 
 class Rolling:
     """Hashes of any spans of a sequence of 64-bit values, by prefix sums."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = BASE):
+        self.base = base
         self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * powers(len(values)), out=self.sums[1:])
+        np.cumsum(values * powers(len(values), base=base), out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * powers(len(self.sums), True)[starts])
+        return mixed((self.sums[ends] - self.sums[starts]) * powers(len(self.sums), True, self.base)[starts])
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of each window of width values, by its start."""
         n = max(len(self.sums) - width, 0)
-        return mixed((self.sums[width : width + n] - self.sums[:n]) * powers(n, True))
+        return mixed((self.sums[width : width + n] - self.sums[:n]) * powers(n, True, self.base))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,5 +145,5 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(_KINDS[raw], offsets)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    return Rolling(byte_values(seed)[raw]).spans(starts, ends)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, base: int = BASE) -> np.ndarray:
+    return Rolling(byte_values(seed)[raw], base).spans(starts, ends)
