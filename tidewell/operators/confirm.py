@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import calendar, stats
+from tidewell.operators import calendar, panel, stats
 
 # Outcomes of the forward confirmation.
 CONFIRMED, REJECTED, PENDING = "CONFIRMADA", "RECHAZADA_FORWARD", "PENDIENTE_REVISION"
@@ -34,6 +34,34 @@ def forward(df: DataFrame, ends: DataFrame, least: float, horizon: int = 30) ->
     return j.select("series", "defined", "same", F.coalesce("days", F.lit(0)).alias("days"), "verdict", *S.rounded(theta=F.col("theta"), theta_f=F.col("theta_f")), outcome.alias("outcome"))
 
 
+def forward_problems(ends: DataFrame, metric: DataFrame, price: DataFrame, old_metric: DataFrame, old_price: DataFrame, horizon: int = 30) -> DataFrame:
+    """ends: series, z, theta; the others: series, d, value, as they are now and as they were in the test. series, problem: why a series can't be confirmed yet.
+
+    The first that holds: no theta, theta of 0 (it has no sign), what the test saw of the metric or the price is gone or has changed, the metric ends
+    before the last eligible day, the price before the returns of that day are known. The window is never shortened. Null: nothing stands against it.
+    Defined cases: a series without old rows has nothing to contradict; one without rows now ends early; a theta that is NaN counts as none.
+    """
+    window = calendar.forward_blocks(ends.select("series", "z"), BLOCKS, BLOCK_DAYS, BLOCK_DAYS - horizon)
+    due = window.groupBy("series").agg(F.max("last_eligible").alias("eligible"), F.date_add(F.max("last_eligible"), horizon).alias("known"))
+    got = ends.select("series", "theta").join(due, "series", "left")
+    for name, old, new in (("metric", old_metric, metric), ("price", old_price, price)):
+        same = panel.overlap_diff(old, new).select("series", F.col("identical").alias(f"{name}_same"))
+        got = got.join(same, "series", "left").join(new.where("value IS NOT NULL").groupBy("series").agg(F.max("d").alias(f"{name}_last")), "series", "left")
+    early = lambda last, day: F.coalesce(F.col(last) < F.col(day), F.lit(True))
+    problem = (
+        F.when(F.col("theta").isNull() | F.isnan("theta"), "no theta").when(F.col("theta") == 0, "theta is 0")
+        .when(~F.col("metric_same"), "metric revised").when(~F.col("price_same"), "price revised")
+        .when(early("metric_last", "eligible"), "metric ends early").when(early("price_last", "known"), "price ends early")
+    )
+    return got.select("series", problem.alias("problem"))
+
+
+def checked_forward(df: DataFrame, ends: DataFrame, problems: DataFrame, least: float, horizon: int = 30) -> DataFrame:
+    """forward() of the series without a problem; the others have one row too, with their problem and no outcome."""
+    sound = ends.join(problems.where("problem IS NULL"), "series", "left_semi")
+    return problems.join(forward(df, sound, least, horizon), "series", "left")
+
+
 def admissibility(df: DataFrame, base: DataFrame, horizon: int = 30, segments: int = 4, least_segment: float = 3.0, least_all: float = 10.0, least_masked: int = 30, least_episodes: int = 5) -> DataFrame:
     """df: series, d, m, r (r null where it is unknown); base: series, d of days with all base variables. One row a series: counts, problems and admissible.
 

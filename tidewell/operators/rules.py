@@ -29,17 +29,17 @@ def antecedents(entries: DataFrame, resolved: DataFrame, states: list[str]) -> D
 
 
 def template_hash(fields: list[str]) -> Column:
-    """SHA-256 over the fields by name; nulls are told from empty texts."""
-    shown = [F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit(f"{c}!")) for c in sorted(fields)]
-    return F.sha2(F.concat_ws("|", *shown), 256)
+    """SHA-256 over the fields by name as JSON, null where a field is absent: what lacks fields is no template."""
+    body = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(fields)]))
+    return F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in fields]), lambda x: x), F.sha2(body, 256))
 
 
 def template_diff(specs: DataFrame, anchors: DataFrame, fields: list[str], by: str) -> DataFrame:
-    """specs (by, id, fields) against the anchor of their by: whether the hashes agree, and the fields that differ, by name."""
+    """specs (by, id, fields) against the anchor of their by: whether the hashes agree (never, where one lacks a field), and the fields that differ, by name."""
     other = anchors.select(F.col(by).alias("_by"), template_hash(fields).alias("_hash"), *[F.col(c).alias(f"_{c}") for c in fields])
     j = specs.withColumn("_own", template_hash(fields)).join(other, F.col(by) == F.col("_by"))
     differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in sorted(fields)]))
-    return j.select(by, "id", (F.col("_own") == F.col("_hash")).alias("same"), F.array_join(differ, ",").alias("differ"))
+    return j.select(by, "id", F.coalesce(F.col("_own") == F.col("_hash"), F.lit(False)).alias("same"), F.array_join(differ, ",").alias("differ"))
 
 
 def second_chances(specs: DataFrame, resolved: DataFrame, eligible: DataFrame, state: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tidewell.plans.records import ENTRIES_SQL, RESOLVED_SQL, entries
 from tidewell.plans.rolling import O, SO_FAR, _sql_guarded
 from tidewell.plans.validation import AHEAD, MASK_SQL, RET_SQL, THETA, masked_returns
 from tidewell.functions import series as S
+from tidewell.session import stored
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 
 QUERIES, SQL = {}, {}
@@ -128,6 +129,34 @@ def forward_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confirm.forward(z, tested, _NEAR)
 
 
+_TRIED_SQL = f"""tried AS (SELECT series, max(d) - 455 + CASE WHEN series LIKE '5%' THEN 600 ELSE 0 END AS z FROM z GROUP BY series),
+    effects AS (SELECT series, z, CASE WHEN series LIKE '2%' THEN 0 ELSE theta END AS theta FROM (SELECT t.series, t.z, {THETA} AS theta FROM tried t JOIN z ON z.series = t.series AND z.d <= t.z GROUP BY ALL)),
+    new_metric AS (SELECT series, d, value + CASE WHEN series LIKE '3%' AND day(d) = 1 THEN 1 ELSE 0 END AS value FROM metric), new_price AS (SELECT series, d, close AS value FROM bars WHERE NOT (series LIKE '4%' AND day(d) = 2)),
+    seen AS (SELECT t.series, count(*) FILTER (n.value IS DISTINCT FROM o.value) AS bad, any_value(last) AS last FROM tried t JOIN metric o ON o.series = t.series AND o.d <= t.z LEFT JOIN new_metric n ON n.series = o.series AND n.d = o.d JOIN (SELECT series, max(d) AS last FROM new_metric GROUP BY series) l ON l.series = t.series GROUP BY t.series),
+    paid AS (SELECT t.series, count(*) FILTER (n.value IS DISTINCT FROM o.close) AS bad, any_value(last) AS last FROM tried t JOIN bars o ON o.series = t.series AND o.d <= t.z LEFT JOIN new_price n ON n.series = o.series AND n.d = o.d JOIN (SELECT series, max(d) AS last FROM new_price GROUP BY series) l ON l.series = t.series GROUP BY t.series)"""
+
+
+@query(
+    f"""WITH {BARS_SQL}, {MASK_SQL}, {RET_SQL}, {_TRIED_SQL},
+    p AS (SELECT e.series, CASE WHEN theta IS NULL THEN 'no theta' WHEN theta = 0 THEN 'theta is 0' WHEN seen.bad > 0 THEN 'metric revised' WHEN paid.bad > 0 THEN 'price revised' WHEN seen.last < z + 425 THEN 'metric ends early' WHEN paid.last < z + 455 THEN 'price ends early' END AS problem
+      FROM effects e JOIN seen ON seen.series = e.series JOIN paid ON paid.series = e.series), f AS ({SQL["forward_confirmation"]})
+    SELECT p.series, problem, CASE WHEN problem IS NULL THEN outcome END AS outcome, CASE WHEN problem IS NULL THEN theta_f END AS theta_f FROM p LEFT JOIN f ON f.series = p.series"""
+)
+def checked_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmation of series of which one was revised, one has lost days, one has no effect and one ends too early."""
+    z = stored(masked_returns(spark, sf_dir))  # read four times
+    is_ = lambda k: F.col("series").startswith(k)
+    cut = z.groupBy("series").agg(F.date_add(F.max("d"), -455).alias("z")).withColumn("z", F.when(is_("5"), F.date_add("z", 600)).otherwise(F.col("z")))
+    tested = z.join(cut, "series").where(F.col("d") <= F.col("z")).groupBy("series", "z").agg(stats.theta().alias("theta"))
+    ends = tested.withColumn("theta", F.when(is_("2"), 0.0).otherwise(F.col("theta")))
+    m, p = (stored(x.select("series", "d", F.col(c).alias("value"))) for x, c in ((metric(spark, sf_dir), "value"), (bars(spark, sf_dir), "close")))
+    seen = lambda x: x.join(cut, "series").where(F.col("d") <= F.col("z")).select("series", "d", "value")
+    revised = m.withColumn("value", F.col("value") + F.when(is_("3") & (F.day("d") == 1), 1).otherwise(0))
+    fewer = p.where(~(is_("4") & (F.day("d") == 2)))
+    problems = confirm.forward_problems(ends, revised, fewer, seen(m), seen(p))
+    return confirm.checked_forward(z, ends, problems, _NEAR).select("series", "problem", "outcome", "theta_f")
+
+
 @query(
     f"""WITH {BARS_SQL}, {MASK_SQL}, ret AS (SELECT series, d, lead(close, {AHEAD}) OVER {O} / close - 1 AS r FROM bars), x AS (SELECT series, d, m, r FROM mask LEFT JOIN ret USING (series, d)),
     c AS (SELECT series, min(d) + ((max(d) - min(d)) // 2)::INTEGER AS cut FROM x GROUP BY series), h AS (SELECT x.*, d <= cut AS one FROM x JOIN c USING (series)),
