@@ -119,14 +119,14 @@ def frequency(df: DataFrame) -> DataFrame:
 
 
 def halving_phase(dates: DataFrame) -> DataFrame:
-    """dates: d. The last halving before it, days since, and whether its window is far, near or open."""
+    """dates: d (and more). The last halving before it, days since, and whether its window is far, near or open."""
     past = F.array(*[F.lit(dt.date.fromisoformat(h)) for h in HALVINGS])
     x = dates.withColumn("halving", F.array_max(F.filter(past, lambda h: h <= F.col("d"))))
     since = F.date_diff("d", "halving")
     state = F.when(since.isNull() | (since < WINDOW_START - NOTICE) | (since > WINDOW_END), "silencio").when(since < WINDOW_START, "aproximandose").otherwise("en_ventana")
     inside = state != "silencio"
     return x.select(
-        "d", "halving", since.alias("since"), state.alias("state"),
+        *dates.columns, "halving", since.alias("since"), state.alias("state"),
         F.when(inside, F.greatest(WINDOW_START - since, F.lit(0))).alias("days_to_window"),
         F.when(inside, F.greatest(WINDOW_END - since, F.lit(0))).alias("days_left"),
     )
@@ -137,8 +137,12 @@ def events(spark) -> DataFrame:
     return spark.createDataFrame(rows, "d date, kind string, weight string")
 
 
-def agenda(events_: DataFrame, today: str, horizon: int = 90, most: int = 6) -> DataFrame:
-    """The next most events; of these, those within horizon days."""
-    now = F.to_date(F.lit(today))
-    coming = events_.where(F.col("d") >= now).orderBy("d", "kind").limit(most)
-    return coming.select("d", "kind", "weight", F.date_diff("d", now).alias("days")).where(F.col("days") <= horizon)
+def agenda(events_: DataFrame, dates: DataFrame, horizon: int = 90, most: int = 6) -> DataFrame:
+    """dates: today (and more). For each of its rows the next most events; of these, those within horizon days: dates' columns, d, kind, weight, days.
+
+    The events are one calendar, which goes to the rows as one array; a row without a date has no agenda.
+    """
+    listed = events_.agg(F.array_sort(F.collect_list(F.struct("d", "kind", "weight"))).alias("_events"))
+    coming = F.slice(F.filter("_events", lambda e: e["d"] >= F.col("today")), 1, most)
+    got = dates.join(F.broadcast(listed)).select(*dates.columns, F.inline(coming))
+    return got.withColumn("days", F.date_diff("d", "today")).where(F.col("days") <= horizon)

@@ -11,7 +11,7 @@ from tidewell.plans import context as context_plans
 from tidewell.plans import rolling as rolling_plans
 from tidewell.plans.rolling import O, _sql_guarded, _w
 from tidewell.plans.validation import MASK_SQL, RUNS_SQL
-from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
+from tidewell.sources.market import AGENDA_DAYS, BARS_SQL, METRIC_SQL, bars, metric, moved_days, moved_days_sql, table
 
 QUERIES, SQL = {}, {}
 
@@ -66,19 +66,24 @@ def regime_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.notices(*[q[name](spark, sf_dir) for name in ("regime_detector", "calibration_audit", "tail_comparison")])
 
 
-_TODAY = "2026-10-09"
+EVENTS_SQL = f"""e(e, kind, weight) AS (VALUES {", ".join(f"(DATE '{d}', 'FOMC', '{'alta' if b else 'media'}')" for d, b in calendar.FOMC)}, {", ".join(f"(DATE '{d}', 'CPI', 'alta')" for d in calendar.CPI)})"""
+_DAYS_SQL = f"days AS ({moved_days_sql(AGENDA_DAYS)})"
+
+# each series' last day, moved to where the events are, some days apart
+_MOVED = "9165 + 16 * k - CASE WHEN k % 2 = 0 THEN 250 ELSE 0 END"
 _SENTENCE_SQL = f"""'Ahora mismo, BTC ' || {_case("coalesce(percentile, 50)", panel.VALUE_WORDS, panel.VALUE_REST)} || ' y ' || CASE coalesce(label, '') {" ".join(f"WHEN '{k}' THEN '{w}'" for k, w in panel.VOL_WORDS.items())} ELSE '{panel.VOL_UNKNOWN}' END
-|| CASE WHEN tranche = 'alta' THEN '{panel.DIVERSIFIES_LITTLE}' ELSE '' END || CASE WHEN alarm THEN ' — y {panel.URGENT[0]}' WHEN event THEN ' — y {panel.URGENT[2]}' ELSE '' END || '.'"""
+|| CASE WHEN tranche = 'alta' THEN '{panel.DIVERSIFIES_LITTLE}' ELSE '' END || CASE WHEN alarm THEN ' — y {panel.URGENT[0]}' WHEN halving THEN ' — y {panel.URGENT[1]}' WHEN event THEN ' — y {panel.URGENT[2]}' ELSE '' END || '.'"""
 
 
 @query(
-    f"""WITH {NOTICES_SQL}, s AS (SELECT DISTINCT o_orderpriority AS series FROM orders), v AS ({context_plans.SQL["valuation"]}), t AS ({context_plans.SQL["regime_terciles_6y"]}), c AS ({rolling_plans.SQL["rolling_corr_asof"]}),
+    f"""WITH {NOTICES_SQL}, s AS (SELECT DISTINCT o_orderpriority AS series FROM orders), v AS ({context_plans.SQL["valuation"]}), t AS ({context_plans.SQL["regime_terciles_6y"]}), c AS ({rolling_plans.SQL["rolling_corr_asof"]}), {BARS_SQL}, days AS (SELECT series, z + ({_MOVED})::INTEGER AS today FROM (SELECT series, max(d) AS z, left(series, 1)::INTEGER AS k FROM bars GROUP BY series)), {EVENTS_SQL},
+    p AS (SELECT series, coalesce(today - list_max(list_filter([{", ".join(f"DATE '{h}'" for h in calendar.HALVINGS)}], lambda h: h <= today)) BETWEEN {calendar.WINDOW_START} AND {calendar.WINDOW_END}, false) AS halving, EXISTS (SELECT 1 FROM e WHERE e.e - today BETWEEN 0 AND 7) AS event FROM days),
     l AS (SELECT series, arg_max(tranche, d) FILTER (tranche IS NOT NULL) AS tranche FROM c GROUP BY series), a AS (SELECT DISTINCT series, true AS alarm FROM notices WHERE level = 'alto'),
-    x AS (SELECT s.series, v.percentile, t.label, l.tranche, coalesce(a.alarm, false) AS alarm, true AS event FROM s LEFT JOIN v ON v.series = s.series LEFT JOIN t ON t.series = s.series LEFT JOIN l ON l.series = s.series LEFT JOIN a ON a.series = s.series)
+    x AS (SELECT s.series, v.percentile, t.label, l.tranche, coalesce(a.alarm, false) AS alarm, p.halving, p.event FROM s LEFT JOIN p ON p.series = s.series LEFT JOIN v ON v.series = s.series LEFT JOIN t ON t.series = s.series LEFT JOIN l ON l.series = s.series LEFT JOIN a ON a.series = s.series)
     SELECT series, {_SENTENCE_SQL} AS sentence FROM x"""
 )
 def summary_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sentence a series; on _TODAY an event is near and no window of the cycle is open."""
+    """One sentence a series, on its last day moved to where the events are."""
     q, r = context_plans.QUERIES, rolling_plans.QUERIES
     v = q["valuation"](spark, sf_dir).select("series", "percentile")
     t = q["regime_terciles_6y"](spark, sf_dir).select("series", "label")
@@ -86,11 +91,13 @@ def summary_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = r["rolling_corr_asof"](spark, sf_dir).groupBy("series").agg(F.max_by("tranche", F.when(known, F.col("d"))).alias("tranche"))
     alarm = regime_notices(spark, sf_dir).where("level = 'alto'").select("series").distinct().withColumn("alarm", F.lit(True))
     x = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series")).distinct()
-    for other in (v, t, c, alarm):
+    last = bars(spark, sf_dir).groupBy("series").agg(F.max("d").alias("z")).withColumn("k", F.left("series", F.lit(1)).cast("int"))
+    days = last.select("series", F.date_add("z", F.expr(_MOVED)).alias("today"))
+    coming = calendar.agenda(calendar.events(spark), days, horizon=7).select("series", F.lit(True).alias("event")).distinct()
+    phase = calendar.halving_phase(days.select("series", F.col("today").alias("d")))
+    for other in (v, t, c, alarm, coming, phase.select("series", "state")):
         x = x.join(other, "series", "left")
-    coming = calendar.agenda(calendar.events(spark), _TODAY, horizon=7).limit(1).count() > 0
-    phase = calendar.halving_phase(spark.sql(f"SELECT DATE '{_TODAY}' AS d")).first()["state"]
-    flags = (F.coalesce("alarm", F.lit(False)), F.lit(phase == "en_ventana"), F.lit(coming))
+    flags = (F.coalesce("alarm", F.lit(False)), F.coalesce(F.col("state") == "en_ventana", F.lit(False)), F.coalesce("event", F.lit(False)))
     return x.select("series", panel.sentence(F.col("percentile"), F.col("label"), F.col("tranche"), *flags).alias("sentence"))
 
 
@@ -107,22 +114,17 @@ def journal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("series", F.round(F.col("vol") * 100, 1).alias("vol_30d"), F.round("percentile").alias("percentile_valuation"), F.round("drawdown", 1).alias("drawdown"), F.round("vs_sma200", 1).alias("vs_sma200"), F.round(panel.monthly_move(F.col("vol")), 4).alias("monthly_move"))
 
 
-EVENTS_SQL = f"""e(e, kind, weight) AS (VALUES {", ".join(f"(DATE '{d}', 'FOMC', '{'alta' if b else 'media'}')" for d, b in calendar.FOMC)}, {", ".join(f"(DATE '{d}', 'CPI', 'alta')" for d in calendar.CPI)}),
-days AS (SELECT CAST(unnest(generate_series(DATE '2026-08-01', DATE '2028-02-29', INTERVAL 1 DAY)) AS DATE) AS d)"""
-_DAYS = "SELECT explode(sequence(DATE '2026-08-01', DATE '2028-02-29')) AS d"
-
-
 @query(
-    f"""WITH {EVENTS_SQL}, n AS (SELECT d, min(e - d)::INTEGER AS days FROM days LEFT JOIN (SELECT * FROM e WHERE weight = 'alta') e ON e - d BETWEEN 0 AND 7 GROUP BY d)
+    f"""WITH {EVENTS_SQL}, {_DAYS_SQL}, n AS (SELECT d, min(e - d)::INTEGER AS days FROM days LEFT JOIN (SELECT * FROM e WHERE weight = 'alta') e ON e - d BETWEEN 0 AND 7 GROUP BY d)
     SELECT d, days, CASE WHEN days <= 2 THEN '{panel.LIGHTS[0]}' WHEN days IS NOT NULL THEN '{panel.LIGHTS[1]}' ELSE '{panel.LIGHTS[2]}' END AS light FROM n"""
 )
 def noise_light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.noise(spark.sql(_DAYS), calendar.events(spark))
+    return panel.noise(moved_days(spark, sf_dir, AGENDA_DAYS), calendar.events(spark))
 
 
-@query(f"WITH {EVENTS_SQL}, l AS (SELECT max(e) AS last FROM e), x AS (SELECT d, CASE WHEN last >= d THEN last END AS until FROM days, l) SELECT d, until, round((until - d) / 30.4::DOUBLE, 6) AS months, coalesce((until - d) / 30.4::DOUBLE >= 3, false) AS ok FROM x")
+@query(f"WITH {EVENTS_SQL}, {_DAYS_SQL}, l AS (SELECT max(e) AS last FROM e), x AS (SELECT d, CASE WHEN last >= d THEN last END AS until FROM days, l) SELECT d, until, round((until - d) / 30.4::DOUBLE, 6) AS months, coalesce((until - d) / 30.4::DOUBLE >= 3, false) AS ok FROM x")
 def calendar_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.sufficiency(spark.sql(_DAYS), calendar.events(spark))
+    return panel.sufficiency(moved_days(spark, sf_dir, AGENDA_DAYS), calendar.events(spark))
 
 
 _NAMES = lambda words: "['" + "', '".join(words) + "']"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import series as S
 from tidewell.operators import calendar, nulls, quantile, stats
 from tidewell.plans.rolling import O, SO_FAR, _sql_guarded
-from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
+from tidewell.sources.market import AGENDA_DAYS, BARS_SQL, METRIC_SQL, bars, metric, moved_days, moved_days_sql, table
 
 QUERIES, SQL = {}, {}
 #: Rows ahead of the return; rotations of a p-value, and of a gate's threshold.
@@ -139,22 +139,24 @@ def frequency_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2012-01-01', DATE '2029-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
+    f"""WITH d AS ({moved_days_sql(6000, 9500)}),
     x AS (SELECT d, list_max(list_filter([{", ".join(f"DATE '{h}'" for h in calendar.HALVINGS)}], lambda h: h <= d)) AS halving FROM d), y AS (SELECT *, (d - halving)::INTEGER AS since FROM x),
     s AS (SELECT *, CASE WHEN since IS NULL OR since < 455 OR since > 730 THEN 'silencio' WHEN since < 545 THEN 'aproximandose' ELSE 'en_ventana' END AS state FROM y)
     SELECT d, halving, since, state, CASE WHEN state <> 'silencio' THEN greatest(545 - since, 0) END AS days_to_window, CASE WHEN state <> 'silencio' THEN greatest(730 - since, 0) END AS days_left FROM s"""
 )
 def halving_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = spark.sql("SELECT explode(sequence(DATE '2012-01-01', DATE '2029-12-31')) AS d")
-    return calendar.halving_phase(dates)
+    """The phase on each day of the orders, moved to 2011 and on, and to 2021 and on."""
+    return calendar.halving_phase(moved_days(spark, sf_dir, 6000, 9500))
 
 
 @query(
-    f"""WITH e(d, kind, weight) AS (VALUES {", ".join(f"(DATE '{d}', 'FOMC', '{'alta' if b else 'media'}')" for d, b in calendar.FOMC)}, {", ".join(f"(DATE '{d}', 'CPI', 'alta')" for d in calendar.CPI)}),
-    n AS (SELECT * FROM e WHERE d >= DATE '2026-10-01' ORDER BY d, kind LIMIT 6) SELECT d, kind, weight, (d - DATE '2026-10-01')::INTEGER AS days FROM n WHERE d - DATE '2026-10-01' <= 90"""
+    f"""WITH d AS ({moved_days_sql(AGENDA_DAYS)}), e(d, kind, weight) AS (VALUES {", ".join(f"(DATE '{d}', 'FOMC', '{'alta' if b else 'media'}')" for d, b in calendar.FOMC)}, {", ".join(f"(DATE '{d}', 'CPI', 'alta')" for d in calendar.CPI)}),
+    n AS (SELECT d.d AS today, e.d, kind, weight, (e.d - d.d)::INTEGER AS days FROM d JOIN e ON e.d >= d.d QUALIFY row_number() OVER (PARTITION BY d.d ORDER BY e.d, kind) <= 6) SELECT * FROM n WHERE days <= 90"""
 )
 def event_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.agenda(calendar.events(spark), "2026-10-01")
+    """What lies ahead on each day of the orders, moved to where the events are."""
+    days = moved_days(spark, sf_dir, AGENDA_DAYS).withColumnRenamed("d", "today")
+    return calendar.agenda(calendar.events(spark), days)
 
 
 @query(

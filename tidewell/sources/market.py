@@ -45,3 +45,17 @@ BARS_SQL = """bars AS (
 METRIC_SQL = """metric AS (
   SELECT o_orderpriority AS series, CAST(l_shipdate AS DATE) AS d, sum(round(l_discount * 100)::BIGINT) / count(*) / 100 AS value
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+#: Days by which the orders' first ones reach August 2026, where the calendar of events begins.
+AGENDA_DAYS = 11_535
+
+
+def moved_days(spark: SparkSession, sf_dir: str, *by: int) -> DataFrame:
+    """d: the orders' days, moved on by each of so many days."""
+    day = F.explode(F.array(*[F.date_add(F.to_date("o_orderdate"), n) for n in by]))
+    return table(spark, sf_dir, "orders").select(day.alias("d")).distinct()
+
+
+def moved_days_sql(*by: int) -> str:
+    return f"SELECT DISTINCT CAST(o_orderdate AS DATE) + unnest([{', '.join(map(str, by))}])::INTEGER AS d FROM orders"
