@@ -1,9 +1,11 @@
+import datetime as dt
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import bootstrap
+from tidewell.operators import bootstrap, calendar
 from tidewell.sources import feeds, files, sinks
 
 RSS = '<?xml version="1.0"?><rss version="2.0"><channel><title>c</title><item><title>One &amp; two</title><description>&lt;p&gt;text&lt;/p&gt;</description><guid isPermaLink="false">g1</guid><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item><item><title> </title><link>l</link></item></channel></rss>'
@@ -69,3 +71,37 @@ def test_many_series_are_one_scan(spark, tmp_path):
         raise AssertionError
     except ValueError as e:
         assert "2 days of c" in str(e)
+
+
+def test_anchored_files_fail_before_a_row_is_read(spark, tmp_path):
+    for series, text in (("a", "fecha,a\u00f1o\n2024-01-01,1.5\n"), ("b", "fecha,a\u00f1o\n2024-01-01,2\n")):
+        (tmp_path / f"series={series}").mkdir()
+        (tmp_path / f"series={series}/x.csv").write_bytes(text.encode("latin-1"))
+    own = {r["series"]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert own["a"] == hashlib.sha256("fecha,a\u00f1o\n2024-01-01,1.5\n".encode("latin-1")).hexdigest()
+    listed = lambda pairs: spark.createDataFrame(list(pairs.items()), "series string, sha256 string")
+    load = lambda pairs: files.load_metric(spark, str(tmp_path), None, encoding="ISO-8859-1", anchors=listed(pairs)).collect()
+    assert sorted((r["series"], r["value"]) for r in load(own)) == [("a", 1.5), ("b", 2.0)]
+    for wrong, word in (({**own, "b": "0"}, "b changed"), ({**own, "c": "0"}, "c absent"), ({"a": own["a"]}, "b unexpected"), ({**own, "a": None}, "a changed")):
+        with pytest.raises(ValueError, match=word):
+            load(wrong)
+    (tmp_path / "series=a/y.csv").write_text("fecha,x\n")
+    with pytest.raises(ValueError, match="a changed"):
+        load(own)
+
+
+def test_latest_records_of_many_logs(spark, tmp_path):
+    logs = {"one": '[{"n": 1, "t": "2024-01-01", "x": "a"}, {"n": 2, "t": "2024-01-02", "x": " "}]', "two": '[{"n": 3, "t": "2024-01-01", "x": "a"}, {"n": 4, "t": "2024-01-01", "x": "b"}, {"n": 5, "x": "c"}]', "cut": '[{"n": 6, "t": "2024', "none": "[]"}
+    for name, body in logs.items():
+        (tmp_path / f"log={name}").mkdir()
+        (tmp_path / f"log={name}/r.json").write_text(body)
+    got = files.latest_records(spark, str(tmp_path), "n long, t string, x string", text="x", order=("t", "n"))
+    assert sorted((r["log"], r["n"]) for r in got.collect()) == [("one", 1), ("two", 4)]
+
+
+def test_agenda_of_days_with_ties_nulls_and_an_end(spark):
+    day = lambda text: dt.date.fromisoformat(text)
+    events = spark.createDataFrame([(day("2024-01-05"), "B", "alta"), (day("2024-01-05"), "A", "media"), (day("2024-01-20"), "C", "alta"), (day("2024-06-01"), "D", "alta")], "d date, kind string, weight string")
+    days = spark.createDataFrame([(1, day("2024-01-05")), (2, day("2024-01-06")), (3, day("2025-01-01")), (4, None)], "id int, today date")
+    got = sorted((r["id"], r["kind"], r["days"]) for r in calendar.agenda(events, days, horizon=90, most=2).collect())
+    assert got == [(1, "A", 0), (1, "B", 0), (2, "C", 14)]

@@ -58,6 +58,81 @@ def source_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.load_metric(spark, _csv_by_series(m), None).select("series", "d", *S.rounded(value=F.col("value")))
 
 
+_LINES_SQL = """body AS (SELECT series, encode('fecha,a') || '\\xF1'::BLOB || encode('o' || chr(10) || string_agg(CAST(d AS VARCHAR) || ',' || printf('%.6f', value) || chr(10), '' ORDER BY d)) AS body FROM metric GROUP BY series)"""
+
+
+def _latin(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A file for each series in ISO-8859-1, and the digests (series, sha256) that its bytes should have, made from the rows."""
+    shown = metric(spark, sf_dir).select("series", F.date_format("d", "yyyy-MM-dd").alias("fecha"), F.format_string("%.6f", "value").alias("año"))
+    path = scratch(spark)
+    shown.repartition("series").sortWithinPartitions("series", "fecha").write.partitionBy("series").option("header", True).option("encoding", "ISO-8859-1").option("lineSep", "\n").csv(path)
+    lines = F.array_sort(F.collect_list(F.concat_ws(",", "fecha", "año")))
+    body = F.concat(F.lit("fecha,año\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    return path, shown.groupBy("series").agg(F.sha2(F.encode(body, "ISO-8859-1"), 256).alias("sha256"))
+
+
+@query(f"WITH {METRIC_SQL} SELECT series, d, round(value, 6) AS value FROM metric")
+def source_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in ISO-8859-1, read because their bytes have the digests expected."""
+    path, anchors = _latin(spark, sf_dir)
+    return files.load_metric(spark, path, None, encoding="ISO-8859-1", anchors=anchors).select("series", "d", *S.rounded(value=F.col("value")))
+
+
+@query(
+    f"""WITH {METRIC_SQL}, {_LINES_SQL} SELECT series, CASE WHEN series < '2' THEN sha256('') ELSE sha256(body) END AS sha256, CASE WHEN series < '2' THEN 'changed' ELSE 'same' END AS verdict FROM body WHERE series >= '3' OR series < '2'
+    UNION ALL SELECT series, NULL, 'unexpected' FROM body WHERE series >= '2' AND series < '3' UNION ALL SELECT '9-LATER', sha256('later'), 'absent'"""
+)
+def input_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files against a list of digests that has one wrong, one left out and one too many."""
+    path, anchors = _latin(spark, sf_dir)
+    kept = anchors.where("series < '2' OR series >= '3'").withColumn("sha256", F.when(F.col("series") < "2", F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha256")))
+    one_more = spark.range(1).select(F.lit("9-LATER").alias("series"), F.sha2(F.lit("later").cast("binary"), 256).alias("sha256"))
+    return files.anchor_verdicts(files.file_hashes(spark, path), kept.unionByName(one_more), "series")
+
+
+@query("""SELECT (user_id % 40)::VARCHAR AS id, CAST(ts AS DATE) AS d, sum(round(value * 100)::BIGINT)::BIGINT / 100 AS value FROM events WHERE day(ts) % 5 <> 0 AND CAST(ts AS DATE) <= DATE '2024-01-27' GROUP BY ALL""")
+def source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of each of forty tokens in a file of its own; some days bear no amount, those after a last day are left out."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("id"), F.to_date("ts").alias("d")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("v"))
+    amount = F.struct(F.when(F.day("d") % 5 != 0, F.col("v")).alias("peggedUSD"))
+    day = F.struct((F.unix_date("d").cast("long") * 86_400).alias("date"), amount.alias("totalCirculatingUSD"))
+    path = scratch(spark)
+    e.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(day))).alias("value")).write.partitionBy("id").text(path)
+    return files.load_token_histories(spark, path, "2024-01-27")
+
+
+@query(
+    """SELECT (user_id % 50)::VARCHAR AS log, arg_max(event_id, (date_trunc('second', ts), event_id)) AS n, CAST(max(date_trunc('second', ts)) AS TIMESTAMP) AS generado FROM events
+    WHERE event_id % 4 <> 0 AND user_id % 50 % 9 <> 4 GROUP BY 1"""
+)
+def latest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest record with an analysis of each of fifty logs; every ninth file is cut short, every fourth record has a blank analysis."""
+    k = F.col("event_id")
+    made = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    one = F.struct(k.alias("n"), made.alias("generado"), F.when(k % 4 != 0, F.lit("seen")).when(k % 8 == 0, F.lit("  ")).alias("analisis"))
+    logs = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("log")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    path = scratch(spark)
+    logs.withColumn("value", F.when(F.col("log") % 9 == 4, F.left("value", F.length("value") - 5)).otherwise(F.col("value"))).write.partitionBy("log").text(path)
+    last = files.latest_records(spark, path, "n long, generado string, analisis string", order=("generado", "n"))
+    return last.select("log", "n", F.to_timestamp("generado").alias("generado"))
+
+
+@query(
+    """WITH b AS (SELECT p_brand AS brand, count(*) AS n, arg_max(p_name, p_partkey) AS last FROM part GROUP BY 1) SELECT brand, CASE WHEN right(brand, 1) <> '3' THEN n END AS n, CASE WHEN right(brand, 1) <> '3' THEN last END AS last,
+    CASE WHEN right(brand, 1) = '3' THEN 'broken' ELSE 'none' END AS other FROM b"""
+)
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each brand in a file of its own; every fifth is cut short."""
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), F.max_by("p_name", "p_partkey").alias("last"))
+    doc = F.to_json(F.struct("brand", F.struct("n", F.struct("last").alias("names")).alias("of")))
+    path = scratch(spark)
+    shown = brands.select("brand", F.when(F.right("brand", F.lit(1)) == "3", F.left(doc, F.length(doc) - 1)).otherwise(doc).alias("value"))
+    shown.write.partitionBy("brand").text(path)
+    at = lambda p, kind="string", default=None: files.at_path(F.col("doc"), p, kind, default)
+    other = F.when(F.col("doc").isNull(), "broken").otherwise(at("of.none", default="none"))
+    return files.load_document(spark, path).select("brand", at("of.n", "bigint").alias("n"), at("of.names.last").alias("last"), other.alias("other"))
+
+
 @query(f"WITH {BARS_SQL} SELECT series, d, close AS value FROM bars")
 def source_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CSV with a column for each series."""

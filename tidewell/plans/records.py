@@ -242,6 +242,15 @@ def headline_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.headline_dedup(titles, "day")
 
 
-@query()
+@query(
+    """SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN sha256('{"a":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"ñ ' || event_type || '"' END || ',"b":{"x":[' || event_id || ',true],"z":' || user_id || '},"props":' || replace(props::VARCHAR, ' ', '') || '}') END AS sha FROM events"""
+)
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", registry.canonical_sha(F.col("props")).alias("sha"))
+    """Documents with keys in two orders and odd spaces; every eleventh is broken."""
+    k = F.col("event_id")
+    a = F.concat(F.lit('"a" : '), F.when(k % 3 == 0, F.lit("null")).otherwise(F.concat(F.lit('"ñ '), "event_type", F.lit('"'))))
+    b = F.concat(F.lit('"b":{"z": '), "user_id", F.lit(', "x": [ '), k, F.lit(" , true]}"))
+    props = F.concat(F.lit('"props":'), "props")
+    body = F.when(k % 2 == 0, F.concat_ws(", ", props, b, a)).otherwise(F.concat_ws(" ,", b, a, props))
+    doc = F.concat(F.lit("{"), body, F.when(k % 11 != 0, F.lit(" }")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "events").select("event_id", registry.canonical_sha(doc).alias("sha"))

@@ -65,8 +65,16 @@ def load_bars(spark: SparkSession, path: str, series: str | None = "default", le
     return out
 
 
-def load_metric(spark: SparkSession, path: str, series: str | None = "default", last: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """series, d, value: a date and the first other column. series: as for load_bars(). Fails where a row is dated after last."""
+def load_metric(spark: SparkSession, path: str, series: str | None = "default", last: str | None = None, encoding: str = "UTF-8", anchors: DataFrame | None = None) -> DataFrame:
+    """series, d, value: a date and the first other column. series: as for load_bars(). Fails where a row is dated after last.
+
+    anchors: series, sha256 of each series' one file (where path holds them all). Before a row is read, the raw bytes must have these digests: a file
+    that has another, is absent, or isn't expected fails the reader. Files must not be replaced between the two.
+    """
+    if anchors is not None:
+        bad = anchor_verdicts(file_hashes(spark, path), anchors, "series").where("verdict <> 'same'").limit(5).collect()
+        if bad:
+            raise ValueError("anchors of inputs: " + ", ".join(f"{r['series']} {r['verdict']}" for r in bad))
     raw = _csv(spark, path, encoding)
     day = resolve(raw.columns).get("d", raw.columns[0])
     other = next(c for c in raw.columns if c != day and not (series is None and c == "series"))
@@ -92,9 +100,9 @@ def load_journal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_document(spark: SparkSession, path: str) -> DataFrame:
-    """path, doc (variant; null where it isn't JSON) of files with one JSON document each."""
+    """path, doc (variant; null where it isn't JSON) of files with one JSON document each, and the columns that folders <name>=<value> give."""
     raw = spark.read.option("wholetext", True).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"), *[c for c in raw.columns if c != "value"])
 
 
 def at_path(doc: Column, path: str, kind: str = "string", default=None) -> Column:
@@ -137,6 +145,17 @@ def load_wide(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.to_date(F.col(f"`{day}`").try_cast("timestamp")).alias("d"), F.explode(pairs).alias("p")).select("p.series", "d", "p.value").where("d IS NOT NULL")
 
 
+def latest_records(spark: SparkSession, folder: str, schema: str, by: str = "log", text: str = "analisis", order: tuple[str, ...] = ("generado",)) -> DataFrame:
+    """by and schema's columns: for each log (a folder <by>=<name> with JSON arrays of records) the latest record whose text isn't blank, in one scan.
+
+    Broken files give nothing, and a log without such a record has no row. Nulls of order come before all values.
+    """
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+    rows = raw.where(F.length(F.trim(text)) > 0).select(F.col(by).cast("string").alias(by), F.struct(*[c for c in raw.columns if c != by]).alias("_record"))
+    last = rows.groupBy(by).agg(F.max_by("_record", F.struct(*[F.col(f"_record.{c}") for c in order])).alias("_record"))
+    return last.select(by, "_record.*")
+
+
 def latest_record(spark: SparkSession, path: str, text: str = "analisis", order: str = "generado") -> DataFrame:
     """The latest record of a JSON array whose text isn't blank: none or one row."""
     raw = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
@@ -146,9 +165,9 @@ def latest_record(spark: SparkSession, path: str, text: str = "analisis", order:
 
 
 def load_token_histories(spark: SparkSession, folder: str, last: str | None = None) -> DataFrame:
-    """id, d, value of a folder with one JSON array of {date, totalCirculatingUSD: {peggedUSD}} for each id. Fails on a repeated day."""
+    """id, d, value of a folder with one JSON array of {date, totalCirculatingUSD: {peggedUSD}} for each id, as <id>.json or in a folder id=<id>. Fails on a repeated day."""
     raw = spark.read.option("multiLine", True).schema("date long, totalCirculatingUSD struct<peggedUSD: double>").json(folder)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    name = F.col("id").cast("string") if "id" in raw.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     out = raw.select(name.alias("id"), F.to_date(F.timestamp_seconds("date")).alias("d"), F.col("totalCirculatingUSD.peggedUSD").alias("value")).where("value IS NOT NULL")
     if last is not None:
         out = out.where(F.col("d") <= F.to_date(F.lit(last)))
@@ -158,5 +177,16 @@ def load_token_histories(spark: SparkSession, folder: str, last: str | None = No
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files, read on the executors."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of files, read on the executors (a file's bytes are one value), and the columns that folders <name>=<value> give."""
+    raw = spark.read.format("binaryFile").load(path)
+    named = [c for c in raw.columns if c not in ("path", "modificationTime", "length", "content")]
+    return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), *named)
+
+
+def anchor_verdicts(hashes: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """key, sha256 (the expected one), verdict: same, changed, absent, or unexpected. A key with several files is changed."""
+    have = hashes.groupBy(F.col(key).cast("string").alias(key)).agg(F.count("*").alias("_files"), F.min("sha256").alias("_sha"))
+    j = expected.select(F.col(key).cast("string").alias(key), "sha256", F.lit(True).alias("_known")).join(have, key, "full")
+    same = (F.col("_files") == 1) & F.col("sha256").eqNullSafe(F.col("_sha"))
+    verdict = F.when(F.col("_known").isNull(), "unexpected").when(F.col("_files").isNull(), "absent").when(same, "same").otherwise("changed")
+    return j.select(key, "sha256", verdict.alias("verdict"))
