@@ -72,7 +72,7 @@ def mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir).select("level", "n_generated", "n", F.round("weight", 9).alias("weight"), F.round("composition", 6).alias("composition"))
 
 
-_DRAWS, _GRID = 20, [0.0, 3.0, 6.0, 9.0]
+_DRAWS, _GRID = 2000, [0.0, 3.0, 6.0, 9.0]
 _PICK = lambda draw, item, n: f"('0x' || substr(md5({draw} || ':' || {item}), 1, 7))::BIGINT % {n}"
 
 
@@ -95,7 +95,7 @@ def bootstrap_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("x").agg(F.count("*").alias("draws"), *[F.round(F.percentile("p", F.lit(q)), 5).alias(f"p{n}") for q, n in ((0.025, "025"), (0.5, "500"), (0.975, "975"))])
 
 
-_BOOT = 100
+_BOOT = 2000
 
 
 @query(

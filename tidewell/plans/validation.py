@@ -14,7 +14,7 @@ QUERIES, SQL = {}, {}
 #: Rows ahead of the return; rotations of a p-value, and of a gate's threshold.
 AHEAD, DRAWS, GATE_DRAWS = 30, nulls.unit_draws(2000, 0), nulls.unit_draws(300, 46)
 #: Shuffles of the episodes.
-SHUFFLES = 300
+SHUFFLES = 2000
 
 
 def query(sql: str | None = None):
