@@ -76,17 +76,6 @@ def picked(draw: Column, item: Column, n: Column) -> Column:
     return F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % n
 
 
-def stratified_draws(cases: DataFrame, draws: int) -> DataFrame:
-    """cases: level, i (0 to n - 1 within the level), n and values. For each draw as many rows of a level as it has, with replacement: draw and values.
-
-    Items meet their picks in an equi-join on level and place.
-    """
-    values = [c for c in cases.columns if c not in ("i", "n")]
-    wanted = cases.select("level", "n", F.col("i").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    wanted = wanted.select("draw", "level", picked(F.col("draw"), F.col("item"), F.col("n")).alias("i"))
-    return wanted.join(cases.select("i", *values), ["level", "i"]).select("draw", *values)
-
-
 def quantile(ordered: Column, share: Column | float) -> Column:
     """Of a sorted array, by linear interpolation."""
     at = (F.size(ordered) - 1) * share

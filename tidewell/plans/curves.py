@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import series as S
-from tidewell.operators import bootstrap, curves, stats
+from tidewell.operators import bootstrap, curves, draws, rolling, stats
 from tidewell.plans.validation import MASK_SQL, RET_SQL, masked_returns
 from tidewell.sources.market import BARS_SQL, METRIC_SQL, bars, metric, table
 
@@ -85,11 +85,13 @@ _PICK = lambda draw, item, n: f"('0x' || substr(md5({draw} || ':' || {item}), 1,
 )
 def bootstrap_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted logistic curve at a few places, over resamples within each level."""
-    cases = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumn("level", F.col("o_orderpriority"))
-    own = W.partitionBy("level")
-    cases = cases.select("level", (F.row_number().over(own.orderBy("o_orderkey")) - 1).cast("long").alias("i"), F.count("*").over(own).alias("n"), F.least(F.floor(F.col("o_totalprice") / 50_000), F.lit(9)).cast("double").alias("x"), (F.col("o_orderstatus") == "F").alias("y"))
-    cases = cases.join(_weights(spark, sf_dir).select("level", "weight"), "level")
-    points = curves.stratified_draws(cases, _DRAWS).groupBy("draw", "x").agg(F.sum(F.when(F.col("y"), F.col("weight")).otherwise(0.0)).alias("hits"), F.sum("weight").alias("weight"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumn("level", F.col("o_orderpriority"))
+    cell = F.least(F.floor(F.col("o_totalprice") / 50_000), F.lit(9)).cast("int") * 2 + (F.col("o_orderstatus") == "F").cast("int")
+    placed = rolling.numbered(orders.select("level", "o_orderkey", cell.alias("cell")), "level", "o_orderkey", F.floor(F.col("o_orderkey") / 65_536))
+    weights = F.broadcast(_weights(spark, sf_dir).select("level", "n", "weight"))
+    counts = draws.stratified_counts(placed.join(weights, "level").select("level", F.col("_place").alias("i"), "n", "cell"), _DRAWS)
+    amount, x = F.col("count") * F.col("weight"), F.floor(F.col("cell") / 2).cast("double")
+    points = counts.join(weights, "level").groupBy("draw", x.alias("x")).agg(F.sum(F.when(F.col("cell") % 2 == 1, amount).otherwise(0.0)).alias("hits"), F.sum(amount).alias("weight"))
     fits = curves.logistic(points, ["draw"]).withColumn("x", F.explode(F.array(*map(F.lit, _GRID))))
     p = fits.select("x", curves.predicted(F.col("intercept"), F.col("slope"), F.col("x")).alias("p"))
     return p.groupBy("x").agg(F.count("*").alias("draws"), *[F.round(F.percentile("p", F.lit(q)), 5).alias(f"p{n}") for q, n in ((0.025, "025"), (0.5, "500"), (0.975, "975"))])
