@@ -33,7 +33,7 @@ def test_counts_are_those_of_all_picks(spark, monkeypatch, places):
 
 
 def test_work_of_many_picks(spark):
-    """60 million picks: a row a pick took over ten times as long."""
+    """60 million picks, none of which becomes a row."""
     import time
 
     cases = spark.range(30_000).selectExpr("'a' AS level", "id AS i", "30000L AS n", "CAST(id % 20 AS int) AS cell")
