@@ -19,6 +19,37 @@ def test_feeds_keep_errors_by_source(spark):
     assert got == sorted([("rss", None, "One & two", "text", "g1", "2024-01-01"), ("atom", None, "Three", "", "h3", "2024-01-02"), *broken], key=lambda r: r[0])
 
 
+def test_nothing_of_a_feed_is_copied_with_each_of_its_items(spark):
+    node = feeds.items(spark.createDataFrame([("rss", RSS)], "source string, body string"))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().head()
+    carried = node.requiredChildOutput()
+    assert {carried.apply(i).name() for i in range(carried.size())} == {"source", "error"}
+
+
+def test_long_feeds_are_read_by_pieces(spark):
+    rss = "".join(f"<item><title>{i}{' x' * 200}</title></item><!-- <item> -->" for i in range(3000))
+    odd = "<title>c</title><group><item><title>no</title></item></group><item><title><![CDATA[</item><item>]]></title></item><item a='>'/>"
+    docs = {
+        "long": f'<rss version="2.0"><channel>{rss}</channel></rss>',
+        "cut": f'<rss version="2.0"><channel>{rss}</channel></rs',
+        "bad": f'<rss version="2.0"><channel>{rss}<item><title>a & b</title></item></channel></rss>',
+        "odd": f"<rss ><channel>{rss}</channel><x:channel>{odd}<x:ITEM><title>last</title></x:ITEM></x:channel></rss>tail",
+        "atom": f"<feed ><title>c</title>{'<entry><title>e</title><entry><title>in</title></entry></entry>' * 9000}</feed>",
+        "dtd": f'<!DOCTYPE rss><rss version="2.0"><channel>{rss}</channel></rss>',
+    }
+    got = feeds.items(spark.createDataFrame(list(docs.items()), "source string, body string")).groupBy("source", "error").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"), F.min("title").alias("least")).collect()
+    assert {r["source"]: (r["error"], r["n"], r["titles"]) for r in got} == {"long": (None, 3000, 3000), "cut": ("corrupt", 1, 0), "bad": ("corrupt", 1, 0), "odd": (None, 2, 2), "atom": (None, 9000, 1), "dtd": (None, 3000, 3000)}
+    assert {r["source"]: r["least"] for r in got if r["source"] in ("odd", "atom")} == {"odd": "</item><item>", "atom": "e"}
+    cut = list(feeds.pieces(docs["long"].encode(), "rss", 10_000))
+    assert len(cut) > 100 and max(map(len, cut)) < 11_000 and sum(c.count(b"</item>") for c in cut) == 3000
+
+
+def test_bytes_that_are_no_utf8_are_no_end_of_other_feeds(spark):
+    docs = spark.createDataFrame([("bad", RSS.replace("One", "On\u00e9").encode("latin-1")), ("good", RSS.encode())], "source string, body binary").select("source", F.expr("CAST(body AS STRING)").alias("body"))
+    assert sorted((r["source"], r["title"]) for r in feeds.items(docs).collect()) == [("bad", "On\ufffd & two"), ("good", "One & two")]
+
+
 def test_filings(spark):
     hit = {"_id": "0001-24-1:x.htm", "_source": {"display_names": ["ACME (A)"], "root_forms": ["8-K"], "ciks": ["0012"], "file_date": "2024-02-03"}}
     docs = [("a", json.dumps({"hits": {"hits": [hit, {"_id": "2", "_source": {"display_names": []}}]}})), ("b", '{"error": "too many"}'), ("c", "{"), ("d", '{"hits": {"hits": []}}')]
